@@ -1,0 +1 @@
+"""tickloom streaming."""
