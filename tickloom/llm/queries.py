@@ -90,7 +90,7 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _OP2 = rf"""
 with w as (
   select doc_id, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
     row_number() over () as r
   from documents),
 windows as (
@@ -118,11 +118,11 @@ _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrs
 _OP4 = rf"""
 with item as (select distinct item_id, {_WORDS.format(_ASCII_LOWER.format("text"))} as w from benchmark where text is not null),
 sized as (select item_id, w, least(5, len(w)) as n from item where len(w) > 0),
-wanted as (select distinct item_id, w, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(list_slice(w, i, i + n - 1), ' '))) as g from sized),
+wanted as (select distinct item_id, w, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) as g from sized),
 total as (select item_id, w, count(*) as n_shingles from wanted group by item_id, w),
 doc as (select row_number() over () as r, doc_id, {_WORDS.format(_ASCII_LOWER.format("text"))} as w from documents where text is not null),
 size as (select distinct n from sized),
-has as (select distinct r, doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), i -> array_to_string(list_slice(w, i, i + n - 1), ' '))) as g from doc, size where len(w) >= n),
+has as (select distinct r, doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) as g from doc, size where len(w) >= n),
 shared as (select r, doc_id, item_id, w, count(*) as n_shared from has join wanted using (n, g) group by r, doc_id, item_id, w)
 select doc_id, item_id, n_shingles::bigint as n_shingles, n_shared::bigint as n_shared, n_shared / n_shingles as containment
 from shared join total using (item_id, w) where n_shared >= ceil(0.8 * n_shingles)"""
@@ -132,7 +132,7 @@ def _op7() -> str:
     rows = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in licenses.TEMPLATES.items())
     clean = "regexp_replace({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]', ' ', 'g')"
     part = clean.format(_ASCII_LOWER.format("x"))
-    pairs = "list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     split = "regexp_extract_all({}, '[^ ]+')"
     return f"""
 with template as (select k as license_id, {pairs} as b from (select k, {split.format(clean.format(_ASCII_LOWER.format("t")))} as w from (values {rows}) v(k, t))),
