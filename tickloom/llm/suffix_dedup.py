@@ -7,7 +7,7 @@ SEED-byte string inside it whose hash is least. Equal strings have equal anchors
 member needs no work, and neither has one whose members all have the same surroundings: its earliest member stays, and
 the others go whole. What is left, the edges of repeats, is sorted one bucket at a time, bucket after bucket in a stream:
 suffixes that agree in their first COVER bytes are told apart by the ranks of the bucket's sample suffixes, those at
-positions in a difference cover modulo COVER, ranked before. Memory holds one bucket and its sample.
+positions in a difference cover modulo COVER, ranked before. Memory holds one bucket and one position's sample.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from ._common import materialise, mix, prefix_hash, range_hash, slices
 LENGTH = 100
 SEED = 32
 COVER = 32
-BUCKET = 5000  # edges; larger buckets are settled by a shuffle of their strings instead
+BUCKET = 50_000  # edges, of 200 bytes each in memory; larger buckets are settled by a shuffle of their strings instead
 
 
 def difference_cover(v: int) -> list[int]:
@@ -103,34 +103,50 @@ def _places(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.select("_id", "_th", "text").mapInArrow(run, schema)
 
 
-def _sort_bucket(members: list[tuple], length: int, reach: int, cover: list[int], v: int):
-    """members: (order key, left, bytes around an anchor). Yields (number, offsets in its bytes) of strings that go."""
-    step = [next(d for d in range(v) if (r + d) % v in cover) for r in range(v)]
+def _sort_bucket(members: list[tuple], length: int, reach: int, cover: frozenset[int], v: int) -> list[list[int]]:
+    """members: (order key, left, bytes around an anchor), sorted by key. Offsets in its bytes of each one's strings that go.
+
+    Offsets are counted from where the longest surroundings would start, so that equal strings stand at equal offsets.
+    """
     shift = [reach - left for _, left, _ in members]
-    # the sample: suffixes at cover positions, counted from where the longest surroundings would start
-    spots = [x for x in range(reach + v + 1) if x % v in cover]
-    sample = [{x: t[x - s :] for x in spots if s <= x < len(t) + s} for (_, _, t), s in zip(members, shift)]
-    rank = {t: i for i, t in enumerate(sorted({t for one in sample for t in one.values()}))}
+    texts = [bytes(s) + t for s, (_, _, t) in zip(shift, members)]
+    last = [len(t) - length for t in texts]
     gone: list[list[int]] = [[] for _ in members]
+    ranked = -1
     for off in range(reach + 1):
-        spot = off + step[off % v]
-        have = [i for i, (_, _, t) in enumerate(members) if 0 <= off - shift[i] <= len(t) - length]
+        have = [i for i, s in enumerate(shift) if s <= off <= last[i]]
         if len(have) < 2:
             continue
-        have.sort(key=lambda i: (members[i][2][off - shift[i] : off - shift[i] + v], rank[sample[i][spot]], members[i][0]))
-        run: list[int] = []
-        last = None
-        for i in [*have, None]:
-            text = members[i][2][off - shift[i] : off - shift[i] + length] if i is not None else None
-            if text != last or text is None:
-                if len(run) > 1:
-                    first = min(run, key=lambda k: members[k][0])
-                    for k in run:
-                        if members[k][0] != members[first][0]:
-                            gone[k].append(off - shift[k])
-                run, last = [], text
-            run.append(i)
-    return enumerate(gone)
+        spot = off
+        while spot % v not in cover:
+            spot += 1
+        if spot != ranked:  # the next sample suffixes: their ranks serve all offsets up to the spot
+            tails = [t[spot:] for t in texts]
+            place = {t: i for i, t in enumerate(sorted(set(tails)))}
+            rank, ranked = [place[t] for t in tails], spot
+        order = sorted([(texts[i][off : off + v], rank[i], i) for i in have])
+        run, head, whole = [order[0][2]], order[0][0], None
+        for h, _, i in order[1:]:
+            if h == head:
+                if whole is None:
+                    whole = texts[run[0]][off : off + length]
+                if texts[i][off : off + length] == whole:
+                    run.append(i)
+                    continue
+            if len(run) > 1:
+                _drop(run, members, gone, off, shift)
+            run, head, whole = [i], h, None
+        if len(run) > 1:
+            _drop(run, members, gone, off, shift)
+    return gone
+
+
+def _drop(run: list[int], members: list[tuple], gone: list[list[int]], off: int, shift: list[int]) -> None:
+    """All of a run of equal strings go but the earliest (and rows that repeat that one's document)."""
+    first = members[min(run)][0]
+    for i in run:
+        if members[i][0] != first:
+            gone[i].append(off - shift[i])
 
 
 def _runs(starts: list[int], length: int):
@@ -177,13 +193,15 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int =
     around = StructType().add("h", LongType()).add("n", LongType()).add("_id", ids).add("_th", LongType()).add("q", LongType()).add("left", LongType()).add("around", BinaryType())
     context = materialise(near.mapInArrow(cut, around), "suffix-edges")
 
-    cover = difference_cover(COVER)
+    cover = frozenset(difference_cover(COVER))
 
     def sort(batches):
         def flush(h, rows):
-            members = [((i is not None, i if i is not None else 0, th, q), left, t) for i, th, q, left, t in rows]
-            for k, starts in _sort_bucket(members, length, reach, cover, COVER):
-                i, th, q, left, _ = rows[k]
+            if len(rows) < 2:
+                return
+            keyed = sorted([((i is not None, i if i is not None else 0, th, q), left, t) for i, th, q, left, t in rows], key=lambda m: m[0])
+            for ((some, i, th, q), left, _), starts in zip(keyed, _sort_bucket(keyed, length, reach, cover, COVER)):
+                i = i if some else None
                 for a, b in _runs(starts, length):
                     yield i, th, q - left + a, q - left + b
 
