@@ -40,6 +40,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once a row.
+
+    They are generated from an array of one struct: the optimiser moves neither a later filter nor a later expression
+    below a generator, where it would compute them again, once for each element inside a lambda.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def _repeated_words() -> Column:
     """Words that lie in a window of WINDOW words which the text has twice or more (64-bit hashes stand for windows)."""
     at = F.sequence(F.lit(0), F.size("_w") - WINDOW)
@@ -59,26 +68,28 @@ def _repeated_words() -> Column:
 def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The columns `keys` (none of them named like a result), text, and of every whole text: lines, n_lines, the five MEASURES and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select(*keys, text.alias("text"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    counted = cut.select(
-        *keys,
-        "text",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words().alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-    )
+    cut = _once(docs.select(*keys, text.alias("text")), _w=F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), _lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    counted = _once(
+        cut,
+        n_words=F.size("_w").cast("long"),
+        word_chars=F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long"),
+        n_symbols=(F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=_repeated_words(),
+        n_lines=F.size("_lines").cast("long"),
+    ).drop("_w", "_lines")
     return counted.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
-    """Rules by rejections for a second of work, the best first, measured on `rows` rows at most.
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
+    """Rules by rejections for a second of work, the best first, measured on a sample of about `rows` rows.
 
-    The order only decides how soon a bad document is known to be bad; the verdict is the same in any order.
+    The order only decides how soon a bad document is known to be bad; the verdict is the same in any order. The sample
+    is drawn where the rows lie, without a shuffle.
     """
-    sample = measured.where(~F.col("base_failed")).limit(rows).persist()
+    n = docs.count()
+    part = docs.sample(min(1.0, rows / n), seed=1) if n else docs
+    sample = measure(part, []).where(~F.col("base_failed")).persist()
     try:
         sample.count()
         found = []
@@ -100,7 +111,7 @@ def judge(docs: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES, ord
     judged alike; other columns of docs are left out.
     """
     if ordered is None:
-        ordered = order_rules(measure(docs.limit(4000), keys), rules)
+        ordered = order_rules(docs.select("text"), rules)
     rows = measure(docs, keys)
     verdict = F.when(F.col("base_failed"), "base")
     for rule in ordered:
