@@ -43,7 +43,7 @@ def sector(a: Column, b: Column) -> Column:
     return math.pi * r * r * theta(a, b) / 360
 
 
-METRICS = {"cosine": cosine, "inner": inner, "euclidean": euclidean, "magnitude": lambda a, b: F.abs(size(a) - size(b)), "theta": theta, "triangle": triangle, "sector": sector, "ts_ss": lambda a, b: triangle(a, b) * sector(a, b)}
+METRICS = {"cosine": cosine, "inner_product": inner, "euclidean": euclidean, "magnitude": lambda a, b: F.abs(size(a) - size(b)), "theta": theta, "triangle": triangle, "sector": sector, "ts_ss": lambda a, b: triangle(a, b) * sector(a, b)}
 
 
 def similarity(df: DataFrame, a: str, b: str, metric: str) -> DataFrame:

@@ -30,7 +30,7 @@ t as (select *, acos(greatest(-1, least(1, ip / (na * nb)))) + radians(10) as th
 
 @register(
     "v1_similarity",
-    f"with {_PAIRS} select vec_id, round(ip / (na * nb), 4) as cosine, round(ip, 4) as inner, round(ed, 4) as euclidean, round(abs(na - nb), 4) as magnitude, round(th, 4) as theta, round(na * nb * sin(radians(th)) / 2, 4) as triangle, round(pi() * (ed + abs(na - nb)) * (ed + abs(na - nb)) * th / 360, 4) as sector, round(na * nb * sin(radians(th)) / 2 * pi() * (ed + abs(na - nb)) * (ed + abs(na - nb)) * th / 360, 4) as ts_ss from t",
+    f"with {_PAIRS} select vec_id, round(ip / (na * nb), 4) as cosine, round(ip, 4) as inner_product, round(ed, 4) as euclidean, round(abs(na - nb), 4) as magnitude, round(th, 4) as theta, round(na * nb * sin(radians(th)) / 2, 4) as triangle, round(pi() * (ed + abs(na - nb)) * (ed + abs(na - nb)) * th / 360, 4) as sector, round(na * nb * sin(radians(th)) / 2 * pi() * (ed + abs(na - nb)) * (ed + abs(na - nb)) * th / 360, 4) as ts_ss from t",
 )
 def v1(spark, d):
     out = _pairs(spark, d)
