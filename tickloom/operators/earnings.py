@@ -112,3 +112,12 @@ def earnings_day_histogram(e: DataFrame) -> DataFrame:
     days = e.sparkSession.range(1, 367).select(F.col("id").cast("int").alias("day"))
     counts = e.groupBy(F.dayofyear("earnings_date").alias("day")).agg(F.count("*").alias("n"))
     return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def fix_aberrant(e: DataFrame, typical: DataFrame, most: int = 4, days: int = 30) -> DataFrame:
+    """e without rows, of years with over `most` rows, that lie more than `days` from each typical day of the symbol."""
+    rows = e.withColumn("_n", F.count("*").over(Window.partitionBy("symbol", F.year("earnings_date"))))
+    day = typical.select(F.col("symbol").alias("_s"), F.col("day_of_year").alias("_d"))
+    apart = F.abs(F.dayofyear("earnings_date") - F.col("_d"))
+    near = (F.col("symbol") == F.col("_s")) & (F.least(apart, 365 - apart) <= days)
+    return rows.where(F.col("_n") <= most).unionByName(rows.where(F.col("_n") > most).join(day, near, "left_semi")).drop("_n")

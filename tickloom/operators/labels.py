@@ -141,3 +141,24 @@ def range_type(bars: DataFrame, preceding: int) -> DataFrame:
 
 def range_type_counts(bars: DataFrame, preceding: int) -> DataFrame:
     return range_type(bars, preceding).where("shape is not null").groupBy("shape").agg(F.count("*").alias("n"))
+
+
+def numbered_evenly(df: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
+    """df with `rank` from 0 without gaps and `total`: rows are numbered inside hash buckets, and buckets after each other."""
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) - 1
+    return rows.withColumn("_i", inside).join(F.broadcast(starts), "_b").withColumn("rank", F.col("_start") + F.col("_i")).drop("_b", "_i", "_start")
+
+
+def set_slice(df: DataFrame, keys: list[str], parts: int, i: int) -> DataFrame:
+    """Part i (from 0) of df cut into near-equal parts."""
+    rows = numbered_evenly(df, keys)
+    return rows.where(F.floor(F.col("rank") * parts / F.col("total")) == i).drop("rank", "total")
+
+
+def save_sets(inst: DataFrame, path: str, network: str, set_id: int) -> None:
+    """Append instances under network and set, as partitions."""
+    rows = inst.withColumn("network", F.lit(network)).withColumn("set_id", F.lit(set_id))
+    rows.write.mode("append").partitionBy("network", "set_id").parquet(path)

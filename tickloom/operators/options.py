@@ -73,3 +73,14 @@ def consolidate_options(dump: DataFrame, computed: DataFrame, exchanges: DataFra
     """Dump bars of contracts not yet computed, with the contract's facts and its underlying's exchange."""
     fresh = dump.join(computed.select("ticker").distinct(), "ticker", "left_anti")
     return parse_contract(fresh, "ticker", as_of_year).join(exchanges.select(F.col("symbol").alias("underlying"), "exchange"), "underlying")
+
+
+def strike_band_weekly(contracts: DataFrame, bars: DataFrame, cal: DataFrame, following: int, pad: float = 15.0) -> DataFrame:
+    """Each contract whose strike lies in the band of its underlying's lows and highs in the week that holds the market
+    day following - 1 market days before it expires."""
+    from .calendar import advance
+
+    week = F.trunc("advanced", "week")
+    placed = advance(contracts, "expiration_date", -(following - 1), cal).withColumn("_w", week)
+    lows = bars.groupBy(F.col("symbol").alias("underlying"), F.trunc("period_date", "week").alias("_w")).agg((F.min("low") - pad).alias("lo"), (F.max("high") + pad).alias("hi"))
+    return placed.join(lows, ["underlying", "_w"]).where(F.col("strike").between(F.col("lo"), F.col("hi"))).drop("_w", "advanced")

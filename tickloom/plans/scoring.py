@@ -177,13 +177,10 @@ def o2(spark, d):
     return _parsed(spark, d).select("k", opt.format_contract(c("underlying"), c("expiration_date"), c("contract_type"), c("strike")).alias("ticker"))
 
 
-_WEEK = "date '2021-03-01'"
-
-
-@register("o3_find_contracts", f"with {CONTRACTS_SQL} select k, strike from parsed, (select arg_min(underlying, k) as u, arg_min(expiration_date, k) as e from parsed) x where underlying = u and contract_type = 'CALL' and expiration_date - date_trunc('week', e)::date between 0 and 5 and strike > 0")
+@register("o3_find_contracts", f"with {CONTRACTS_SQL} select k, strike from parsed, (select arg_min(underlying, k) as u, arg_min(expiration_date, k) as e from parsed where isodow(expiration_date) < 6 and contract_type = 'CALL') x where underlying = u and contract_type = 'CALL' and expiration_date - date_trunc('week', e)::date between 0 and 5 and strike > 0")
 def o3(spark, d):
     rows = _parsed(spark, d)
-    one = rows.agg(F.min_by("underlying", "k"), F.min_by("expiration_date", "k")).first()
+    one = rows.where("weekday(expiration_date) < 5 and contract_type = 'CALL'").agg(F.min_by("underlying", "k"), F.min_by("expiration_date", "k")).first()
     return opt.find_contracts(rows, one[0], str(one[1]), "CALL", above=0.0).select("k", "strike")
 
 
@@ -199,10 +196,10 @@ def o5(spark, d):
     return opt.candidate_contracts(rows.withColumn("ticker", F.col("k")), "2024-01-01", "2021-01-01", "2022-12-31", "CALL", rows.where("k % 7 = 0").select(F.col("k").alias("ticker")), rows.where("k % 11 = 0").select(F.col("k").alias("ticker"))).select("k")
 
 
-@register("o6_pair_contracts", f"with {CONTRACTS_SQL}, pairs as (select underlying, expiration_date - 40 as target from parsed where k % 10 = 0), e as (select underlying, target, x.i as extension, date_trunc('week', target)::date + 4 + 7 * x.i as expiration_date from pairs, (select unnest(range(0, 5))::int as i) x), f as (select e.*, k from e join parsed using (underlying, expiration_date)), m as (select underlying, min(extension) as extension from f group by 1) select underlying, extension, target, k from f join m using (underlying, extension)")
+@register("o6_pair_contracts", f"with {CONTRACTS_SQL}, pairs as (select underlying, expiration_date - 16 as target from parsed where isodow(expiration_date) = 5), e as (select underlying, target, x.i as extension, date_trunc('week', target)::date + 4 + 7 * x.i as expiration_date from pairs, (select unnest(range(0, 5))::int as i) x), f as (select e.*, k from e join parsed using (underlying, expiration_date)), m as (select underlying, min(extension) as extension from f group by 1) select underlying, extension, target, k from f join m using (underlying, extension)")
 def o6(spark, d):
     rows = _parsed(spark, d)
-    pairs = rows.where("k % 10 = 0").select("underlying", F.date_sub("expiration_date", 40).alias("target"))
+    pairs = rows.where("weekday(expiration_date) = 4").select("underlying", F.date_sub("expiration_date", 16).alias("target"))
     return opt.pair_contracts(pairs, rows.select("underlying", "expiration_date", "k")).select("underlying", "extension", "target", "k")
 
 

@@ -49,7 +49,7 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import calendar, company, indicators, labels, quality, reference_data, relational, scoring, vectors  # noqa: F401
+    from .plans import calendar, company, indicators, labels, more, quality, reference_data, relational, scoring, vectors  # noqa: F401
 
 
 load()

@@ -157,3 +157,18 @@ def to_csv(df: DataFrame, path: str, exclude: tuple[str, ...] = ()) -> None:
 def plain_text(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     kept = df.drop(*exclude)
     return kept.select(*[F.regexp_replace(F.col(c).cast("string"), ",", "").alias(c) for c in kept.columns])
+
+
+def interest_by_region(df: DataFrame) -> DataFrame:
+    """keyword, json: a list of regions with a value each."""
+    t = "array<struct<geoCode: string, geoName: string, value: array<int>>>"
+    p = df.select("keyword", F.explode(F.from_json("json", t)).alias("p"))
+    return p.select("keyword", F.col("p.geoCode").alias("geo_code"), F.col("p.geoName").alias("geo_name"), F.get("p.value", F.lit(0)).alias("value"))
+
+
+def related(df: DataFrame) -> DataFrame:
+    """keyword, json: the top list and the rising list of related queries, with their rank."""
+    t = "struct<top: array<struct<query: string, value: int>>, rising: array<struct<query: string, value: int>>>"
+    j = df.select("keyword", F.from_json("json", t).alias("j"))
+    each = [j.select("keyword", F.lit(k).alias("kind"), F.posexplode(f"j.{k}").alias("rank", "x")) for k in ("top", "rising")]
+    return each[0].unionByName(each[1]).select("keyword", "kind", "rank", "x.query", "x.value")
