@@ -159,8 +159,8 @@ def n4(spark, d):
     return norm.normalize(df, norm.caps(df), 0.5).select(*KEY, r4("open").alias("open"), r4("close").alias("close"), r4("volume").alias("volume"))
 
 
-@register("n4_denormalize", f"with {BARS_SQL} select {K}, round(close, 4) as close, round(volume, 4) as volume from bars")
+@register("n4_denormalize", f"with {BARS_SQL} select {K}, close::float as close, volume::float as volume from bars")
 def n4_back(spark, d):
     df = bars(spark, d)
     caps = norm.caps(df)
-    return norm.denormalize(norm.normalize(df, caps, 0.5), caps, 0.5).select(*KEY, r4("close").alias("close"), r4("volume").alias("volume"))
+    return norm.denormalize(norm.normalize(df, caps, 0.5), caps, 0.5).select(*KEY, F.col("close").cast("float").alias("close"), F.col("volume").cast("float").alias("volume"))
