@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier that is regularised by counterfactuals.
 
-Features are the distinct words of a text and the first bytes of its words. Where a labelled text names a group, the
-name is swapped for other names of its kind; the loss adds the squared change of the score, so that the name alone moves
+Features are the distinct words of a text, the first bytes of its words, and the starts that two different words share.
+Where a labelled text names a group, the name is swapped for other names of its kind; the loss adds the squared change of the score, so that the name alone moves
 the score little.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._common import LOWER, materialise, mix, prefix_hash, range_hash, slices, words
 
 BITS = 24
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 #: Identity terms that may stand for each other, by kind (fixed values; a parameter of learn()).
 IDENTITY = (
@@ -38,23 +38,26 @@ def _ids(h: np.ndarray, kind: int) -> np.ndarray:
     return (mix(h + np.uint64(kind)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-_TRIM = np.zeros(256, bool)
-_TRIM[[*b".,;:!?\"'()[]"]] = True
+# letters (A-Z lowered), digits and bytes above 127 stand; all else is white space, so that marks around a word don't hide it
+_PLAIN = LOWER.copy()
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 
 
 def found(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature number) pairs, repeats included: words without closing punctuation, and word starts."""
-    low = LOWER[buf]
+    """(text number, feature number) pairs, repeats included: words, word starts, and starts of two different words."""
+    low = _PLAIN[buf]
     s, e, doc = words(low, offs)
-    for _ in range(2):
-        e = e - ((e - s > 1) & _TRIM[low[np.maximum(e - 1, 0)]])
-        s = s + ((e - s > 1) & _TRIM[low[np.minimum(s, max(len(low) - 1, 0))]])
     p = prefix_hash(low)
-    docs, out = [doc], [_ids(range_hash(p, s, e), 0)]
+    h = range_hash(p, s, e)
+    docs, out = [doc], [_ids(h, 0)]
     for k in PREFIXES:
         long = e - s > k
-        docs.append(doc[long])
-        out.append(_ids(range_hash(p, s[long], s[long] + k), k))
+        d, f, w = doc[long], _ids(range_hash(p, s[long], s[long] + k), k), h[long]
+        order = np.lexsort((w, f, d))
+        d, f, w = d[order], f[order], w[order]
+        family = np.flatnonzero((d[1:] == d[:-1]) & (f[1:] == f[:-1]) & (w[1:] != w[:-1]))
+        docs += [d, d[family]]
+        out += [f, _ids(f[family].astype(np.uint64), k + 32)]
     return np.concatenate(docs), np.concatenate(out)
 
 
