@@ -8,6 +8,7 @@ over the cluster. All recursive indicators of a ticker come from one pass, so th
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -75,9 +76,8 @@ def _smooth(x: np.ndarray, start: int, p: int, seed: float, step) -> np.ndarray:
     """seed at row start, then step(previous, x[row]) at each later row."""
     out = np.full(len(x), np.nan)
     if start < len(x):
-        out[start] = v = seed
-        for i in range(start + 1, len(x)):
-            out[i] = v = step(v, x[i])
+        # plain floats: a numpy scalar at every step costs several times as much
+        out[start:] = list(accumulate(x[start + 1 :].tolist(), step, initial=float(seed)))
     return out
 
 
@@ -155,17 +155,18 @@ def supertrend_values(h, l, c, p=7, k=3.0):  # noqa: E741
     if len(c) < p:
         return st, side
     mid = (h + l) / 2
-    hi, lo = mid + k * atr, mid - k * atr
-    i = p - 1
-    fu, fl = hi[i], lo[i]
-    st[i] = fu if c[i] < fu else fl
-    side[i] = 1 if c[i] > st[i] else -1
-    for i in range(p, len(c)):
-        nu = hi[i] if hi[i] < fu or c[i - 1] > fu else fu
-        nl = lo[i] if lo[i] > fl or c[i - 1] < fl else fl
-        st[i] = nu if (st[i - 1] == fu and c[i] <= nu) or (st[i - 1] == fl and c[i] <= nl) else nl
-        side[i] = 1 if c[i] > st[i] else -1
+    hi, lo, close = ((x[p - 1 :]).tolist() for x in (mid + k * atr, mid - k * atr, c))
+    fu, fl = hi[0], lo[0]
+    value = fu if close[0] < fu else fl
+    line = [value]
+    for i in range(1, len(close)):
+        nu = hi[i] if hi[i] < fu or close[i - 1] > fu else fu
+        nl = lo[i] if lo[i] > fl or close[i - 1] < fl else fl
+        value = nu if (value == fu and close[i] <= nu) or (value == fl and close[i] <= nl) else nl
+        line.append(value)
         fu, fl = nu, nl
+    st[p - 1 :] = line
+    side[p - 1 :] = np.where(c[p - 1 :] > st[p - 1 :], 1, -1)
     return st, side
 
 
@@ -204,7 +205,8 @@ def recursive(bars: DataFrame, which: Iterable[str] = RECURSIVE, variant: str =
         got = pdf[[*TICKER, "period_date"]].copy()
         for name in which:
             v = out[name]
-            got[name] = pd.array([x if x else None for x in v.tolist()], "Int32") if name == "st_side" else [None if x != x else x for x in v.tolist()]
+            # NaN becomes NULL on the way back
+            got[name] = pd.arrays.IntegerArray(v.astype(np.int32), v == 0) if name == "st_side" else v
         return got
 
     schema = "exchange string, symbol string, period_date date, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
