@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from math import ceil
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,31 @@ TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
 }
 
+#: Notices of further licences, and longer forms of those above. Only windows are compared with them.
+NOTICES = {
+    "mit-licensed-line": "Licensed under the MIT License.",
+    "bsd-line": "Licensed under the BSD License.",
+    "mpl-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "gpl-3.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+    "lgpl-3.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+    "agpl-3.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+}
+
+
+def longer() -> dict[str, str]:
+    """NOTICES and the whole licence texts of the folder license_texts."""
+    return NOTICES | {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 # letters (A-Z lowered), digits and bytes above 127 stand; the newline keeps lines apart; all else is white space
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58] = np.arange(48, 58)
@@ -43,47 +72,64 @@ def bigrams(text: bytes) -> set[tuple[bytes, bytes]]:
     return set(zip(w, w[1:]))
 
 
+def _hashes(text: bytes) -> np.ndarray:
+    """Hashes of all word bigrams of the normalised text, in order."""
+    buf = _PLAIN[np.frombuffer(text, np.uint8)]
+    s, e, d = words(buf, np.array([0, len(buf)]))
+    return ngrams(range_hash(prefix_hash(buf), s, e), np.zeros_like(d), 2)[0]
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, str], threshold: float):
+    def __init__(self, templates: dict[str, str], threshold: float, longer: dict[str, str] | None = None):
         self.threshold = threshold
         self.sets = sorted((len(b), k, b) for k, t in templates.items() if (b := bigrams(t.encode())))
         t = threshold
         # Dice >= t needs t / (2 - t) <= |A| / |B| <= (2 - t) / t
-        self.low = min((t / (2 - t) * n for n, _, _ in self.sets), default=0)
-        self.high = max(((2 - t) / t * n for n, _, _ in self.sets), default=-1)
-        known = set()
-        for _, _, b in self.sets:
-            for pair in b:
-                buf = np.frombuffer(b" ".join(pair), np.uint8)
-                s, e, d = words(buf, np.array([0, len(buf)]))
-                known.add(int(ngrams(range_hash(prefix_hash(buf), s, e), d, 2)[0][0]))
-        self.known = np.array(sorted(known), np.uint64)
+        self.least, self.most = t / (2 - t), (2 - t) / t
+        self.low = min((self.least * n for n, _, _ in self.sets), default=0)
+        self.high = max((self.most * n for n, _, _ in self.sets), default=-1)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(x.encode()) for x in templates.values())]))
         self.fast = np.zeros(1 << 16, bool)
         self.fast[(self.known >> np.uint64(48)).astype(np.int64)] = True
 
-    def best(self, text: bytes) -> list[tuple[str, float]]:
-        """The best template of at least the threshold, and any that ties with it."""
+        # for windows: name, bigrams as strings, their hashes, number of bigrams with repeats; and who has a bigram
+        every = {**templates, **(longer or {})}
+        runs = {k: _hashes(x.encode()) for k, x in every.items()}
+        self.wide = [(k, bigrams(every[k].encode()), np.unique(h), len(h)) for k, h in runs.items() if len(h)]
+        owner = np.repeat(np.arange(len(self.wide)), [len(h) for _, _, h, _ in self.wide])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in self.wide)])
+        order = np.argsort(hashes, kind="stable")
+        self.owner = owner[order]
+        self.grams, self.first, self.owners = np.unique(hashes[order], return_index=True, return_counts=True)
+        self.need = np.array([ceil(self.least * len(h) - 1e-9) for _, _, h, _ in self.wide], np.int64)
+        self.fast_wide = np.zeros(1 << 20, bool)
+        self.fast_wide[(self.grams >> np.uint64(44)).astype(np.int64)] = True
+
+    def best(self, text: bytes) -> list[tuple[str, float, int]]:
+        """The best template of at least the threshold, and any that ties with it: name, dice, shared bigrams."""
         own = bigrams(text)
         n, out, top = len(own), [], self.threshold
         for size, name, want in self.sets:
             if 2 * min(n, size) < top * (n + size):
                 continue  # the bound by sizes alone
-            d = 2 * len(own & want) / (n + size)
+            shared = len(own & want)
+            d = 2 * shared / (n + size)
             if d >= top:
-                out = [x for x in out if x[1] == d] + [(name, d)]
+                out = [x for x in out if x[1] == d] + [(name, d, shared)]
                 top = d
         return out
 
     def scan(self, buf: np.ndarray, offs: np.ndarray):
-        """(text number, template, dice) of each line, and of each whole text of several lines, that matches."""
+        """(text number, template, dice) of each line, each whole text of several lines, and each window that matches."""
         plain = _PLAIN[buf]
         cut = np.flatnonzero(plain == 10)
         lines = np.union1d(offs, cut)  # a line's number is where it starts, counted over the slice
         s, e, doc = words(plain, offs)
-        if not len(s) or not self.sets:
+        if not len(s) or not self.wide:
             return
         h = range_hash(prefix_hash(plain), s, e)
         line = np.searchsorted(lines, s, "right") - 1
+        parts: dict[int, list[tuple[int, int, str, int]]] = {}
         for unit, bounds in ((line, lines), (doc, offs)):
             grams, at = ngrams(h, unit, 2)
             per = np.bincount(unit[at], minlength=len(bounds))
@@ -98,20 +144,140 @@ class Scanner:
                     continue
                 if per[u] > self.high and len(bigrams(plain[a:b].tobytes())) > self.high:
                     continue
-                for name, d in self.best(plain[a:b].tobytes()):
+                for name, d, shared in self.best(plain[a:b].tobytes()):
+                    parts.setdefault(number, []).append((*(int(x) for x in np.searchsorted(s, [a, b])), name, shared))
                     yield number, name, d
+        # grams and at are now those of whole texts
+        likely = np.flatnonzero(self.fast_wide[(grams >> np.uint64(44)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.grams, grams[likely]), len(self.grams) - 1)
+        same = self.grams[spot] == grams[likely]
+        likely, spot = likely[same], spot[same]
+        many = self.owners[spot]
+        which = self.owner[np.repeat(self.first[spot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(spot) else spot
+        where = np.repeat(likely, many)
+        key = doc[at[where]] * np.int64(len(self.wide)) + which
+        order = np.argsort(key, kind="stable")
+        key, where = key[order], where[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+        size = np.diff(np.append(begin, len(key)))
+        found: dict[int, list] = {}
+        for x in np.flatnonzero(size >= self.need[key[begin] % len(self.wide)]):
+            number, k = divmod(int(key[begin[x]]), len(self.wide))
+            mine = at[where[begin[x] : begin[x] + size[x]]]
+            bounds = np.searchsorted(doc, [number, number + 1])
+            got = found.setdefault(number, [])
+            taken = [(a, b) for a, b, name, _ in parts.get(number, []) if name == self.wide[k][0]]
+            for a, b in self.windows(k, mine, h, line, int(bounds[0]), int(bounds[1]), taken):
+                own, want = bigrams(plain[s[a] : e[b - 1]].tobytes()), self.wide[k][1]
+                shared = len(own & want)
+                if (d := 2 * shared / (len(own) + len(want))) >= self.threshold:
+                    got.append((-shared, -d, a, b, self.wide[k][0]))
+        for number, got in found.items():
+            told: list[tuple] = []
+            for less, d, a, b, name in sorted(got):
+                if any(x < b and a < y and shared >= -less for x, y, _, shared in parts.get(number, [])):
+                    continue
+                if any(x < b and a < y and (less, d, a, b) != other for x, y, other in told):
+                    continue
+                told.append((a, b, (less, d, a, b)))
+                yield number, name, -d
+
+    def windows(self, k: int, mine: np.ndarray, h: np.ndarray, line: np.ndarray, lo: int, hi: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Word ranges in [lo, hi), the words of one text, that match template k; `mine` are the places of its bigrams."""
+        _, _, want, length = self.wide[k]
+        size, longest = len(want), int(self.most * length + 1e-9)
+        free = np.ones(hi - lo + 1, bool)  # by word, counted from lo
+        free[-1] = False
+        for a, b in taken:
+            free[a - lo : b - lo] = False
+        mine = mine - lo
+        mine = mine[free[mine] & free[mine + 1]]
+        if len(mine) < self.need[k] or len(np.unique(ngrams(h[lo:hi], np.zeros(hi - lo, np.int8), 2)[0][mine])) < self.need[k]:
+            return []
+        grams, _ = ngrams(h[lo:hi], np.zeros(hi - lo, np.int8), 2)
+        kind = np.unique(grams, return_inverse=True)[1]
+        order = np.argsort(kind, kind="stable")
+        last = np.full(len(grams), -1)  # where the same bigram stood before
+        again = kind[order][1:] == kind[order][:-1]
+        last[order[1:][again]] = order[:-1][again]
+        known = np.zeros(len(grams), bool)
+        known[mine] = True
+        stop = np.flatnonzero(~free)
+        row = line[lo:hi]
+        # a line whose size fits the template is weighed as a line; inside it, shorter windows than the template do not count
+        fits = np.zeros(hi - lo, np.int64)  # end of the fitting line that a word stands in
+        starts = [mine]
+        for r in np.unique(row[mine]):
+            a, b = (int(x) for x in np.searchsorted(row, [r, r + 1]))
+            if self.least * size - 1e-9 <= len(np.unique(kind[a : b - 1])) <= self.most * size + 1e-9:
+                fits[a:b] = b
+                starts.append(np.arange(a, b - 1))
+        begin = np.unique(np.concatenate(starts))
+        begin = begin[free[begin]]
+        begin = begin[np.searchsorted(mine, begin + longest) - np.searchsorted(mine, begin) >= self.need[k]]
+        end = stop[np.searchsorted(stop, begin)]  # the first word that is not free
+
+        def best(i: int, limit: int):
+            """(-dice, bigrams, start) of the best window from word i that ends by `limit`; the shortest of equals."""
+            z = min(i + longest, limit - 1)
+            if z <= i:
+                return None
+            new = last[i:z] < i
+            d = 2 * np.cumsum(new & known[i:z]) / (np.cumsum(new) + size)
+            if fits[i]:
+                d[: max(0, min(length - 1, fits[i] - 1 - i))] = 0
+            j = int(d.argmax())
+            return (-float(d[j]), j + 1, i) if d[j] >= self.threshold else None
+
+        limit = dict(zip(begin.tolist(), end.tolist()))
+        now = {i: b for i, z in limit.items() if (b := best(i, z))}
+        heap = list(now.values())
+        heapify(heap)
+        out = []
+        while heap:
+            item = heappop(heap)
+            d, n, i = item
+            if now.get(i) != item:
+                continue
+            a, b = i, i + n + 1
+            out.append((a + lo, b + lo))
+            for x in range(max(0, a - longest), b):
+                if x in now:
+                    old = now[x]
+                    if x >= a:
+                        del now[x]
+                        continue
+                    limit[x] = min(limit[x], a)
+                    if x + old[1] + 1 > a:
+                        del now[x]
+                        if new := best(x, limit[x]):
+                            now[x] = new
+                            heappush(heap, new)
+        return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, more: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license_id, dice (the best of any part) and n_parts, for documents with a part like a template.
 
-    The parts of a text are its \\n-split lines, and the whole text if it has several lines. Normalised: A-Z lower-cased,
-    all but letters, digits and other scripts made white space. A part matches its best templates (ties: each of them) if
-    the Dice coefficient of their sets of word bigrams reaches the threshold; sizes that rule this out are pruned. Null
-    and empty texts, and parts of one word, match nothing. Rows that repeat a doc_id count together. The templates are
-    a parameter whose size the caller sets; they go to every executor.
+    The parts of a text are its \\n-split lines, the whole text if it has several lines, and windows. Normalised: A-Z
+    lower-cased, all but letters, digits and other scripts made white space. A line or whole text matches its best
+    templates (ties: each of them) if the Dice coefficient of their sets of word bigrams reaches the threshold; sizes that
+    rule this out are pruned.
+
+    A window is a run of words, over any lines, of at most (2 - t) / t times a template's bigrams. For each template the
+    best window of at least the threshold is taken (ties: the shortest, then the first), then the best of the words left
+    beside it, and so on. Words of a line or text that matches the template itself are left out; so are windows shorter
+    than the template inside one line whose size fits it, which was weighed as a line. Of windows that overlap, the one
+    with more shared bigrams counts, then the higher Dice, then the first (ties in all: each template); a window that
+    overlaps a matching line or text counts only if it shares more bigrams.
+
+    Null and empty texts, and parts of one word, match nothing. Rows that repeat a doc_id count together. The templates,
+    and `more` (for windows only; with the default templates, the notices and whole texts of longer()), are parameters
+    whose size the caller sets; they go to every executor.
     """
-    given = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, threshold))
+    if more is None and templates is None:
+        more = longer()
+    given = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, threshold, more))
     schema = docs.select("doc_id").schema.add("license_id", "string").add("dice", "double")
 
     def run(batches):
