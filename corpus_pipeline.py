@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one with the smallest doc_id."""
+    """One document of each SimHash class (op3's law: 3 bits at most; see the README for its recall): the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
