@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier that is regularised by counterfactuals.
 
 Features are the distinct words of a text, the first bytes of its words, and the starts that two different words share.
-Where a labelled text names a group, the name is swapped for other names of its kind; the loss adds the squared change of the score, so that the name alone moves
+Where a labelled text names a group, the name is swapped for every other name of its kind; the loss adds the squared change of the score, so that the name alone moves
 the score little.
 """
 
@@ -166,10 +166,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", identity: tu
     for _, own in got:
         have = set(own)
         for kind in kinds:
-            for i, (w, _) in enumerate(kind):
+            for w, _ in kind:
                 if have.issuperset(places[w]):
-                    other = places[kind[(i + 1) % len(kind)][0]]
-                    twins.append((sorted(set(places[w]) - set(other)), sorted(set(other) - set(places[w]))))
+                    for other in (places[x] for x, _ in kind if x != w):
+                        twins.append((sorted(set(places[w]) - set(other)), sorted(set(other) - set(places[w]))))
     w, b = fit([own for _, own in got], np.array([y for y, _ in got], float), twins, len(ids), fairness)
     return Model(ids, w, b)
 
