@@ -67,6 +67,36 @@ def mixed(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(*cols, F.lit(seed))
 
 
+def hash_range(c: Column) -> Column:
+    """The one of 4,096 equal ranges that a 64-bit hash falls into; ranges are in the order of the hashes."""
+    return F.shiftright(c, 52)
+
+
+def key_ranges(df: DataFrame, order: list[str], ranges: int = 256) -> DataFrame:
+    """df with `_range`: near-equal ranges of its rows in the order of the columns, cut at keys of a fixed sample."""
+    keys = df.select(F.struct(*order).alias("_k"))
+    few = keys.orderBy(F.xxhash64("_k"), "_k").limit(8 * ranges).agg(F.sort_array(F.collect_list("_k")).alias("_all"))
+    cuts = few.select(F.expr("filter(_all, (x, i) -> i % 8 = 7)").alias("_cuts"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda x: x <= F.struct(*order)))).drop("_cuts")
+
+
+def ranked(df: DataFrame, group: list[str], ranges: list[str], order: list) -> DataFrame:
+    """df with `_nth`, the number from 1 by `order` inside its group, and `_n`, the group's count.
+
+    Rows are numbered inside ranges, and ranges after each other, so that no task holds a whole group. `ranges` are few
+    values that rise with the order; rows of one order key must share them.
+    """
+    counts = df.groupBy(*group, *ranges).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*(group or [F.lit(1)]))
+    before = F.sum("_c").over(w.orderBy(*ranges)) - F.col("_c")
+    keys = [*group, *ranges]
+    starts = counts.select(*[F.col(k).alias(f"{k}_of") for k in keys], before.alias("_before"), F.sum("_c").over(w).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = df.withColumn("_own", own)
+    same = [rows[k].eqNullSafe(starts[f"{k}_of"]) for k in keys]
+    return rows.join(F.broadcast(starts), same).withColumn("_nth", F.col("_before") + F.col("_own")).drop("_before", "_own", *[f"{k}_of" for k in keys])
+
+
 def reduce_instances(inst: DataFrame, sims: DataFrame, top: float = 0.5, bottom: float = 0.03, method: str = "FIBONACCI", share: float = 0.5, cls: str = "NEGATIVE") -> DataFrame:
     """inst with one class thinned by similarity rank: both ends stay whole, only the middle slice loses rows.
 
@@ -93,20 +123,18 @@ def balanced_sample(inst: DataFrame, n: int, ratio: float = 1 / 6, min_per_ticke
     """ceil(n * ratio) positives and ceil(n * (1 - ratio)) negatives; each ticker's first min_per_ticker come first."""
     order = mixed("exchange", "symbol", "period_date", seed=seed)
     own = F.row_number().over(Window.partitionBy(*TICKER, "cls").orderBy(order, "period_date"))
-    first = inst.withColumn("_first", (own > min_per_ticker).cast("int")).withColumn("_o", order)
-    nth = F.row_number().over(Window.partitionBy("cls").orderBy("_first", "_o", *TICKER, "period_date"))
+    first = inst.withColumn("_first", (own > min_per_ticker).cast("int")).withColumn("_o", order).withColumn("_range", hash_range(order))
     want = F.when(F.col("cls") == "POSITIVE", math.ceil(n * ratio)).otherwise(math.ceil(n * (1 - ratio)))
-    return first.withColumn("_n", nth).where(F.col("_n") <= want).drop("_first", "_o", "_n")
+    rows = ranked(first, ["cls"], ["_first", "_range"], ["_o", *TICKER, "period_date"])
+    return rows.where(F.col("_nth") <= want).select(*inst.columns)
 
 
 def split(inst: DataFrame, train: float, validation: float, seed: int = 0) -> DataFrame:
     """inst with `part`: train, validation or test, by floors of each class's count."""
-    w = Window.partitionBy("cls")
-    nth = F.row_number().over(w.orderBy(mixed("exchange", "symbol", "period_date", seed=seed), *TICKER, "period_date"))
-    n = F.count("*").over(w)
-    rows = inst.withColumn("_k", nth).withColumn("_n", n)
+    order = mixed("exchange", "symbol", "period_date", seed=seed)
+    rows = ranked(inst.withColumn("_range", hash_range(order)), ["cls"], ["_range"], [order, *TICKER, "period_date"])
     a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * (train + validation))
-    return rows.withColumn("part", F.when(F.col("_k") <= a, "train").when(F.col("_k") <= b, "validation").otherwise("test")).drop("_k", "_n")
+    return rows.withColumn("part", F.when(F.col("_nth") <= a, "train").when(F.col("_nth") <= b, "validation").otherwise("test")).select(*inst.columns, "part")
 
 
 def assign_windows(counts: DataFrame, sets: int, target: float) -> DataFrame:
@@ -114,15 +142,16 @@ def assign_windows(counts: DataFrame, sets: int, target: float) -> DataFrame:
     total = F.col("positive") + F.col("negative")
     ratio = F.col("positive") / total
     bucket = F.when(F.abs(ratio - target) <= 0.02, 0).when(F.abs(ratio - target) <= 0.05, 1).otherwise(2)
-    k = F.row_number().over(Window.orderBy("_bucket", F.desc("_total"), *TICKER)) - 1
-    rows = counts.withColumn("_bucket", bucket).withColumn("_total", total).withColumn("_k", k % (2 * sets))
-    return rows.withColumn("window", F.when(F.col("_k") < sets, F.col("_k")).otherwise(2 * sets - 1 - F.col("_k")).cast("int")).drop("_bucket", "_total", "_k")
+    order = ["_bucket", "_less", *TICKER]
+    rows = ranked(key_ranges(counts.withColumn("_bucket", bucket).withColumn("_less", -total), order), [], ["_range"], order)
+    k = (F.col("_nth") - 1) % (2 * sets)
+    return rows.withColumn("window", F.when(k < sets, k).otherwise(2 * sets - 1 - k).cast("int")).select(*counts.columns, "window")
 
 
 def page(symbols: DataFrame, size: int, i: int) -> DataFrame:
     """Page i (from 0) of the tickers, in order."""
-    n = F.row_number().over(Window.orderBy(*TICKER)) - 1
-    return symbols.withColumn("_p", F.floor(n / size)).where(F.col("_p") == i).drop("_p")
+    rows = ranked(key_ranges(symbols, TICKER), [], ["_range"], TICKER)
+    return rows.where(F.floor((F.col("_nth") - 1) / size) == i).select(*symbols.columns)
 
 
 def range_type(bars: DataFrame, preceding: int) -> DataFrame:
