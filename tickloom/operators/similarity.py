@@ -50,36 +50,80 @@ def similarity(df: DataFrame, a: str, b: str, metric: str) -> DataFrame:
     return df.withColumn(metric, METRICS[metric](F.col(a), F.col(b)))
 
 
-def distance_sums(vectors: DataFrame, group: str, vec_id: str, vec: str, blocks: int = 16) -> DataFrame:
-    """group, id and the sum of Euclidean distances from each vector to all others of its group.
+#: Vectors of a block at most, about; and values of one tile of differences.
+BLOCK, TILE = 2048, 1 << 21
+
+
+def _cross(x, y):
+    """The sums of distances from each row of x to all of y and the other way, by direct differences in bounded tiles."""
+    import numpy as np
+
+    left, right = np.zeros(len(x)), np.zeros(len(y))
+    width = max(1, x.shape[1])
+    n = max(1, min(len(y), TILE // width))
+    m = max(1, TILE // (width * n))
+    for i in range(0, len(x), m):
+        for j in range(0, len(y), n):
+            d = np.sqrt(((x[i : i + m, None, :] - y[None, j : j + n, :]) ** 2).sum(2))
+            left[i : i + m] += d.sum(1)
+            right[j : j + n] += d.sum(0)
+    return left, right
+
+
+def _block_sums(rows: DataFrame, block: int) -> DataFrame:
+    """g, i and s: sums of distances of vectors (g, i, v, fresh) over all pairs of a group with a fresh one.
 
-    A group is cut into blocks by id; each pair of blocks is one task's work, done as a matrix product in numpy, so that
-    a large group spreads over blocks * (blocks + 1) / 2 tasks and none holds it whole.
+    A group has 16 blocks, and more as its count grows, so that a block stays bounded; each pair of blocks is a task's
+    work. In a pair of blocks, only fresh rows meet rows that are not.
     """
     import numpy as np
     import pandas as pd
 
-    rows = vectors.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(vec_id), F.lit(blocks)).cast("int").alias("b"))
-    low = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))).alias("p")
-    dealt = rows.select("g", "i", "v", "b", low).select("g", "i", "v", "b", "p.lo", "p.hi")
+    count = rows.groupBy(F.col("g").alias("_g")).agg(F.greatest(F.least(F.count("*"), F.lit(16)), F.ceil(F.count("*") / block)).cast("int").alias("m"))
+    rows = rows.join(count, F.col("g").eqNullSafe(F.col("_g"))).drop("_g").withColumn("b", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
+    # a pair of blocks is left out if neither holds a fresh row
+    some = rows.where("fresh").select(F.col("g").alias("_g"), F.col("b").alias("o")).distinct().groupBy("_g").agg(F.collect_set("o").alias("_with"))
+    other = F.when(F.array_contains("_with", F.col("b")), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.col("_with"))
+    pair = F.explode(F.transform(other, lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))).alias("p")
+    dealt = rows.join(some, F.col("g").eqNullSafe(F.col("_g"))).select("g", "i", "v", "fresh", "b", pair).select("g", "i", "v", "fresh", "b", "p.lo", "p.hi")
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
         a, b = pdf[pdf["b"] == lo], pdf[pdf["b"] == hi]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"g": [], "i": [], "s": []})
-        x, y = np.stack(a["v"]), np.stack(b["v"])
-        total = [np.zeros(len(x)), np.zeros(len(y))]
-        for k in range(0, len(x), 512):
-            d = np.sqrt(np.maximum(((x[k : k + 512, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if x.shape[1] * len(y) < 200_000 else np.sqrt(np.maximum((x[k : k + 512] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[k : k + 512] @ y.T, 0))
-            total[0][k : k + 512] += d.sum(1)
-            total[1] += d.sum(0)
-        out = pd.DataFrame({"g": a["g"], "i": a["i"], "s": total[0]})
-        return out if lo == hi else pd.concat([out, pd.DataFrame({"g": b["g"], "i": b["i"], "s": total[1]})])
+        out = []
+
+        def add(x, y, both=True):
+            if len(x) and len(y):
+                left, right = _cross(np.stack(x["v"]), np.stack(y["v"]))
+                out.append(pd.DataFrame({"g": x["g"], "i": x["i"], "s": left}))
+                if both:
+                    out.append(pd.DataFrame({"g": y["g"], "i": y["i"], "s": right}))
+
+        new, old = a[a["fresh"]], a[~a["fresh"]]
+        if lo == hi:
+            add(new, new, False)
+            add(new, old)
+        else:
+            add(new, b)
+            add(old, b[b["fresh"]])
+        return pd.concat(out) if out else pd.DataFrame({"g": [], "i": [], "s": []})
 
     kinds = rows.schema
     schema = f"g {kinds['g'].dataType.simpleString()}, i {kinds['i'].dataType.simpleString()}, s double"
-    parts = dealt.groupBy("g", "lo", "hi").applyInPandas(block, schema)
+    return dealt.groupBy("g", "lo", "hi").applyInPandas(work, schema)
+
+
+def _plain(vectors: DataFrame, group: str, vec_id: str, vec: str, fresh: bool) -> DataFrame:
+    return vectors.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.lit(fresh).alias("fresh"))
+
+
+def distance_sums(vectors: DataFrame, group: str, vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
+    """group, id and the sum of Euclidean distances from each vector to all others of its group.
+
+    A group is cut by id into 16 blocks or more, of about `block` vectors at most; each pair of blocks is one task's work, so that a large
+    group spreads over many tasks and none holds it whole.
+    """
+    parts = _block_sums(_plain(vectors, group, vec_id, vec, True), block)
     return parts.groupBy("g", "i").agg(F.sum("s").alias("value")).withColumnsRenamed({"g": group, "i": vec_id})
 
 
@@ -88,17 +132,11 @@ def check_range(vectors: DataFrame, vec: str, low: float = 0.0, high: float = 1.
     return vectors.where(F.exists(vec, lambda x: (x < low) | (x > high)))
 
 
-def update_distance_sums(stored: DataFrame, old: DataFrame, new: DataFrame, group: str, vec_id: str, vec: str) -> DataFrame:
-    """Sums after adding vectors: only new against all is computed, and added to what is stored."""
-    x = new.select(F.col(group).alias("g"), F.col(vec_id).alias("a"), F.col(vec).alias("va"))
-    y = old.unionByName(new).select(F.col(group).alias("g"), F.col(vec_id).alias("b"), F.col(vec).alias("vb"))
-    fresh = new.select(F.col(vec_id).alias("b")).withColumn("_new", F.lit(True))
-    d = x.join(y, "g").where("a <> b").join(fresh, "b", "left").select("g", "a", "b", "_new", euclidean(F.col("va"), F.col("vb")).alias("d"))
-    to_new = d.select("g", F.col("a").alias("i"), "d")
-    to_old = d.where("_new is null").select("g", F.col("b").alias("i"), "d")
-    had = stored.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col("value").alias("d"))
-    every = had.unionByName(to_new).unionByName(to_old)
-    return every.groupBy("g", "i").agg(F.sum("d").alias("value")).withColumnsRenamed({"g": group, "i": vec_id})
+def update_distance_sums(stored: DataFrame, old: DataFrame, new: DataFrame, group: str, vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
+    """Sums after adding vectors: only new against all is computed, in blocks, and added to what is stored."""
+    parts = _block_sums(_plain(old, group, vec_id, vec, False).unionByName(_plain(new, group, vec_id, vec, True)), block)
+    had = stored.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col("value").alias("s"))
+    return had.unionByName(parts).groupBy("g", "i").agg(F.sum("s").alias("value")).withColumnsRenamed({"g": group, "i": vec_id})
 
 
 def check_similarity_dates(stored: DataFrame, inst: DataFrame) -> DataFrame:
