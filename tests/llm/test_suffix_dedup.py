@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ def brute(items, length=100):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bucket", [suffix_dedup.BUCKET, 1])
-def test_against_all_strings(spark, docs, corpus, bucket):
-    got = suffix_dedup.digests(docs.repartition(4), bucket=bucket).collect()
+@pytest.mark.parametrize("part,block", [(suffix_dedup.PART, suffix_dedup.BLOCK), (2, 3), (1, 1)])
+def test_against_all_strings(spark, docs, corpus, part, block):
+    got = suffix_dedup.digests(docs.repartition(4), part=part, block=block).collect()
     assert sorted(map(tuple, got), key=str) == brute(list(enumerate(corpus)))
 
 
@@ -73,3 +75,47 @@ def test_difference_cover():
         d = suffix_dedup.difference_cover(v)
         assert {(a - b) % v for a in d for b in d} == set(range(v))
         assert len(d) < v
+
+
+def _random_block(seed):
+    """Texts at random places of random documents, with shared passages, in buckets that hold texts with no common string too."""
+    rng = random.Random(seed)
+    shared = [bytes(rng.choice(b"abc") for _ in range(rng.randint(100, 130))) for _ in range(3)]
+    texts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 30))) + rng.choice([*shared, b"a" * 120]) + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(12)]
+    bucket, doc, place = np.sort([rng.randrange(4) for _ in texts]), np.array([rng.randrange(9) for _ in texts]), np.array([1000 * i + rng.randrange(500) for i in range(len(texts))])
+    return texts, bucket, doc, place
+
+
+def _repeats(texts, bucket, doc, place, cover, v):
+    begin = np.cumsum([0, *map(len, texts)])
+    suffix, gone = suffix_dedup.repeats(np.frombuffer(b"".join(texts), np.uint8), begin, bucket, doc, place, 100, cover, v)
+    return {(int(np.searchsorted(begin, s, "right")) - 1, int(s)) for s in suffix[gone]}
+
+
+def _earlier_equal(texts, bucket, doc, place):
+    begin, first, out = np.cumsum([0, *map(len, texts)]), {}, set()
+    every = [(doc[i], place[i] + k, i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
+    for _, _, i, k in sorted(every):
+        key = (bucket[i], texts[i][k : k + 100])
+        if key in first:
+            out.add((i, int(begin[i]) + k))
+        first.setdefault(key, (i, k))
+    return out
+
+
+@pytest.mark.parametrize("v", [1, 7, 32, 64])
+def test_block_against_a_dictionary(v):
+    for seed in range(40):
+        block = _random_block(seed)
+        assert _repeats(*block, suffix_dedup.difference_cover(v), v) == _earlier_equal(*block)
+
+
+def test_the_cover_is_needed():
+    """Samples at one residue alone leave most pairs of places without a common offset: equal strings are missed."""
+    found = wanted = 0
+    for seed in range(20):
+        block = _random_block(seed)
+        less, all_ = _repeats(*block, [0], 32), _earlier_equal(*block)
+        assert less <= all_
+        found, wanted = found + len(less), wanted + len(all_)
+    assert found < wanted / 2
