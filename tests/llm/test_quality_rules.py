@@ -43,13 +43,29 @@ def test_order_does_not_matter(spark, docs):
     assert set(q.order_rules(docs)) == set(q.RULES)
 
 
+def test_cascade_is_the_same_each_time_and_counts_what_is_left(spark):
+    bad = ["one two three! four! five! six! seven! eight! nine! ten!", "* # one * # two * # three * # four * # five six seven eight nine ten"]
+    df = spark.createDataFrame(rows([bad[0]] * 30 + [bad[1]] * 5 + ["plain words and no more than that in this very short text"] * 30), SCHEMA).repartition(3)
+    exclaimed, symbols = (next(r for r in q.RULES if r.name == n) for n in ("exclaimed", "symbols"))
+    shadow = q.Rule("shadow", exclaimed.rejects, exclaimed.chars * 1.5)  # rejects nothing that exclaimed leaves
+    orders = [[r.name for r in q.order_rules(df, (shadow, symbols, exclaimed))] for _ in range(3)]
+    assert orders == [["exclaimed", "symbols", "shadow"]] * 3
+
+
+def test_null_key_stays(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in q.judge(df, ["doc_id"]).collect()] == [None, None]
+    assert q.keep(df).count() == 0
+
+
 def test_plan_is_native(spark, docs):
-    plan = q.judge(docs, ["doc_id"], ordered=list(q.RULES))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for df in (q.judge(docs, ["doc_id"], ordered=list(q.RULES)), q.keep(docs, ordered=[*q.BASE, *q.RULES])):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
 
 
 def test_keep_and_empty(spark, docs, corpus):
-    extra = docs.withColumn("kept", F.lit(1)).withColumn("_row", F.lit(2))
+    docs, corpus = spark.createDataFrame(rows(corpus + ODD), SCHEMA), corpus + ODD
+    extra = docs.withColumn("kept", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("n_words", F.lit(3))
     kept = q.keep(extra)
     assert kept.columns == extra.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(corpus) if brute(t)[-1]}

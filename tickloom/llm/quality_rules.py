@@ -1,11 +1,11 @@
-"""Quality rules as DataFrame expressions, ordered by what they reject for what they cost.
+"""Quality rules as DataFrame expressions, in a cascade that is ordered by what a rule rejects for what it costs.
 
 Everything on the main path is built-in functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,21 +17,31 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails where `rejects` (SQL over text, lines, n_lines and the base measures) is true."""
+    """A document fails where `rejects` is true, given the text, the MEASURES, n_lines and counts of characters by name.
+
+    The cost of a row is `chars` for each character of its text and `words` for each word, in nanoseconds: fixed values,
+    from a run of each rule alone. What a rule costs a table then follows from the table's sample.
+    """
 
     name: str
-    rejects: str
+    rejects: Callable[[Mapping[str, Column]], Column]
+    chars: float
+    words: float = 0.0
 
 
-#: The limits are fixed values: symbols per word, share of repeated lines and mean word length as in published web-text
-#: filters; shouted and exclaimed words, and table bars, as shares of all words.
+#: The first two are the base. The limits are fixed values: symbols per word, share of repeated lines and mean word length
+#: as in published web-text filters; shouted and exclaimed words, and table bars, as shares of all words.
+BASE = (
+    Rule("few_words", lambda m: m["n_words"] < 10, 0.0, 0.1),
+    Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"], 0.0, 600.0),
+)
 RULES = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
-    Rule("exclaimed", "10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words"),
-    Rule("capitals", "length(regexp_replace(text, '[^A-Z]', '')) > 2 * length(regexp_replace(text, '[^a-z]', '')) + 20"),
-    Rule("few_letters", "2 * (length(text) - length(regexp_replace(text, '\\\\p{L}', ''))) < word_chars"),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"], 9.0),
+    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"], 4.0),
+    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]), 9.0),
+    Rule("exclaimed", lambda m: 10 * m["n_exclaimed"] > 3 * m["n_words"], 1.0),
+    Rule("capitals", lambda m: m["n_capitals"] > 2 * m["n_small"] + 20, 25.0),
+    Rule("few_letters", lambda m: 2 * m["n_letters"] < m["word_chars"], 25.0),
 )
 
 
@@ -49,57 +59,120 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def _repeated_words() -> Column:
-    """Words that lie in a window of WINDOW words which the text has twice or more (64-bit hashes stand for windows)."""
-    at = F.sequence(F.lit(0), F.size("_w") - WINDOW)
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)]))
+def _without(text: Column, pattern: str) -> Column:
+    """Characters of text that the pattern takes away."""
+    return F.length(text) - F.length(F.regexp_replace(text, F.lit(pattern), F.lit("")))
 
-    def covered(h: Column) -> Column:
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        twice = _let(pairs, lambda s: F.filter(s, lambda e, k: (F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"])))
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _repeated_words(w: Column) -> Column:
+    """Words that lie in a window of WINDOW words which the text has twice or more.
+
+    Hashes of windows tell whether any can be there twice; such windows are then compared as they are written.
+    """
+    n = F.size(w) - WINDOW + 1  # windows
+
+    def joined(a: Column, b: Column, step: int) -> Column:
+        return F.zip_with(a, F.slice(b, F.lit(step + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+
+    one = F.transform(w, lambda x: F.xxhash64(x))
+    hashes = _let(one, lambda h1: _let(joined(h1, h1, 1), lambda h2: F.slice(joined(joined(h2, h2, 2), h1, 4), F.lit(1), n)))
+
+    def run_lengths(pairs: Column) -> Column:
+        """Words covered by the windows of pairs (key, place), sorted, whose key is there twice."""
+        twice = _let(pairs, lambda s: F.filter(s, lambda e, k: F.coalesce(F.get(s, k - 1)["k"] == e["k"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["k"] == e["k"], F.lit(False))))
         where = F.sort_array(F.transform(twice, lambda e: e["i"]))
         steps = _let(where, lambda p: F.transform(p, lambda x, k: F.coalesce(F.least(F.lit(WINDOW), F.get(p, k + 1) - x), F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
+    def covered(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        alike = _let(pairs, lambda s: F.filter(s, lambda e, k: F.coalesce(F.get(s, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == e["h"], F.lit(False))))
+        written = F.transform(alike, lambda e: F.struct(F.array_join(F.slice(w, e["i"] + 1, F.lit(WINDOW)), " ").alias("k"), e["i"].alias("i")))
+        return run_lengths(F.sort_array(written))
+
     some = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
-    return F.when(F.size("_w") > WINDOW, some).otherwise(0).cast("long")
+    return F.when(n > 1, some).otherwise(0).cast("long")
+
+
+class _Measured(Mapping):
+    """Expressions by name over a text and its words; only what is asked for becomes part of a plan."""
+
+    def __init__(self, text: Column, words: Column):
+        t = text
+        self.made = {
+            "text": lambda: t,
+            "n_words": lambda: F.size(words).cast("long"),
+            "word_chars": lambda: F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long"),
+            "n_symbols": lambda: (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+            "n_dup_lines": lambda: _let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_lines": lambda: F.size(_lines(t)).cast("long"),
+            "n_repeat_words": lambda: _repeated_words(words),
+            "n_exclaimed": lambda: F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
+            "n_capitals": lambda: _without(t, "[A-Z]+"),
+            "n_small": lambda: _without(t, "[a-z]+"),
+            "n_letters": lambda: _without(t, r"\p{L}+"),
+        }
+
+    def __getitem__(self, name: str) -> Column:
+        return self.made[name]()
+
+    def __iter__(self):
+        return iter(self.made)
+
+    def __len__(self):
+        return len(self.made)
+
+
+def _columns(text: Column) -> Mapping[str, Column]:
+    """The names a rule may use, where measure() has made columns of the MEASURES and n_lines."""
+    return {**_Measured(text, F.array()), **{c: F.col(c) for c in (*MEASURES, "n_lines")}}
 
 
 def measure(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns `keys` (none of them named like a result), text, and of every whole text: lines, n_lines, the five MEASURES and base_failed."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    cut = _once(docs.select(*keys, text.alias("text")), _w=F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), _lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    counted = _once(
-        cut,
-        n_words=F.size("_w").cast("long"),
-        word_chars=F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long"),
-        n_symbols=(F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long"),
-        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        n_repeat_words=_repeated_words(),
-        n_lines=F.size("_lines").cast("long"),
-    ).drop("_w", "_lines")
-    return counted.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-
-
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000) -> list[Rule]:
-    """Rules by rejections for a second of work, the best first, measured on a sample of about `rows` rows.
-
-    The order only decides how soon a bad document is known to be bad; the verdict is the same in any order. The sample
-    is drawn where the rows lie, without a shuffle.
+    """The columns `keys` (none of them named like a result), text, and of every whole text: n_lines, the five MEASURES and base_failed."""
+    cut = _once(docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("text")), _w=_words(F.col("text")), _lines=_lines(F.col("text")))
+    of = _Measured(F.col("text"), F.col("_w"))
+    lines = {"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_lines": F.size("_lines").cast("long")}
+    counted = _once(cut, **{c: of[c] for c in MEASURES if c not in lines}, **lines).drop("_w", "_lines")
+    return counted.withColumn("base_failed", BASE[0].rejects(_columns(F.col("text"))) | BASE[1].rejects(_columns(F.col("text"))))
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 2000, after: tuple[Rule, ...] = BASE) -> list[Rule]:
+    """Rules by rejections for a unit of cost, the best first, measured on a sample of about `rows` rows.
+
+    A rule's rejections are those among the sampled rows that neither `after` nor the rules before it reject, and its cost
+    is what it spends on these rows. Ties go to the rule given first, so that one table always gives one order. The order
+    only decides how soon a bad document is known to be bad; the verdict is the same in any order. The sample is drawn
+    where the rows lie, without a shuffle; what comes to the driver is one row for each set of rules that reject together.
     """
     n = docs.count()
     part = docs.sample(min(1.0, rows / n), seed=1) if n else docs
-    sample = measure(part, []).where(~F.col("base_failed")).persist()
-    try:
-        sample.count()
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.where(F.expr(rule.rejects)).count()
-            found.append((rejected / (time.perf_counter() - began), rule))
-    finally:
-        sample.unpersist()
-    return [rule for _, rule in sorted(found, key=lambda x: -x[0])]
+    every = (*after, *rules)
+    measured = measure(part, [])
+    names = _columns(F.col("text"))
+    failed = F.array(*[r.rejects(names) for r in every]).alias("failed")
+    found = measured.select(failed, F.length("text").alias("chars"), "n_words").groupBy("failed").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("n_words").alias("words")).collect()
+    left = [(r["failed"][len(after) :], r["n"], r["chars"], r["words"]) for r in found if not any(r["failed"][: len(after)])]
+    waiting, out = list(range(len(rules))), []
+    while waiting:
+        chars, words = sum(x[2] for x in left), sum(x[3] for x in left)
+
+        def worth(i: int) -> float:
+            return sum(x[1] for x in left if x[0][i]) / (rules[i].chars * chars + rules[i].words * words + 1e-9)
+
+        best = max(waiting, key=lambda i: (worth(i), -rules[i].chars, -i))
+        out.append(rules[best])
+        waiting.remove(best)
+        left = [x for x in left if not x[0][best]]
+    return out
 
 
 def judge(docs: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES, ordered: list[Rule] | None = None) -> DataFrame:
@@ -108,18 +181,32 @@ def judge(docs: DataFrame, keys: list[str], rules: tuple[Rule, ...] = RULES, ord
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept: not base_failed and no rule
     rejects. The rules form one CASE, so that a row stops at the first that rejects it; failed_rule names it (null where
     none did, `base` where the base failed). A null text counts as empty: zeros, base_failed. Ties and repeated rows are
-    judged alike; other columns of docs are left out.
+    judged alike; a null among the keys stays; other columns of docs are left out.
     """
     if ordered is None:
         ordered = order_rules(docs.select("text"), rules)
     rows = measure(docs, keys)
     verdict = F.when(F.col("base_failed"), "base")
     for rule in ordered:
-        verdict = verdict.when(F.expr(rule.rejects), rule.name)
+        verdict = verdict.when(rule.rejects(_columns(F.col("text"))), rule.name)
     return rows.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).select(*keys, *MEASURES, "base_failed", "kept", "failed_rule")
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs without the rows that judge() does not keep, in one pass: a row travels as a whole beside its measures."""
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("text"))
-    return judge(whole, ["_row"], rules).where("kept").select("_row.*")
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ordered: list[Rule] | None = None) -> DataFrame:
+    """docs without the rows that judge() does not keep: a filter over the text, where a row stops at its first rejection.
+
+    No measure is made before a rule asks for it, and the base's rules take their place among the others.
+    """
+    every = (*BASE, *rules)
+    if ordered is None:
+        ordered = order_rules(docs.select("text"), every, after=())
+    text = F.coalesce(docs["text"], F.lit(""))
+
+    def passed(t: Column, w: Column) -> Column:
+        names = _Measured(t, w)
+        out = None
+        for rule in ordered:
+            out = F.when(rule.rejects(names), F.lit(False)) if out is None else out.when(rule.rejects(names), F.lit(False))
+        return out.otherwise(F.lit(True))
+
+    return docs.where(_let(F.struct(text.alias("t"), _words(text).alias("w")), lambda x: passed(x["t"], x["w"])))
