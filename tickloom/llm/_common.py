@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_written: dict[int, str] = {}  # the path of each table that materialise() gave, as long as it is there
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +40,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what materialise() wrote. Only for tables that nothing not yet written itself is made from."""
+    path = _written.pop(id(table))
+    jvm = table.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def held_out(doc_id, modulus: int, remainder: int):

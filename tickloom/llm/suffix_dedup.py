@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from ._common import materialise, mix, prefix_hash, range_hash, slices
+from ._common import discard, materialise, mix, prefix_hash, range_hash, slices
 
 LENGTH = 100
 SEED = 32
@@ -272,7 +272,11 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, part: int = P
     places = materialise(_places(docs, length, seed), "suffix-places")
     buckets = materialise(places.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-buckets")
     live = places.join(buckets, "h").select("_id", "_th", F.struct("q", "a", "b", "h", "n").alias("x"))
-    edges = live.groupBy("_id", "_th").agg(F.collect_set("x").alias("at"))
+    edges = materialise(live.groupBy("_id", "_th").agg(F.collect_set("x").alias("at")), "suffix-members")
+    sure = places.where("h is null").select("_id", "_th", (F.col("q") - F.col("a")).alias("start"), (F.col("q") - F.col("b") + length).alias("stop"))
+    sure = materialise(sure, "suffix-sure")
+    discard(places)
+    discard(buckets)
     near = docs.join(edges, docs["_id"].eqNullSafe(edges["_id"]) & (docs["_th"] == edges["_th"])).select(docs["_id"], docs["_th"], "text", "at")
 
     def cut(batches):
@@ -312,11 +316,11 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, part: int = P
 
     ranges = StructType([identity, StructField("_th", LongType()), StructField("start", LongType()), StructField("stop", LongType()), StructField("s", BinaryType())])
     found = materialise(dealt.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, ranges), "suffix-found")
+    discard(edges)
 
     # buckets in several parts: of each string its first place in every part, at most as many as there are parts
     several = found.where("s is not null").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("_id", "_th", "start"))).alias("at")).where("size(at) > 1")
     later = several.select(F.explode(F.slice("at", F.lit(2), F.size("at") - 1)).alias("x")).select("x._id", "x._th", "x.start", (F.col("x.start") + length).alias("stop"))
-    sure = places.where("h is null").select("_id", "_th", (F.col("q") - F.col("a")).alias("start"), (F.col("q") - F.col("b") + length).alias("stop"))
     return found.where("s is null").drop("s").unionByName(later).unionByName(sure)
 
 
