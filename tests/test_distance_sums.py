@@ -33,3 +33,31 @@ def test_blocks_and_update(spark, block):
     got = sim.update_distance_sums(stored, old, new, "label", "vec_id", "v", block)
     rows = got.collect()
     assert len(rows) == 90 and {r["vec_id"]: r["value"] for r in rows} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_string_tickers_that_share_dates(spark, block):
+    rng = np.random.default_rng(3)
+    keys = [(x, s, c, f"2020-01-{k + 1:02}") for x, s, n in (("NYSE", "AB", 9), ("NYSE", "CD", 20), (None, "AB", 3)) for c in ("N", "P") for k in range(n)]
+    vec = rng.normal(size=(len(keys), 4))
+    df = spark.createDataFrame([(*k, v.tolist()) for k, v in zip(keys, vec)], "exchange string, symbol string, cls string, day string, v array<double>")
+    group = ["exchange", "symbol", "cls"]
+    want = {k: sum(np.linalg.norm(vec[i] - vec[j]) for j, o in enumerate(keys) if o[:3] == k[:3]) for i, k in enumerate(keys)}
+
+    def plain(out):
+        return {tuple(r[c] for c in (*group, "day")): r["value"] for r in out.collect()}
+
+    assert plain(sim.distance_sums(df, group, "day", "v", block)) == pytest.approx(want)
+    old, new = df.where("day not like '%2'"), df.where("day like '%2'")
+    stored = sim.distance_sums(old, group, "day", "v", block)
+    assert plain(sim.update_distance_sums(stored, old, new, group, "day", "v", block)) == pytest.approx(want)
+    assert sim.distance_sums(df.limit(0), group, "day", "v").count() == 0
+    pairs = sim.self_pairs(df, group, "day", "v").collect()
+    assert len(pairs) == 2 * (9 * 8 + 20 * 19) // 2  # a null exchange pairs with none
+
+
+def test_update_where_groups_share_ids(spark):
+    df = spark.createDataFrame([(g, i, [float(g * i), 1.0]) for g in (1, 2) for i in (1, 2, 3)], SCHEMA)
+    old, new = df.where("vec_id < 3"), df.where("vec_id = 3")
+    got = sim.update_distance_sums(sim.distance_sums(old, "label", "vec_id", "v"), old, new, "label", "vec_id", "v")
+    assert {(r["label"], r["vec_id"]): r["value"] for r in got.collect()} == {(1, 1): 3, (1, 2): 2, (1, 3): 3, (2, 1): 6, (2, 2): 4, (2, 3): 6}

@@ -98,6 +98,10 @@ def financial_features(reports: DataFrame, inst: DataFrame, preceding: int, tags
     return inst.join(lists, KEY, "left").withColumn("semiseries", padded).drop("_q")
 
 
+#: What a day of a series says by default.
+PRICE_SERIES = ["open", "high", "low", "close", "volume"]
+
+
 def series(bars: DataFrame, columns: list[str], preceding: int) -> DataFrame:
     """bars with series: the columns' numbers of the `preceding` rows before each row, day by day (the row itself is out)."""
     w = ordered().rowsBetween(-preceding, -1)

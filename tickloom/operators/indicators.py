@@ -7,11 +7,12 @@ over the cluster. All recursive indicators of a ticker come from one pass, so th
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,55 +175,68 @@ EMA_PERIODS = (5, 10, 12, 20, 26, 50, 100, 200)
 RECURSIVE = ("atr", "rsi", "plus_di", "minus_di", "dx", "adx", *(f"ema{p}" for p in EMA_PERIODS), "macd", "st", "st_side")
 
 
-def recursive(bars: DataFrame, which: Iterable[str] = RECURSIVE, variant: str = "reference", periods: dict | None = None) -> DataFrame:
-    """ticker, period_date and the chosen recursive indicators; NULL before a series' first value.
+def _series(t: pa.Table, which: list[str], variant: str, p: dict) -> dict[str, np.ndarray]:
+    """The chosen recursive indicators over one ticker's rows in order of date; +-DI, DX and ADX share their sums."""
+    h, l, c = (t.column(x).to_numpy().astype(float) for x in ("high", "low", "close"))  # noqa: E741
+    out = {}
+    if {"plus_di", "minus_di", "dx", "adx"} & set(which):
+        out["plus_di"], out["minus_di"] = di_values(h, l, c, p["adx"])
+        out["dx"] = dx_values(out["plus_di"], out["minus_di"])
+        out["adx"] = adx_values(out["dx"], p["adx"])
+    if {"st", "st_side"} & set(which):
+        out["st"], out["st_side"] = supertrend_values(h, l, c, p["st"], p["st_k"])
+    for name in which:
+        if name == "atr":
+            out[name] = atr_values(h, l, c, p["atr"], p["atr_method"])
+        elif name == "rsi":
+            out[name] = rsi_values(c, p["rsi"])
+        elif name == "macd":
+            out[name] = macd_values(c, variant)
+        elif name.startswith("ema"):
+            out[name] = ema_values(c, int(name[3:]), p["smoothing"], variant)
+    return {name: out[name] for name in which}
 
-    One shuffle by ticker, one pass over each ticker's arrays; +-DI, DX and ADX share their sums.
+
+DEFAULTS = {"rsi": 14, "atr": 14, "adx": 14, "st": 7, "st_k": 3.0, "smoothing": 2.0, "atr_method": "WILDER"}
+
+
+def recursive(bars: DataFrame, which: Iterable[str] = RECURSIVE, variant: str = "reference", periods: dict | None = None, keep: Iterable[str] = (*TICKER, "period_date")) -> DataFrame:
+    """The columns `keep` of bars and the chosen recursive indicators; NULL before a series' first value.
+
+    One shuffle by ticker, none if bars come dealt by it; one pass over each ticker's arrays.
     """
-    which = list(which)
-    p = {"rsi": 14, "atr": 14, "adx": 14, "st": 7, "st_k": 3.0, "smoothing": 2.0, "atr_method": "WILDER"} | (periods or {})
-    kinds = {name: "int" if name == "st_side" else "double" for name in which}
-
-    def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("period_date", ignore_index=True)
-        h, l, c = (pdf[x].to_numpy(float) for x in ("high", "low", "close"))  # noqa: E741
-        out = {}
-        if {"plus_di", "minus_di", "dx", "adx"} & set(which):
-            out["plus_di"], out["minus_di"] = di_values(h, l, c, p["adx"])
-            out["dx"] = dx_values(out["plus_di"], out["minus_di"])
-            out["adx"] = adx_values(out["dx"], p["adx"])
-        if {"st", "st_side"} & set(which):
-            out["st"], out["st_side"] = supertrend_values(h, l, c, p["st"], p["st_k"])
-        for name in which:
-            if name == "atr":
-                out[name] = atr_values(h, l, c, p["atr"], p["atr_method"])
-            elif name == "rsi":
-                out[name] = rsi_values(c, p["rsi"])
-            elif name == "macd":
-                out[name] = macd_values(c, variant)
-            elif name.startswith("ema"):
-                out[name] = ema_values(c, int(name[3:]), p["smoothing"], variant)
-        got = pdf[[*TICKER, "period_date"]].copy()
-        for name in which:
-            v = out[name]
-            # NaN becomes NULL on the way back
-            got[name] = pd.arrays.IntegerArray(v.astype(np.int32), v == 0) if name == "st_side" else v
-        return got
-
-    schema = "exchange string, symbol string, period_date date, " + ", ".join(f"{k} {v}" for k, v in kinds.items())
-    return bars.select(*TICKER, "period_date", "high", "low", "close").groupBy(*TICKER).applyInPandas(per_ticker, schema)
+    which, keep = list(which), list(keep)
+    p = DEFAULTS | (periods or {})
+
+    def per_ticker(t: pa.Table) -> pa.Table:
+        t = t.sort_by("period_date")
+        out = t.select(keep)
+        for name, v in _series(t, which, variant, p).items():
+            # NaN becomes NULL
+            column = pa.array(v.astype(np.int32), mask=v == 0) if name == "st_side" else pa.array(v, from_pandas=True)
+            out = out.append_column(name, column)
+        return out
+
+    schema = bars.select(*keep).schema
+    for name in which:
+        schema = schema.add(name, "integer" if name == "st_side" else "double")
+    needed = [c for c in bars.columns if c in {*keep, *TICKER, "period_date", "high", "low", "close"}]
+    return bars.select(*needed).groupBy(*TICKER).applyInArrow(per_ticker, schema)
 
 
 def indicators(bars: DataFrame, variant: str = "reference") -> DataFrame:
-    """bars with every enabled indicator: the recursive ones in one pass, then windows over the same partitioning."""
-    wide = recursive(bars, variant=variant)
-    joined = bars.join(wide, [*TICKER, "period_date"])
-    return rgvb(bollinger(cci(joined)))
+    """bars with every enabled indicator: windows by ticker, then the recursive ones in one pass over the same partitions."""
+    windowed = rgvb(bollinger(cci(bars)))
+    return recursive(windowed, variant=variant, keep=windowed.columns)
 
 
 #: Rows before the first value of each indicator.
 WARM_UP = {"cci": 19, "atr": 13, "rsi": 14, "plus_di": 14, "adx": 27, "macd": 26, "bb_mid": 20, "st": 6, "rgvb": 0} | {f"ema{p}": p - 1 for p in EMA_PERIODS}
 
+#: The same for every column of indicators(), and those that go on from a fixed number of rows before.
+ALL_WARM_UP = WARM_UP | {"minus_di": 14, "dx": 14, "bb_low": 20, "bb_high": 20, "st_side": 6}
+WINDOWED = ("cci", "bb_mid", "bb_low", "bb_high", "rgvb")
+
 
 def indicators_long(wide: DataFrame, names: Iterable[str]) -> DataFrame:
     """One row for each ticker, date and indicator that has a value."""
@@ -239,9 +253,54 @@ def indicator_integrity(bars: DataFrame, long: DataFrame) -> DataFrame:
     return have.join(expected, TICKER).withColumn("expected", F.greatest(F.col("n") - F.element_at(warm, F.col("indicator")), F.lit(0))).select(*TICKER, "indicator", "values", "expected")
 
 
+def _refresh_modes(bars: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ticker, indicator, mode (full or tail), and the date and value of its last stored row, for what isn't up to date."""
+    now = bars.groupBy(*TICKER).agg(F.max("period_date").alias("_last"), F.count("*").alias("_n"))
+    had = stored.groupBy(*TICKER, "indicator").agg(F.max("date").alias("had_last"), F.count("*").alias("_had"), F.max_by("value", "date").alias("had_value"))
+    ends = had.select(*TICKER, F.col("had_last").alias("_end")).distinct()
+    up_to = bars.join(ends, TICKER).where("period_date <= _end").groupBy(*TICKER, F.col("_end").alias("had_last")).agg(F.count("*").alias("_then"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("indicator"), F.lit(w).alias("_warm")) for k, w in sorted(ALL_WARM_UP.items())]))
+    every = now.select(*TICKER, "_last", "_n", names.alias("x")).select(*TICKER, "_last", "_n", "x.*")
+    state = every.join(had, [*TICKER, "indicator"], "left").join(up_to, [*TICKER, "had_last"], "left")
+    whole = F.col("_had") == F.greatest(F.col("_then") - F.col("_warm"), F.lit(0))
+    resumes = F.col("indicator").isin(*WINDOWED) | F.col("indicator").startswith("ema")
+    mode = F.when(F.col("had_last") == F.col("_last"), F.when(~whole, "full")).when(whole & resumes, "tail").otherwise("full")
+    return state.where(F.col("_n") > F.col("_warm")).withColumn("mode", mode).where("mode is not null").select(*TICKER, "indicator", "mode", "had_last", "had_value")
+
+
 def refresh_indicators(bars: DataFrame, stored: DataFrame) -> DataFrame:
-    """Indicator rows to write: all rows of tickers that have no stored rows, fewer rows than bars, or an older last date."""
-    now = bars.groupBy(*TICKER).agg(F.max("period_date").alias("last"), F.count("*").alias("n"))
-    had = stored.groupBy(*TICKER).agg(F.max("period_date").alias("had_last"), F.count("*").alias("had_n"))
-    stale = now.join(had, TICKER, "left").where("had_last is null or had_last < last or had_n <> n").select(*TICKER)
-    return recursive(bars.join(stale, TICKER, "left_semi"), ["rsi", "atr", "adx", "st"])
+    """Indicator rows to write (ticker, date, indicator, value), given the stored ones of the same form.
+
+    A ticker's indicator without stored rows, or with another number of them than its bars up to the last stored date
+    give, is made in full; so is a smoothed one (RSI, +-DI, DX, ADX, ATR, SuperTrend, MACD) that ends before the last bar.
+    Of an EMA that ends earlier only the later rows are made, from its last stored value on; of a windowed one, from the
+    bars. Tickers with too few bars for an indicator have no rows of it.
+    """
+    modes = _refresh_modes(bars, stored)
+    smoothed = modes.where(~F.col("indicator").isin(*WINDOWED)).select(*[F.col(c).alias(c) for c in modes.columns])
+    a = {p: DEFAULTS["smoothing"] / (p + 1) for p in EMA_PERIODS}
+
+    def per_ticker(t: pa.Table, todo: pa.Table) -> pa.Table:
+        t = t.sort_by("period_date")
+        rows = todo.to_pylist()
+        days, close = t.column("period_date").to_pylist(), t.column("close").to_numpy().astype(float)
+        full = _series(t, sorted(r["indicator"] for r in rows if r["mode"] == "full"), "reference", DEFAULTS) if len(t) else {}
+        out: list[tuple] = []
+        for name, v in full.items():
+            some = np.flatnonzero(v != 0) if name == "st_side" else np.flatnonzero(~np.isnan(v))
+            out += [(days[i], name, float(v[i])) for i in some]
+        for r in rows:
+            if r["mode"] == "tail":
+                p, value = int(r["indicator"][3:]), r["had_value"]
+                for i in range(bisect_right(days, r["had_last"]), len(days)):
+                    value = float(close[i - p + 1] * a[p] + value * (1 - a[p]))
+                    out.append((days[i], r["indicator"], value))
+        date, name, value = zip(*out) if out else ((), (), ())
+        key = {c: [todo.column(c)[0].as_py()] * len(out) if len(todo) else [] for c in TICKER}
+        return pa.table({**{c: pa.array(v, pa.string()) for c, v in key.items()}, "date": pa.array(date, pa.date32()), "indicator": pa.array(name, pa.string()), "value": pa.array(value, pa.float64())})
+
+    needed = bars.join(modes.select(*TICKER).distinct(), TICKER, "left_semi").select(*TICKER, "period_date", "high", "low", "close")
+    made = needed.groupBy(*TICKER).cogroup(smoothed.groupBy(*TICKER)).applyInArrow(per_ticker, "exchange string, symbol string, date date, indicator string, value double")
+    long = indicators_long(rgvb(bollinger(cci(needed))), WINDOWED)
+    windowed = long.join(modes.where(F.col("indicator").isin(*WINDOWED)), [*TICKER, "indicator"]).where("mode = 'full' or date > had_last")
+    return made.unionByName(windowed.select(made.columns))

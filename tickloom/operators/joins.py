@@ -59,20 +59,32 @@ def preceding_reports(instances: DataFrame, reports: DataFrame, preceding: int)
 
 
 def next_earnings(days: DataFrame, earnings: DataFrame) -> DataFrame:
-    """days (ticker, period_date) with next_date, the next earnings date as known on the day.
+    """days (ticker, period_date, any others) with next_date, the next earnings date as known on the day.
 
     Of a ticker's rows in order of (input_date, earnings_date), the last but one and earlier are scanned backwards,
-    those not yet known on the day left out (on a day before all of them, those not known by the first input date); the
+    those not yet known on the day left out (on a day before all of them, those not known by the last input date); the
     first with an earnings date before the day gives the date of the row after it; if there is none, the first row's.
+
+    Days and earnings go into one series a ticker: a row can answer from the later of its input date and the day after
+    its earnings date on, and before the first input date from the day after its earnings date on. Rows without either
+    date never answer. A ticker without earnings has no next date.
     """
     w = Window.partitionBy(*TICKER).orderBy("input_date", "earnings_date")
     rows = earnings.select(*TICKER, "input_date", "earnings_date", F.row_number().over(w).alias("_i"), F.lead("earnings_date").over(w).alias("_next"))
-    first = rows.where("_i = 1").select(*TICKER, F.col("earnings_date").alias("_first"), F.col("input_date").alias("_from"))
-    last = earnings.groupBy(*TICKER).agg(F.max("input_date").alias("_to"))
-    asked = days.select(*TICKER, "period_date").distinct().join(first, TICKER, "left").join(last, TICKER, "left")
-    cut = F.when(F.col("period_date") < F.col("_from"), F.col("_to")).otherwise(F.col("period_date"))
-    cond = (F.col("input_date") <= F.col("_cut")) & (F.col("earnings_date") < F.col("period_date"))
-    known = asked.withColumn("_cut", cut).join(rows.where("_next is not null"), TICKER).where(cond)
-    best = known.groupBy(*TICKER, "period_date").agg(F.max_by("_next", "_i").alias("_n"))
-    out = asked.join(best, [*TICKER, "period_date"], "left").select(*TICKER, "period_date", F.coalesce("_n", "_first").alias("next_date"))
-    return days.join(out, [*TICKER, "period_date"], "left")
+    whole = F.struct(*days.columns)
+    none = F.lit(None)
+    row = F.when(F.col("input_date").isNotNull() & F.col("earnings_date").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_next").alias("next")))
+    past = F.date_add("earnings_date", 1)
+    kinds = F.array(
+        F.struct(F.greatest("input_date", past).alias("at"), row.alias("known"), none.cast("struct<i:int,next:date>").alias("early")),
+        F.struct(past.alias("at"), none.cast("struct<i:int,next:date>").alias("known"), row.alias("early")),
+    )
+    first = F.when(F.col("_i") == 1, F.struct(F.col("input_date").alias("from"), F.col("earnings_date").alias("date"))).alias("_first")
+    events = rows.select(*TICKER, F.inline(kinds), first, "_next").select(*TICKER, F.col("at"), *[F.when(F.col("_next").isNotNull() & F.col("at").isNotNull(), F.col(c)).alias(c) for c in ("known", "early")], "_first")
+    asked = days.select(*TICKER, F.col("period_date").alias("at"), whole.alias("_day"))
+    series = asked.unionByName(events, allowMissingColumns=True)
+    so_far = Window.partitionBy(*TICKER).orderBy("at", F.col("_day").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ticker = Window.partitionBy(*TICKER)
+    seen = series.select("_day", "at", F.max("known").over(so_far).alias("_known"), F.max("early").over(so_far).alias("_early"), F.max("_first").over(ticker).alias("_f")).where("_day is not null")
+    best = F.when(F.col("at") < F.col("_f.from"), F.col("_early.next")).otherwise(F.col("_known.next"))
+    return seen.select("_day.*", F.coalesce(best, F.col("_f.date")).alias("next_date")).select(*TICKER, "period_date", *[c for c in days.columns if c not in (*TICKER, "period_date")], "next_date")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TICKER, fibonacci
@@ -119,14 +119,24 @@ def reduce_instances(inst: DataFrame, sims: DataFrame, top: float = 0.5, bottom:
     return inst.join(gone.select(*keys), keys, "left_anti")
 
 
-def balanced_sample(inst: DataFrame, n: int, ratio: float = 1 / 6, min_per_ticker: int = 0, seed: int = 0) -> DataFrame:
-    """ceil(n * ratio) positives and ceil(n * (1 - ratio)) negatives; each ticker's first min_per_ticker come first."""
+def balanced_sample(inst: DataFrame, n: int, ratio: float = 1 / 6, min_per_ticker: int = 0, seed: int = 0, allow_short: bool = False) -> DataFrame:
+    """ceil(n * ratio) positives and ceil(n * (1 - ratio)) negatives; each ticker's first min_per_ticker come first.
+
+    Where both classes together give fewer than n rows, the query fails, unless allow_short.
+    """
     order = mixed("exchange", "symbol", "period_date", seed=seed)
     own = F.row_number().over(Window.partitionBy(*TICKER, "cls").orderBy(order, "period_date"))
     first = inst.withColumn("_first", (own > min_per_ticker).cast("int")).withColumn("_o", order).withColumn("_range", hash_range(order))
-    want = F.when(F.col("cls") == "POSITIVE", math.ceil(n * ratio)).otherwise(math.ceil(n * (1 - ratio)))
+    positives, negatives = math.ceil(n * ratio), math.ceil(n * (1 - ratio))
+    want = F.when(F.col("cls") == "POSITIVE", positives).otherwise(negatives)
     rows = ranked(first, ["cls"], ["_first", "_range"], ["_o", *TICKER, "period_date"])
-    return rows.where(F.col("_nth") <= want).select(*inst.columns)
+    found = rows.where(F.col("_nth") <= want).select(*inst.columns)
+    if allow_short:
+        return found
+    counts = inst.agg(F.count_if(F.col("cls") == "POSITIVE").alias("p"), F.count_if(F.coalesce(F.col("cls") != "POSITIVE", F.lit(True))).alias("q"))
+    have = F.least("p", F.lit(positives)) + F.least("q", F.lit(negatives))
+    enough = counts.where(F.assert_true(have >= n, F.concat(F.lit("not enough instances: "), have.cast("string"), F.lit(f" of {n}"))).isNull()).select(F.lit(True).alias("_enough"))
+    return found.crossJoin(F.broadcast(enough)).drop("_enough")
 
 
 def split(inst: DataFrame, train: float, validation: float, seed: int = 0) -> DataFrame:
@@ -187,7 +197,26 @@ def set_slice(df: DataFrame, keys: list[str], parts: int, i: int) -> DataFrame:
     return rows.where(F.floor(F.col("rank") * parts / F.col("total")) == i).drop("rank", "total")
 
 
-def save_sets(inst: DataFrame, path: str, network: str, set_id: int) -> None:
-    """Append instances under network and set, as partitions."""
-    rows = inst.withColumn("network", F.lit(network)).withColumn("set_id", F.lit(set_id))
-    rows.write.mode("append").partitionBy("network", "set_id").parquet(path)
+def save_sets(sets: DataFrame, path: str, network: str, set_id: int | None = None) -> int:
+    """Save the instances of a network's set (ticker, period_date and `part`, as split() gives); the set's number.
+
+    One that is there under the same network and number is replaced, others stay. Without a number the network's latest
+    is taken, or 1.
+    """
+    spark = sets.sparkSession
+    if set_id is None:
+        saved = read_sets(spark, path, network)
+        set_id = (saved.agg(F.max("set_id")).first()[0] if saved is not None else None) or 1
+    rows = sets.select(*TICKER, "period_date", "part", F.lit(network).alias("network"), F.lit(set_id).alias("set_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("network", "set_id").parquet(path)
+    return set_id
+
+
+def read_sets(spark: SparkSession, path: str, network: str, set_id: int | None = None) -> DataFrame | None:
+    """The saved instances of a network, or of one of its sets: only these partitions are read. None if none was saved."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    schema = "exchange string, symbol string, period_date date, part string, network string, set_id int"
+    saved = spark.read.schema(schema).parquet(path).where(F.col("network") == network)
+    return saved if set_id is None else saved.where(F.col("set_id") == set_id)

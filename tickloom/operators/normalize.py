@@ -11,10 +11,13 @@ PRICES = ("open", "high", "low", "close")
 
 
 def caps(bars: DataFrame, methods: dict[str, str] | None = None, k: float = 2.5, exclude: DataFrame | None = None) -> DataFrame:
-    """One row with a cap for each column: the mean of the tickers' means plus k deviations (`stddev`), or the `max`."""
+    """One row with a cap for each column: the mean of the tickers' means plus k deviations (`stddev`), or the `max`.
+
+    Tickers of `exclude`, however many, don't count.
+    """
     methods = methods or {"high": "stddev", "volume": "stddev"}
     if exclude is not None:
-        bars = bars.join(F.broadcast(exclude.select(*TICKER).limit(100_000)), TICKER, "left_anti")
+        bars = bars.join(exclude.select(*TICKER), TICKER, "left_anti")
     means = bars.groupBy(*TICKER).agg(*[F.avg(c).alias(f"avg_{c}") for c in methods], *[F.max(c).alias(f"max_{c}") for c in methods])
     how = {"stddev": lambda c: F.avg(f"avg_{c}") + k * F.stddev_pop(f"avg_{c}"), "max": lambda c: F.max(f"max_{c}")}
     return means.agg(*[how[m](c).alias(f"{c}_cap") for c, m in methods.items()])

@@ -32,14 +32,21 @@ def consolidate_daily(first: DataFrame, historic: DataFrame, dump: DataFrame, sy
     return every.withColumn("_n", nth).where("_n = 1").drop("_n")
 
 
-def find_gaps(bars: DataFrame, market_days: DataFrame) -> DataFrame:
-    """Ticker, missing period_date and its ordinal: market days between a ticker's first and last bar without a bar.
+def missing_days(present: DataFrame, market_days: DataFrame, keys: list[str] = TICKER) -> DataFrame:
+    """keys, missing period_date and its ordinal: market days between the first and the last day of a key without a row.
 
-    The calendar is broadcast and joined by range to each ticker's bounds, so only expected days are made.
+    Each key's days are counted out between its bounds and looked up in the calendar, whose some ten thousand rows are
+    broadcast; then the days that are there go.
     """
-    bounds = bars.groupBy(*TICKER).agg(F.min("period_date").alias("_a"), F.max("period_date").alias("_b"))
-    expected = bounds.join(F.broadcast(market_days), F.col("date").between(F.col("_a"), F.col("_b"))).select(*TICKER, F.col("date").alias("period_date"), "ordinal")
-    return expected.join(bars.select(*KEY), KEY, "left_anti")
+    bounds = present.groupBy(*keys).agg(F.min("period_date").alias("_a"), F.max("period_date").alias("_b"))
+    days = bounds.where("_a is not null").select(*keys, F.explode(F.sequence("_a", "_b")).alias("date"))
+    expected = days.join(F.broadcast(market_days.select("date", "ordinal")), "date").select(*keys, F.col("date").alias("period_date"), "ordinal")
+    return expected.join(present.select(*keys, "period_date"), [*keys, "period_date"], "left_anti")
+
+
+def find_gaps(bars: DataFrame, market_days: DataFrame) -> DataFrame:
+    """Ticker, missing period_date and its ordinal: market days between a ticker's first and last bar without a bar."""
+    return missing_days(bars, market_days)
 
 
 def damaged_tickers(gaps: DataFrame, limit: int = 40) -> DataFrame:

@@ -70,61 +70,78 @@ def _cross(x, y):
     return left, right
 
 
-def _block_sums(rows: DataFrame, block: int) -> DataFrame:
-    """g, i and s: sums of distances of vectors (g, i, v, fresh) over all pairs of a group with a fresh one.
+def _block_sums(rows: DataFrame, groups: list[str], block: int) -> DataFrame:
+    """The group columns, i and s: sums of distances of vectors (i, v, fresh) over all pairs of a group with a fresh one.
 
     A group has 16 blocks, and more as its count grows, so that a block stays bounded; each pair of blocks is a task's
     work. In a pair of blocks, only fresh rows meet rows that are not.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    count = rows.groupBy(F.col("g").alias("_g")).agg(F.greatest(F.least(F.count("*"), F.lit(16)), F.ceil(F.count("*") / block)).cast("int").alias("m"))
-    rows = rows.join(count, F.col("g").eqNullSafe(F.col("_g"))).drop("_g").withColumn("b", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
+    def with_group(left: DataFrame, right: DataFrame) -> DataFrame:
+        of = right.withColumnsRenamed({g: f"_of_{g}" for g in groups})
+        return left.join(of, [left[g].eqNullSafe(of[f"_of_{g}"]) for g in groups]).drop(*[f"_of_{g}" for g in groups])
+
+    count = rows.groupBy(*groups).agg(F.greatest(F.least(F.count("*"), F.lit(16)), F.ceil(F.count("*") / block)).cast("int").alias("m"))
+    rows = with_group(rows, count).withColumn("b", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
     # a pair of blocks is left out if neither holds a fresh row
-    some = rows.where("fresh").select(F.col("g").alias("_g"), F.col("b").alias("o")).distinct().groupBy("_g").agg(F.collect_set("o").alias("_with"))
+    some = rows.where("fresh").select(*groups, F.col("b").alias("o")).distinct().groupBy(*groups).agg(F.collect_set("o").alias("_with"))
     other = F.when(F.array_contains("_with", F.col("b")), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.col("_with"))
     pair = F.explode(F.transform(other, lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))).alias("p")
-    dealt = rows.join(some, F.col("g").eqNullSafe(F.col("_g"))).select("g", "i", "v", "fresh", "b", pair).select("g", "i", "v", "fresh", "b", "p.lo", "p.hi")
+    dealt = with_group(rows, some).select(*groups, "i", "v", "fresh", "b", pair).select(*groups, "i", "v", "fresh", "b", "p.lo", "p.hi")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iat[0], pdf["hi"].iat[0]
-        a, b = pdf[pdf["b"] == lo], pdf[pdf["b"] == hi]
-        out = []
+    def work(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        b, fresh = np.asarray(t.column("b")), np.asarray(t.column("fresh"))
+        v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(t), -1)
+        at, sums = [], []
 
         def add(x, y, both=True):
             if len(x) and len(y):
-                left, right = _cross(np.stack(x["v"]), np.stack(y["v"]))
-                out.append(pd.DataFrame({"g": x["g"], "i": x["i"], "s": left}))
-                if both:
-                    out.append(pd.DataFrame({"g": y["g"], "i": y["i"], "s": right}))
+                left, right = _cross(v[x], v[y])
+                at.extend([x, y] if both else [x])
+                sums.extend([left, right] if both else [left])
 
-        new, old = a[a["fresh"]], a[~a["fresh"]]
+        new, old = np.flatnonzero((b == lo) & fresh), np.flatnonzero((b == lo) & ~fresh)
         if lo == hi:
             add(new, new, False)
             add(new, old)
         else:
-            add(new, b)
-            add(old, b[b["fresh"]])
-        return pd.concat(out) if out else pd.DataFrame({"g": [], "i": [], "s": []})
+            add(new, np.flatnonzero(b == hi))
+            add(old, np.flatnonzero((b == hi) & fresh))
+        rows = t.select([*groups, "i"]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *at])))
+        return rows.append_column("s", pa.array(np.concatenate([np.zeros(0), *sums])))
+
+    schema = rows.select(*groups, "i").schema.add("s", "double")
+    return dealt.groupBy(*groups, "lo", "hi").applyInArrow(work, schema)
+
 
-    kinds = rows.schema
-    schema = f"g {kinds['g'].dataType.simpleString()}, i {kinds['i'].dataType.simpleString()}, s double"
-    return dealt.groupBy("g", "lo", "hi").applyInPandas(work, schema)
+def _plain(vectors: DataFrame, groups: list[str], vec_id: str, vec: str, fresh: bool) -> DataFrame:
+    return vectors.select(*groups, F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.lit(fresh).alias("fresh"))
 
 
-def _plain(vectors: DataFrame, group: str, vec_id: str, vec: str, fresh: bool) -> DataFrame:
-    return vectors.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col(vec).cast("array<double>").alias("v"), F.lit(fresh).alias("fresh"))
+def distance_sums(vectors: DataFrame, group: str | list[str], vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
+    """The group's columns, id and the sum of Euclidean distances from each vector to all others of its group.
+
+    Ids need only be unique inside a group; group columns and ids may be of any type. A group is cut by id into 16 blocks
+    or more, of about `block` vectors at most; each pair of blocks is one task's work, so that a large group spreads over
+    many tasks and none holds it whole.
+    """
+    groups = [group] if isinstance(group, str) else group
+    parts = _block_sums(_plain(vectors, groups, vec_id, vec, True), groups, block)
+    return parts.groupBy(*groups, "i").agg(F.sum("s").alias("value")).withColumnRenamed("i", vec_id)
 
 
-def distance_sums(vectors: DataFrame, group: str, vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
-    """group, id and the sum of Euclidean distances from each vector to all others of its group.
+def self_pairs(vectors: DataFrame, group: list[str], vec_id: str, vec: str) -> DataFrame:
+    """All pairs of a group's vectors, each once: the group's columns, a < b (ids) and their Euclidean distance.
 
-    A group is cut by id into 16 blocks or more, of about `block` vectors at most; each pair of blocks is one task's work, so that a large
-    group spreads over many tasks and none holds it whole.
+    As many rows as pairs: where only sums are asked for, distance_sums() makes none of them.
     """
-    parts = _block_sums(_plain(vectors, group, vec_id, vec, True), block)
-    return parts.groupBy("g", "i").agg(F.sum("s").alias("value")).withColumnsRenamed({"g": group, "i": vec_id})
+    left = vectors.select(*group, F.col(vec_id).alias("a"), F.col(vec).alias("_va"))
+    right = vectors.select(*group, F.col(vec_id).alias("b"), F.col(vec).alias("_vb"))
+    return left.join(right, group).where("a < b").select(*group, "a", "b", euclidean(F.col("_va"), F.col("_vb")).alias("distance"))
 
 
 def check_range(vectors: DataFrame, vec: str, low: float = 0.0, high: float = 1.25) -> DataFrame:
@@ -132,11 +149,12 @@ def check_range(vectors: DataFrame, vec: str, low: float = 0.0, high: float = 1.
     return vectors.where(F.exists(vec, lambda x: (x < low) | (x > high)))
 
 
-def update_distance_sums(stored: DataFrame, old: DataFrame, new: DataFrame, group: str, vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
+def update_distance_sums(stored: DataFrame, old: DataFrame, new: DataFrame, group: str | list[str], vec_id: str, vec: str, block: int = BLOCK) -> DataFrame:
     """Sums after adding vectors: only new against all is computed, in blocks, and added to what is stored."""
-    parts = _block_sums(_plain(old, group, vec_id, vec, False).unionByName(_plain(new, group, vec_id, vec, True)), block)
-    had = stored.select(F.col(group).alias("g"), F.col(vec_id).alias("i"), F.col("value").alias("s"))
-    return had.unionByName(parts).groupBy("g", "i").agg(F.sum("s").alias("value")).withColumnsRenamed({"g": group, "i": vec_id})
+    groups = [group] if isinstance(group, str) else group
+    parts = _block_sums(_plain(old, groups, vec_id, vec, False).unionByName(_plain(new, groups, vec_id, vec, True)), groups, block)
+    had = stored.select(*groups, F.col(vec_id).alias("i"), F.col("value").alias("s"))
+    return had.unionByName(parts).groupBy(*groups, "i").agg(F.sum("s").alias("value")).withColumnRenamed("i", vec_id)
 
 
 def check_similarity_dates(stored: DataFrame, inst: DataFrame) -> DataFrame:

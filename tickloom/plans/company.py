@@ -15,14 +15,14 @@ TD = ["exchange", "symbol", "date"]
 
 
 def _streams(spark, d):
-    """Daily interest in three streams that overlap."""
-    rows = numbered(bars(spark, d)).where("idx < 300")
-    value = ((sid() * 7 + F.col("idx") * 13) % 101).cast("double")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("stream"), F.lit(k * 100).alias("a"), F.lit(k * 100 + 140).alias("z")) for k in range(3)])).alias("s")
-    return rows.select("exchange", "symbol", F.col("period_date").alias("date"), value.alias("v"), "idx", each).where("idx between s.a and s.z").select(*TD, F.col("s.stream").alias("stream"), (F.col("v") + F.col("s.stream")).alias("relative_interest"))
+    """Daily interest in streams of 141 days, one from every hundredth bar on, so that each overlaps the next."""
+    idx = F.col("idx")
+    value = ((sid() * 7 + idx * 13) % 101).cast("double")
+    of = F.explode(F.sequence(F.greatest(F.ceil((idx - 140) / 100), F.lit(0)).cast("int"), F.floor(idx / 100).cast("int"))).alias("stream")
+    return numbered(bars(spark, d)).select("exchange", "symbol", F.col("period_date").alias("date"), value.alias("v"), of).select(*TD, "stream", (F.col("v") + F.col("stream")).alias("relative_interest"))
 
 
-STREAMS_SQL = "streams as (select exchange, symbol, period_date as date, k as stream, ((symbol::int * 7 + rn * 13) % 101 + k)::double as relative_interest from b, (select unnest(range(0, 3))::int as k) where rn < 300 and rn between k * 100 and k * 100 + 140)"
+STREAMS_SQL = "streams as (select exchange, symbol, period_date as date, k::int as stream, ((symbol::int * 7 + rn * 13) % 101 + k)::double as relative_interest from (select *, unnest(range(greatest(ceil((rn - 140) / 100.0), 0)::bigint, rn // 100 + 1)) as k from b))"
 BLOCKS = f"with {BARS_SQL}, {STREAMS_SQL}, e as (select *, date + (6 - dayofweek(date))::int as week_end from streams), w as (select exchange, symbol, stream, week_end, count(*) as n, min(week_end) over p as f, max(week_end) over p as l, max(stream) over (partition by exchange, symbol) as top from e group by 1, 2, 3, 4 window p as (partition by exchange, symbol, stream)), blocks as (select e.* from e join w using (exchange, symbol, stream, week_end) where not (n < 7 and ((stream > 0 and week_end = f) or (stream < top and week_end = l))))"
 
 
@@ -62,11 +62,11 @@ def i4(spark, d):
     return gi.project_months(x, gi.monthly(x).where("month(month) % 4 <> 0"))
 
 
-@register("i7_preceding_interest", f"with {BARS_SQL}, {INTEREST_SQL}, l as (select *, list(relative_interest) over (partition by exchange, symbol order by date rows between 12 preceding and 3 preceding) as v from interest) select b.exchange, b.symbol, b.period_date as date, len(v) as n, round(list_sum(v) * case when list_max(v) > 0 then 100 / list_max(v) else 1 end, 2) as total from b join l on l.exchange = b.exchange and l.symbol = b.symbol and l.date = b.period_date where b.rn % 10 = 0 and b.rn > 40")
+@register("i7_preceding_interest", f"with {BARS_SQL}, {INTEREST_SQL}, l as (select *, list(relative_interest) over (partition by exchange, symbol order by date rows between 12 preceding and 3 preceding) as v from interest) select b.exchange, b.symbol, b.period_date as date, len(v) as n, round(list_sum(list_transform(v, lambda x: case when list_max(v) > 0 then x * 100 / list_max(v) else x end)), 4) as total from b join l on l.exchange = b.exchange and l.symbol = b.symbol and l.date = b.period_date where len(v) > 0")
 def i7(spark, d):
-    inst = numbered(bars(spark, d)).where("idx % 10 = 0 and idx > 40").select("exchange", "symbol", F.col("period_date").alias("date"))
-    out = gi.preceding_interest(inst, interest(spark, d), 10)
-    return out.select(*TD, F.size("values").cast("long").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    inst = bars(spark, d).select("exchange", "symbol", F.col("period_date").alias("date"))
+    out = gi.preceding_interest(inst, interest(spark, d), 10).where("size(values) > 0")
+    return out.select(*TD, F.size("values").cast("long").alias("n"), r4(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 @register("i8_expand_periods", f"{MONTHS} select exchange, symbol, unnest(generate_series(month, last_day(month), interval 1 day))::date as date, value from months")
@@ -266,12 +266,12 @@ def n6(spark, d):
     return normalize_financials(rep, 1000).select("exchange", "symbol", "period", F.element_at("nums", "Assets").alias("assets"))
 
 
-@register("j9_preceding_reports", f"{FILINGS} select b.exchange, b.symbol, b.period_date, q.period, q.quarter from b join quarters q on q.exchange = b.exchange and q.symbol = b.symbol and q.filed between b.period_date - 401 and b.period_date where b.rn % 25 = 0 qualify row_number() over (partition by b.exchange, b.symbol, b.period_date order by q.period desc, q.filed desc) <= 6")
+@register("j9_preceding_reports", f"{FILINGS} select b.exchange, b.symbol, b.period_date, q.period, q.quarter from b join quarters q on q.exchange = b.exchange and q.symbol = b.symbol and q.filed between b.period_date - 401 and b.period_date qualify row_number() over (partition by b.exchange, b.symbol, b.period_date order by q.period desc, q.filed desc) <= 6")
 def j9(spark, d):
     from ..operators.joins import preceding_reports
 
     sub, num, _ = _filings(spark, d)
-    inst = numbered(bars(spark, d)).where("idx % 25 = 0").select("exchange", "symbol", "period_date")
+    inst = bars(spark, d).select("exchange", "symbol", "period_date")
     return preceding_reports(inst, fin.edgar_quarters(sub, num), 400).select("exchange", "symbol", "period_date", "period", "quarter")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as ind
 from ..registry import register
+from ..sources.bars import numbered
 from .fixtures import BARS_SQL, bars, r4
 
 KEY = ["exchange", "symbol", "period_date"]
@@ -180,16 +181,63 @@ def t16(spark, d):
     return ind.indicators_long(wide, ["rgvb", "bb_mid"]).withColumn("value", r4("value"))
 
 
-@register("t15_indicators")
+_ALL = f"""{RECURSE}, t as (select *, {TR}, greatest(close - pc, 0) as g, greatest(pc - close, 0) as l,
+    case when high - ph > pl - low and high > ph then high - ph else 0 end as p, case when pl - low > high - ph and pl > low then pl - low else 0 end as m from b),
+atr(exchange, symbol, rn, v) as (
+  select exchange, symbol, 13::bigint, avg(tr) from t where rn < 14 group by 1, 2 having count(*) = 14
+  union all select r.exchange, r.symbol, t.rn, (r.v * 13 + t.tr) / 14 from atr r join t on t.exchange = r.exchange and t.symbol = r.symbol and t.rn = r.rn + 1),
+rsi(exchange, symbol, rn, g, l) as (
+  select exchange, symbol, 14::bigint, avg(g), avg(l) from t where rn between 1 and 14 group by 1, 2 having count(*) = 14
+  union all select r.exchange, r.symbol, t.rn, (r.g * 13 + t.g) / 14, (r.l * 13 + t.l) / 14 from rsi r join t on t.exchange = r.exchange and t.symbol = r.symbol and t.rn = r.rn + 1),
+sums(exchange, symbol, rn, p, m, tr) as (
+  select exchange, symbol, 14::bigint, sum(p), sum(m), sum(tr) from t where rn between 1 and 14 group by 1, 2 having count(*) = 14
+  union all select r.exchange, r.symbol, t.rn, r.p - r.p / 14 + t.p, r.m - r.m / 14 + t.m, r.tr - r.tr / 14 + t.tr from sums r join t on t.exchange = r.exchange and t.symbol = r.symbol and t.rn = r.rn + 1),
+di as (select exchange, symbol, rn, case when tr = 0 then 0 else 100 * p / tr end as p, case when tr = 0 then 0 else 100 * m / tr end as m from sums),
+dx as (select *, case when p + m = 0 then 0 else 100 * abs(p - m) / abs(p + m) end as x from di),
+adx(exchange, symbol, rn, v) as (
+  select exchange, symbol, 27::bigint, avg(x) from dx where rn < 28 group by 1, 2 having count(*) = 14
+  union all select a.exchange, a.symbol, dx.rn, (a.v * 13 + dx.x) / 14 from adx a join dx on dx.exchange = a.exchange and dx.symbol = a.symbol and dx.rn = a.rn + 1),
+{", ".join(_ema(f"e{p}", p) for p in ind.EMA_PERIODS)},
+atr7(exchange, symbol, rn, v) as (
+  select exchange, symbol, 6::bigint, avg(tr) from t where rn < 7 group by 1, 2 having count(*) = 7
+  union all select a.exchange, a.symbol, t.rn, (a.v * 6 + t.tr) / 7 from atr7 a join t on t.exchange = a.exchange and t.symbol = a.symbol and t.rn = a.rn + 1),
+bands as (select t.exchange, t.symbol, t.rn, close, pc, (high + low) / 2 + 3.0 * v as hi, (high + low) / 2 - 3.0 * v as lo from t join atr7 using (exchange, symbol, rn)),
+st(exchange, symbol, rn, fu, fl, st, close) as (
+  select exchange, symbol, rn, hi, lo, case when close < hi then hi else lo end, close from bands where rn = 6
+  union all select exchange, symbol, rn, fu, fl, case when (pst = pfu and close <= fu) or (pst = pfl and close <= fl) then fu else fl end, close from (
+    select x.exchange, x.symbol, x.rn, x.close, r.st as pst, r.fu as pfu, r.fl as pfl,
+      case when x.hi < r.fu or x.pc > r.fu then x.hi else r.fu end as fu, case when x.lo > r.fl or x.pc < r.fl then x.lo else r.fl end as fl
+    from st r join bands x on x.exchange = r.exchange and x.symbol = r.symbol and x.rn = r.rn + 1)),
+w as (select *, avg((high + low + close) / 3) over last20 as mean, list((high + low + close) / 3) over last20 as l20, avg(close) over before as bm, stddev_pop(close) over before as bs
+  from b window last20 as (partition by exchange, symbol order by period_date rows 19 preceding), before as (partition by exchange, symbol order by period_date rows between 20 preceding and 1 preceding)),
+c as (select *, list_sum(list_transform(l20, lambda x: abs(x - mean))) / 20 as md from w),
+wide as (select b.exchange, b.symbol, b.period_date, b.rn, b.n,
+    atr.v as atr, case when rsi.l = 0 then 100 else 100 - 100 / (1 + rsi.g / rsi.l) end as rsi, dx.p as plus_di, dx.m as minus_di, dx.x as dx, adx.v as adx,
+    {", ".join(f"e{p}.v as ema{p}" for p in ind.EMA_PERIODS)}, f.v - s.v as macd, st.st as st, (case when st.close > st.st then 1 when st.st is not null then -1 end)::double as st_side,
+    case when b.rn >= 19 then case when md = 0 then 0 else ((b.high + b.low + b.close) / 3 - mean) / (0.015 * md) end end as cci,
+    case when b.rn >= 20 then bm end as bb_mid, case when b.rn >= 20 then bm - 2 * bs end as bb_low, case when b.rn >= 20 then bm + 2 * bs end as bb_high, (case when b.close > b.pc then 1 else 0 end)::double as rgvb
+  from b join c using (exchange, symbol, rn) {" ".join(f"left join {x} using (exchange, symbol, rn)" for x in ("atr", "rsi", "dx", "adx", *(f"e{p}" for p in ind.EMA_PERIODS), "st"))}
+  left join e12 f on f.exchange = b.exchange and f.symbol = b.symbol and f.rn = b.rn - 15 and b.rn >= 26 left join e26 s on s.exchange = b.exchange and s.symbol = b.symbol and s.rn = b.rn - 1)"""
+_NAMES = sorted(ind.ALL_WARM_UP)
+
+
+@register("t15_indicators", f"{_ALL} select {K}, {', '.join(f'round({n}, 4) as {n}' for n in _NAMES)} from wide")
 def t15(spark, d):
-    return ind.indicators(bars(spark, d))
+    return ind.indicators(bars(spark, d)).select(*KEY, *[r4(F.col(n).cast("double")).alias(n) for n in _NAMES])
+
+
+_RESUMED = ", ".join(f"'{n}'" for n in _NAMES if n in ind.WINDOWED or n.startswith("ema"))
 
 
-@register("t17_refresh_indicators", f"with {BARS_SQL} select exchange, symbol, count(*) as n, count(*) filter (rn >= 14) as n_rsi, count(*) filter (rn >= 27) as n_adx from b where symbol::int % 4 <> 0 group by 1, 2")
+@register(
+    "t17_refresh_indicators",
+    f"""{_ALL}, long as (select exchange, symbol, period_date as date, rn, n, indicator, value from (unpivot wide on {", ".join(_NAMES)} into name indicator value value))
+select exchange, symbol, date, indicator, round(value, 4) as value from long where symbol::int % 4 >= 2 or (symbol::int % 4 = 1 and (rn = n - 1 or indicator not in ({_RESUMED})))""",
+)
 def t17(spark, d):
+    """A quarter of the tickers is up to date, one lacks the last bar, one lacks a row within, one has nothing stored."""
     df = bars(spark, d)
-    at = F.col("symbol").cast("int") % 4
-    first = df.groupBy("exchange", "symbol").agg(F.max("period_date").alias("_last"))
-    stored = df.join(first, ["exchange", "symbol"]).where((at == 0) | ((at == 1) & (F.col("period_date") < F.col("_last"))))
-    out = ind.refresh_indicators(df, stored)
-    return out.groupBy("exchange", "symbol").agg(F.count("*").alias("n"), F.count("rsi").alias("n_rsi"), F.count("adx").alias("n_adx"))
+    of = F.col("symbol").cast("int") % 4
+    ends = numbered(df).select(*KEY, F.when((of == 1) & (F.col("idx") == F.col("n") - 1), "last").when((of == 2) & (F.col("idx") == F.col("n") - 2), "within").alias("gap"))
+    stored = ind.indicators_long(ind.indicators(df.where(of < 3)).join(ends, KEY).where("gap is null"), _NAMES)
+    return ind.refresh_indicators(df, stored).withColumn("value", r4("value"))

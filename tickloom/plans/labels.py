@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import labels as lab
 from ..operators import normalize as norm
 from ..registry import register
-from ..sources.bars import date_bounds, rollup_intraday, take_daily
+from ..session import scratch
+from ..sources.bars import date_bounds, ordered, rollup_intraday, take_daily
 from .fixtures import BARS_SQL, bars, r4, table
 
 KEY = ["exchange", "symbol", "period_date"]
@@ -114,6 +115,18 @@ def l11(spark, d):
     return lab.split(inst, 0.7, 0.2).groupBy("cls", "part").agg(F.count("*").alias("n"))
 
 
+@register("l16_saved_sets", f"{LABEL}, p as (select exchange, symbol, period_date, row_number() over (partition by exchange, symbol order by period_date) as k from l where cls is not null) select exchange, symbol, period_date, case when k % 10 < 7 then 'train' when k % 10 < 9 then 'validation' else 'test' end as part, 'net' as network, 2::int as set_id from p")
+def l16(spark, d):
+    inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null")
+    k = F.row_number().over(ordered()) % 10
+    sets = inst.withColumn("part", F.when(k < 7, "train").when(k < 9, "validation").otherwise("test"))
+    path = scratch(spark, "saved-sets")
+    lab.save_sets(inst.select(*KEY, F.lit("test").alias("part")), path, "net", 2)
+    lab.save_sets(sets, path, "net")  # in place of the one before
+    lab.save_sets(sets.where("part = 'test'"), path, "other", 1)
+    return lab.read_sets(spark, path, "net", 2)
+
+
 _RANKED = LABEL + ", c as (select exchange, symbol, count(*) filter (cls = 'POSITIVE') as p, count(*) as t from l where cls is not null group by 1, 2), o as (select *, row_number() over (order by case when abs(p / t - 0.1) <= 0.02 then 0 when abs(p / t - 0.1) <= 0.05 then 1 else 2 end, t desc, exchange, symbol) - 1 as k from c)".replace(" c as (", " cc as (").replace("from c)", "from cc)")
 
 

@@ -74,12 +74,9 @@ def j12(spark, d):
     return real.select(*KEY, r4(before).alias("before"), r4(after).alias("after"))
 
 
-@register("g2_vix_series", f"with {BARS_SQL}, {VIX_SQL}, j as (select b.*, v.close as vc, v.high as vh from b join vix v using (period_date)), s as (select *, list([vc, vh]) over (partition by exchange, symbol order by period_date rows between 5 preceding and 1 preceding) as l from j) select {K}, len(l)::int as n, round(l[1][1], 4) as first_close, round(l[5][2], 4) as last_high from s where len(l) = 5 and rn % 10 = 0")
+@register("g2_vix_series", f"with {BARS_SQL}, {VIX_SQL}, j as (select b.*, v.close as vc, v.high as vh from b join vix v using (period_date)), s as (select *, list([vc, vh]) over (partition by exchange, symbol order by period_date rows between 5 preceding and 1 preceding) as l from j) select {K}, len(l)::int as n, round(l[1][1], 4) as first_close, round(l[5][2], 4) as last_high from s where len(l) = 5")
 def g2(spark, d):
-    from ..sources.bars import numbered
-
-    rows = numbered(jn.with_vix(bars(spark, d), vix(spark, d)))
-    out = ft.series(rows, ["vix_close", "vix_high"], 5).where("size(series) = 5 and idx % 10 = 0")
+    out = ft.series(jn.with_vix(bars(spark, d), vix(spark, d)), ["vix_close", "vix_high"], 5).where("size(series) = 5")
     return out.select(*KEY, F.size("series").alias("n"), r4(F.col("series")[0][0]).alias("first_close"), r4(F.col("series")[4][1]).alias("last_high"))
 
 
@@ -89,19 +86,21 @@ def g8(spark, d):
     return rows.select(*KEY, F.array(r4("bb_low"), r4("bb_mid"), r4("bb_high"), F.col("rgvb").cast("double")).alias("x"))
 
 
-@register("i15_interest_by_region", "select 'K' || n_regionkey as keyword, 'G' || n_nationkey as geo_code, n_name as geo_name, n_nationkey::int as value from nation")
+@register("i15_interest_by_region", "select 'K' || o_custkey as keyword, 'G' || o_orderkey as geo_code, o_orderpriority as geo_name, (o_orderkey % 101)::int as value from orders")
 def i15(spark, d):
-    point = F.struct(F.concat(F.lit("G"), F.col("n_nationkey").cast("string")).alias("geoCode"), F.col("n_name").alias("geoName"), F.array("n_nationkey").alias("value"))
-    files = table(spark, d, "nation").groupBy(F.concat(F.lit("K"), F.col("n_regionkey").cast("string")).alias("keyword")).agg(F.to_json(F.collect_list(point)).alias("json"))
+    k = F.col("o_orderkey")
+    point = F.struct(F.concat(F.lit("G"), k.cast("string")).alias("geoCode"), F.col("o_orderpriority").alias("geoName"), F.array((k % 101).cast("int")).alias("value"))
+    files = table(spark, d, "orders").groupBy(F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("keyword")).agg(F.to_json(F.collect_list(point)).alias("json"))
     return landed.interest_by_region(files)
 
 
-@register("i15_related", "select r_name as keyword, 'top' as kind, 0 as rank, 'a' || r_regionkey as query, r_regionkey::int as value from region union all select r_name, 'rising', k, 'b' || k, (r_regionkey + k)::int from region, (select unnest([0, 1])::int as k)")
+@register("i15_related", "select o_custkey::varchar as keyword, case when o_orderstatus = 'F' then 'top' else 'rising' end as kind, (row_number() over (partition by o_custkey, o_orderstatus = 'F' order by o_orderkey) - 1)::int as rank, 'q' || o_orderkey as query, (o_orderkey % 101)::int as value from orders")
 def i15b(spark, d):
-    k = F.col("r_regionkey").cast("int")
-    one = lambda q, v: F.struct(q.alias("query"), v.alias("value"))
-    j = F.to_json(F.struct(F.array(one(F.concat(F.lit("a"), k.cast("string")), k)).alias("top"), F.array(one(F.lit("b0"), k), one(F.lit("b1"), k + 1)).alias("rising")))
-    return landed.related(table(spark, d, "region").select(F.col("r_name").alias("keyword"), j.alias("json")))
+    k = F.col("o_orderkey")
+    one = F.struct(k.alias("k"), F.concat(F.lit("q"), k.cast("string")).alias("query"), (k % 101).cast("int").alias("value"))
+    done = F.col("o_orderstatus") == "F"
+    lists = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("keyword")).agg(*[F.transform(F.sort_array(F.collect_list(F.when(c, one))), lambda x: F.struct(x["query"].alias("query"), x["value"].alias("value"))).alias(n) for n, c in (("top", done), ("rising", ~done))])
+    return landed.related(lists.select("keyword", F.to_json(F.struct("top", "rising")).alias("json")))
 
 
 @register("e8_fix_aberrant", f"{RAW}, c as (select *, count(*) over (partition by symbol, year(earnings_date)) as n from raw), t as (select symbol, unnest([40, 130, 220, 310]) as x from (select distinct symbol from raw)) select symbol, source, earnings_date from c where n <= 4 or exists (select 1 from t where t.symbol = c.symbol and least(abs(dayofyear(earnings_date) - x), 365 - abs(dayofyear(earnings_date) - x)) <= 30)")

@@ -76,6 +76,11 @@ def c4(spark, d):
     return g.groupBy("exchange", "symbol").agg(F.count("*").alias("n"), F.min("period_date").alias("first_gap"), F.max("period_date").alias("last_gap"), F.sum("ordinal").alias("ordinals"))
 
 
+@register("j13_missing_days", f"{DAYS}, {INTEREST_SQL}, bounds as (select exchange, symbol, min(date) as a, max(date) as z from interest group by 1, 2) select exchange, symbol, md.date as period_date, ordinal from bounds join md on md.date between a and z where not exists (select 1 from interest x where x.exchange = bounds.exchange and x.symbol = bounds.symbol and x.date = md.date)")
+def j13(spark, d):
+    return q.missing_days(interest(spark, d).withColumnRenamed("date", "period_date"), _days(spark, d))
+
+
 @register("c5_damaged_tickers", f"{GAPS}, i as (select exchange, symbol, ordinal - row_number() over (partition by exchange, symbol order by ordinal) as g from gaps), r as (select exchange, symbol, count(*) as run from i group by exchange, symbol, g) select exchange, symbol, max(run) as longest from r where run > 12 group by 1, 2")
 def c5(spark, d):
     return q.damaged_tickers(q.find_gaps(bars(spark, d), _days(spark, d)), 12)
@@ -89,8 +94,8 @@ def c6(spark, d):
 
 
 def _option_bars(spark, d):
-    """A contract per supplier that expires after its 60th bar, with every fifth of the bars before it missing."""
-    rows = numbered(bars(spark, d)).where("idx < 60")
+    """A contract per supplier that expires after its last bar, with every fifth of its bars missing."""
+    rows = numbered(bars(spark, d))
     end = rows.groupBy("symbol").agg(F.date_add(F.max("period_date"), 5).alias("expiration_date"))
     rows = rows.join(end, "symbol").withColumnRenamed("symbol", "ticker")
     return rows.where("idx % 5 <> 2"), rows.where("idx % 5 = 2")
@@ -98,7 +103,7 @@ def _option_bars(spark, d):
 
 @register(
     "c7_fill_option_gaps",
-    f"""with {BARS_SQL}, o as (select symbol as ticker, period_date, rn, open, high, low, close, max(period_date) over (partition by symbol) + 5 as e from b where rn < 60),
+    f"""with {BARS_SQL}, o as (select symbol as ticker, period_date, rn, open, high, low, close, max(period_date) over (partition by symbol) + 5 as e from b),
 have as (select ticker, e, period_date, open, high, low, close from o where rn % 5 <> 2 union all select distinct ticker, e, e + 1, 0, 0, 0, 0 from o),
 gap as (select o.ticker, o.period_date, (o.period_date - p.period_date)::double / (n.period_date - p.period_date) as f, p.open as po, n.open as no, p.high as ph, n.high as nh, p.low as pl, n.low as nl, p.close as pc, n.close as nc
   from o asof join have p on o.ticker = p.ticker and o.period_date > p.period_date asof join have n on o.ticker = n.ticker and o.period_date < n.period_date where o.rn % 5 = 2),

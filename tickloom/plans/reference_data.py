@@ -45,11 +45,11 @@ def s5(spark, d):
     return landed.parse_epoch_payload(files).select("symbol", "period_date", r4("close").alias("close"))
 
 
-@register("s6_clean_vix", f"with {BARS_SQL} select period_date, case when symbol = '2' then 0 else volume end as open, volume as close, 0 as artificial from bars where symbol in ('1', '2')")
+@register("s6_clean_vix", f"with {BARS_SQL} select period_date, case when symbol::int % 2 = 0 then 0 else volume end as open, volume as close, 0 as artificial from bars")
 def s6(spark, d):
-    rows = bars(spark, d).where("symbol in ('1', '2')")
+    rows = bars(spark, d)
     v = F.col("volume").cast("string")
-    lines = rows.select(F.concat_ws(",", F.date_format("period_date", "MM/dd/yyyy"), F.when(F.col("symbol") == "2", "n/a").otherwise(v), v, v, v).alias("value"))
+    lines = rows.select(F.concat_ws(",", F.date_format("period_date", "MM/dd/yyyy"), F.when(F.col("symbol").cast("int") % 2 == 0, "n/a").otherwise(v), v, v, v).alias("value"))
     head = table(spark, d, "region").select(F.concat(F.lit("note, "), F.col("r_name")).alias("value"))
     return landed.clean_vix(head.unionByName(lines)).select("period_date", "open", "close", "artificial")
 
@@ -87,9 +87,9 @@ def s11(spark, d):
     return landed.parse_earnings_html(table(spark, d, "pages").select("page_id", F.concat("html", html).alias("html")).where("html is not null")).where("day is not null")
 
 
-@register("s12_parse_interest", f"with {BARS_SQL} select symbol as keyword, unnest(generate_series(period_date, period_date + 6, interval 1 day))::date as date, case when rn % 3 = 0 or rn % 50 = 0 then 0.1 else (rn % 50)::double end as relative_interest from b where rn % 20 = 0")
+@register("s12_parse_interest", f"with {BARS_SQL} select symbol as keyword, unnest(generate_series(period_date, period_date + 6, interval 1 day))::date as date, case when rn % 3 = 0 or rn % 50 = 0 then 0.1 else (rn % 50)::double end as relative_interest from b")
 def s12(spark, d):
-    rows = numbered(bars(spark, d)).where("idx % 20 = 0")
+    rows = numbered(bars(spark, d))
     t = F.unix_date("period_date").cast("long") * 86400
     point = F.struct(t.alias("time"), (t + 6 * 86400).alias("end"), F.array(F.when(F.col("idx") % 3 == 0, 0.0).otherwise((F.col("idx") % 50).cast("double"))).alias("value"), F.array(F.lit(True)).alias("hasData"))
     return landed.parse_interest(rows.groupBy(F.col("symbol").alias("keyword")).agg(F.to_json(F.collect_list(point)).alias("json")))
@@ -203,10 +203,10 @@ def c18(spark, d):
     return ref.classify_asset(table(spark, d, "part").select("p_partkey", F.lit("NASDAQ").alias("exchange"), symbol.alias("symbol"), name.alias("name"))).select("p_partkey", "asset_kind")
 
 
-@register("c19_group_share_classes", "select 'EX' || p_partkey % 9 as exchange, 'K' || p_partkey || 'A' as symbol, 'K' || p_partkey as base from part where p_partkey % 2 = 0 and p_partkey >= 1000")
+@register("c19_group_share_classes", "select 'EX' || p_partkey % 9 as exchange, 'K' || p_partkey || 'A' as symbol, 'K' || p_partkey as base from part where p_partkey % 2 = 0")
 def c19(spark, d):
     k = F.col("p_partkey")
-    part = table(spark, d, "part").where("p_partkey >= 1000")
+    part = table(spark, d, "part")
     base = part.select(F.concat(F.lit("EX"), (k % 9).cast("string")).alias("exchange"), F.concat(F.lit("K"), k.cast("string")).alias("symbol"), F.concat(F.lit("Firm"), k.cast("string"), F.lit(" common")).alias("name"))
     more = base.where(F.substring("symbol", 2, 9).cast("int") % 2 == 0).select("exchange", F.concat("symbol", F.lit("A")).alias("symbol"), "name")
     return ref.group_share_classes(base.unionByName(more))

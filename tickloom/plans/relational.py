@@ -161,9 +161,9 @@ def j10(spark, d):
     return j.next_earnings(bars(spark, d).select(*KEY), earnings(spark, d))
 
 
-@register("j11_splits_in_range", f"with {BARS_SQL}, {SPLITS_SQL} select b.exchange, b.symbol, b.period_date, s.date, s.split_to from b join splits s on s.exchange = b.exchange and s.symbol = b.symbol and s.date > b.period_date - 60 and s.date <= b.period_date where b.rn % 20 = 0")
+@register("j11_splits_in_range", f"with {BARS_SQL}, {SPLITS_SQL} select b.exchange, b.symbol, b.period_date, s.date, s.split_to from b join splits s on s.exchange = b.exchange and s.symbol = b.symbol and s.date > b.period_date - 60 and s.date <= b.period_date")
 def j11(spark, d):
-    inst = numbered(bars(spark, d)).where("idx % 20 = 0").select(*KEY, F.date_sub("period_date", 60).alias("start"), F.col("period_date").alias("end"))
+    inst = bars(spark, d).select(*KEY, F.date_sub("period_date", 60).alias("start"), F.col("period_date").alias("end"))
     return j.splits_in_range(inst, splits(spark, d)).select(*KEY, "date", "split_to")
 
 

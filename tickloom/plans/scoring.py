@@ -67,6 +67,22 @@ def _instances(spark, d):
     return lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls")
 
 
+_BY_TICKER = f"{LABEL}, i as (select exchange, symbol, period_date, case when change >= 0.05 then 'POSITIVE' else 'NEGATIVE' end as cls, high, low, close from l where change is not null)"
+_APART = "sqrt((a.high - b.high) * (a.high - b.high) + (a.low - b.low) * (a.low - b.low) + (a.close - b.close) * (a.close - b.close))"
+
+
+@register("v2_distance_sums_by_ticker", f"{_BY_TICKER} select a.exchange, a.symbol, a.cls, a.period_date, round(sum({_APART}), 4) as value from i a join i b on a.exchange = b.exchange and a.symbol = b.symbol and a.cls = b.cls group by 1, 2, 3, 4")
+def v2_ticker(spark, d):
+    """Vectors of days: the groups are tickers and classes, and their ids, the dates, are shared by many."""
+    inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls", F.array("high", "low", "close").alias("v"))
+    return sim.distance_sums(inst, ["exchange", "symbol", "cls"], "period_date", "v").withColumn("value", r4("value"))
+
+
+@register("j14_self_pairs", f"select a.label, a.vec_id as a, b.vec_id as b, round({_DIST}, 4) as distance from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
+def j14(spark, d):
+    return sim.self_pairs(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding").withColumn("distance", r4("distance"))
+
+
 @register("v5_check_similarity_dates", f"{LABEL} select exchange, symbol, count(*) filter (day(period_date) = 3)::bigint as missing, 0::bigint as extra from l where change < 0.05 group by 1, 2 having missing > 0")
 def v5(spark, d):
     inst = _instances(spark, d)
@@ -184,9 +200,9 @@ def o3(spark, d):
     return opt.find_contracts(rows, one[0], str(one[1]), "CALL", above=0.0).select("k", "strike")
 
 
-@register("o4_contract_day", f"with {BARS_SQL} select symbol, period_date, round(close, 4) as close from bars where period_date = date '1998-06-15' and symbol::int < 50")
+@register("o4_contract_day", f"with {BARS_SQL} select symbol, period_date, round(close, 4) as close from bars where period_date = date '1998-06-15'")
 def o4(spark, d):
-    return bars(spark, d).where((F.col("period_date") == F.lit("1998-06-15").cast("date")) & (sid() < 50)).select("symbol", "period_date", r4("close").alias("close"))
+    return bars(spark, d).where(F.col("period_date") == F.lit("1998-06-15").cast("date")).select("symbol", "period_date", r4("close").alias("close"))
 
 
 @register("o5_candidate_contracts", f"with {CONTRACTS_SQL} select k from parsed where expiration_date < date '2024-01-01' and contract_type = 'CALL' and expiration_date between date '2021-01-01' and date '2022-12-31' and k % 7 <> 0 and k % 11 <> 0")

@@ -24,9 +24,15 @@ def _r(c):
     return F.transform(c, lambda x: F.floor(x * 10000 + 0.5) / 10000)
 
 
-@register("g3_calendar_one_hot", f"with {BARS_SQL} select {K}, {_hot('isodow(period_date) - 1', 5)} as dow, {_hot('day(period_date) - 1', 31)} as dom, {_hot('month(period_date) - 1', 12)} as moy from b where rn % 10 = 0")
+@register("g1_price_series", f"with {BARS_SQL}, s as (select *, list([open, high, low, close, volume]) over (partition by exchange, symbol order by period_date rows between 5 preceding and 1 preceding) as l from b) select {K}, list_transform(flatten(l), lambda x: floor(x * 10000 + 0.5) / 10000) as x from s where len(l) = 5")
+def g1(spark, d):
+    out = ft.series(bars(spark, d), ft.PRICE_SERIES, 5).where("size(series) = 5")
+    return out.select(*KEY, _r(F.flatten("series")).alias("x"))
+
+
+@register("g3_calendar_one_hot", f"with {BARS_SQL} select {K}, {_hot('isodow(period_date) - 1', 5)} as dow, {_hot('day(period_date) - 1', 31)} as dom, {_hot('month(period_date) - 1', 12)} as moy from b")
 def g3(spark, d):
-    rows = numbered(bars(spark, d)).where("idx % 10 = 0")
+    rows = bars(spark, d)
     p = F.col("period_date")
     return rows.select(*KEY, ft.day_of_week(p).alias("dow"), ft.day_of_month(p).alias("dom"), ft.month_of_year(p).alias("moy"))
 
@@ -62,7 +68,7 @@ def g5b(spark, d):
     return _next(spark, d).select(*KEY, r4(ft.earnings_similarity(F.col("period_date"), F.col("nd"))).alias("s"))
 
 
-@register("g6_financial_features", f"""{FILINGS}, rep as (select b.exchange, b.symbol, b.period_date, q.period, q.quarter, (select max(value) from num n where n.adsh = q.adsh and tag = 'Assets') as assets from b join quarters q on q.exchange = b.exchange and q.symbol = b.symbol and q.filed between b.period_date - 401 and b.period_date where b.rn % 25 = 0 qualify row_number() over (partition by b.exchange, b.symbol, b.period_date order by q.period desc, q.filed desc) <= 6),
+@register("g6_financial_features", f"""{FILINGS}, rep as (select b.exchange, b.symbol, b.period_date, q.period, q.quarter, (select max(value) from num n where n.adsh = q.adsh and tag = 'Assets') as assets from b join quarters q on q.exchange = b.exchange and q.symbol = b.symbol and q.filed between b.period_date - 401 and b.period_date qualify row_number() over (partition by b.exchange, b.symbol, b.period_date order by q.period desc, q.filed desc) <= 6),
 last as (select *, row_number() over (partition by exchange, symbol, period_date order by period desc) as k from rep) select exchange, symbol, period_date, 5 as quarters, least(count(*), 5)::bigint as present, sum(assets) filter (k <= 5) as assets from last group by 1, 2, 3""")
 def g6(spark, d):
     from ..operators.financials import edgar_nums, edgar_quarters, financial_reports
@@ -70,7 +76,7 @@ def g6(spark, d):
 
     sub, num, tag = _filings(spark, d)
     reports = financial_reports(edgar_nums(num, sub, tag), edgar_quarters(sub, num))
-    inst = numbered(bars(spark, d)).where("idx % 25 = 0").select(*KEY)
+    inst = bars(spark, d).select(*KEY)
     out = ft.financial_features(preceding_reports(inst, reports, 400), inst, 400, ["Assets"])
     total = lambda i: F.aggregate("semiseries", F.lit(0.0), lambda a, q: a + q[i])
     rows = out.select(*KEY, F.size("semiseries").alias("quarters"), total(0).cast("long").alias("present"), total(6).alias("assets"))
@@ -100,18 +106,18 @@ def g10(spark, d):
 _VEC = f"with {BARS_SQL}, s as (select *, list([close, volume]) over (partition by exchange, symbol order by period_date rows between 10 preceding and 1 preceding) as l, lead(low, 10) over (partition by exchange, symbol order by period_date) / ph - 1 as change from b)"
 
 
-@register("g11_assemble", f"{_VEC} select {K}, {_hot('isodow(period_date) - 1', 5)} as static, len(flatten(l)) as n, round(flatten(l)[1], 4) as first_close, round(flatten(l)[20], 4) as last_volume from s where rn % 20 = 0 and len(l) = 10 and change is not null")
+@register("g11_assemble", f"{_VEC} select {K}, {_hot('isodow(period_date) - 1', 5)} as static, len(flatten(l)) as n, round(flatten(l)[1], 4) as first_close, round(flatten(l)[20], 4) as last_volume from s where len(l) = 10 and change is not null")
 def g11(spark, d):
     df = bars(spark, d)
-    inst = numbered(lab.label(df, 10, 0.05)).where("cls is not null and idx % 20 = 0").select(*KEY, "cls")
+    inst = lab.label(df, 10, 0.05).where("cls is not null").select(*KEY, "cls")
     out = ft.assemble(inst, df, ["close", "volume"], 10, [ft.day_of_week(F.col("period_date"))])
     return out.select(*KEY, "static", F.size("series").cast("long").alias("n"), r4(F.col("series")[0]).alias("first_close"), r4(F.col("series")[19]).alias("last_volume"))
 
 
-@register("g13_reshape", f"{_VEC} select {K}, len(l) as days, len(l[1]) as width from s where rn % 20 = 0 and len(l) = 10 and change is not null")
+@register("g13_reshape", f"{_VEC} select {K}, len(l) as days, len(l[1]) as width from s where len(l) = 10 and change is not null")
 def g13(spark, d):
     df = bars(spark, d)
-    inst = numbered(lab.label(df, 10, 0.05)).where("cls is not null and idx % 20 = 0").select(*KEY, "cls")
+    inst = lab.label(df, 10, 0.05).where("cls is not null").select(*KEY, "cls")
     out = ft.assemble(inst, df, ["close", "volume"], 10, [], flat=False)
     return out.select(*KEY, F.size("series").cast("long").alias("days"), F.size(F.col("series")[0]).cast("long").alias("width"))
 

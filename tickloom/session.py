@@ -5,12 +5,24 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see (spark.checkpoint.dir). Only a local session may go without one."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = f"file://{tempfile.gettempdir()}"
+    return f"{given.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source to the session's executors, once for each Spark application.
 
