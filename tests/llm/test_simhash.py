@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -40,6 +41,37 @@ def test_against_all_pairs(spark, docs, corpus):
     assert sorted(map(tuple, simhash.classes(docs.repartition(3)).collect())) == want
 
 
+def test_manhattan_is_a_lower_bound(spark):
+    rng = random.Random(5)
+    pairs = [(a - (1 << 63), (a ^ sum(1 << rng.randrange(64) for _ in range(5)) & (1 << 64) - 1) - (1 << 63)) for a in (rng.getrandbits(64) for _ in range(200))]
+    pairs = [(a, max(min(b, (1 << 63) - 1), -(1 << 63))) for a, b in pairs]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = df.select("a", "b", simhash._distance(simhash.embedding(F.col("a")), simhash.embedding(F.col("b"))).alias("m"), simhash._distance(F.col("a"), F.col("b")).alias("h")).collect()
+
+    def counts(x):
+        return [((x >> 2 * k) & 1) + ((x >> 2 * k + 1) & 1) for k in range(32)]
+
+    for r in got:
+        assert r["m"] == sum(abs(x - y) for x, y in zip(counts(r["a"]), counts(r["b"]))) <= r["h"]
+
+
+@pytest.mark.parametrize("crowd", [1, 20, simhash.CROWD])
+def test_crowded_cells(spark, crowd):
+    """Two dense groups that nothing links, one that a single chain links, and one of a hub with all its neighbours."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    far = base ^ 0xF0F0
+    fps = {base ^ sum(1 << b for b in rng.sample(range(20, 64), rng.randint(0, 3))) for _ in range(150)}
+    fps |= {far ^ sum(1 << b for b in rng.sample(range(20, 64), rng.randint(0, 2))) for _ in range(100)}
+    fps |= {base ^ 0x7 << 17, base ^ 0x3F << 17, rng.getrandbits(64)}
+    fps = sorted(fps, key=lambda x: x - (1 << 64) if x >> 63 else x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    roots = {r["fp"]: r["root"] for r in simhash.link(spark.createDataFrame([(x,) for x in signed], "fp long"), crowd=crowd).collect()}
+    least = least_reachable(fps)
+    pairs = {(c, roots[x]) for x, c in zip(signed, least)}
+    assert len(pairs) == len(set(least)) == len(set(roots.values())) and len(roots) == len(signed)
+
+
 def test_links_of_made_fingerprints(spark):
     rng = random.Random(3)
     fps = [0, 1, 7, 15, 31, (1 << 64) - 1]

@@ -2,9 +2,10 @@
 
 Candidates come from a segment-popcount embedding: a fingerprint becomes the vector of the bit counts of its 32 two-bit
 segments. Manhattan distance between vectors never exceeds Hamming distance between fingerprints, so points within
-Manhattan distance 3 are all that must be looked at. The 32 axes form 6 groups; of two points within distance 3 at least
-3 groups agree, so the points share a cell of one of the 20 grids that 3 groups span. Cells are joined, and the join's
-condition verifies the Hamming distance exactly.
+Manhattan distance 3 are all that must be looked at. The range join goes by grids: the 32 axes form 6 groups; of two
+points within distance 3 at least 3 groups agree, so the points share a cell of one of the 20 grids that 3 groups span.
+A crowded cell is cut by 20 finer grids over its other axes in the same way. Pairs of a cell are held to the Manhattan
+distance first, and what passes is verified by the Hamming distance.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, materialise, slices, words
@@ -22,6 +23,7 @@ from ._common import LOWER, materialise, slices, words
 GROUPS = 6
 #: Axes (two-bit segments) of each group, by segment number.
 AXES = [range(32 * g // GROUPS, 32 * (g + 1) // GROUPS) for g in range(GROUPS)]
+CROWD = 256  # points of a cell above which it is cut by finer grids
 
 
 def fingerprints(docs: DataFrame, keys: list[str], shingle: int = 3) -> DataFrame:
@@ -65,41 +67,64 @@ def fingerprints(docs: DataFrame, keys: list[str], shingle: int = 3) -> DataFram
 
 
 def embedding(fp: Column) -> Column:
-    """The 32 segment counts of a fingerprint, two bits each: the sum of the even and the odd bit of each segment."""
+    """The 32 segment counts of a fingerprint, in two bits each: none 00, one 01, two 11.
+
+    Written so, the Manhattan distance of two vectors is the number of bits in which they differ.
+    """
     odd = F.lit(0x5555555555555555)
     low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def _masks(axes: list[int]) -> list[list[int]]:
+    """The axes of each grid that half of 6 groups of the given axes span."""
+    groups = [axes[len(axes) * g // GROUPS : len(axes) * (g + 1) // GROUPS] for g in range(GROUPS)]
+    return [[axis for g in chosen for axis in g] for chosen in combinations(groups, GROUPS - 3)]
 
 
-def _masks() -> list[int]:
-    """For each grid, the bits of the embedding that its axes take up (as a signed 64-bit number)."""
-    out = []
-    for chosen in combinations(range(GROUPS), GROUPS - 3):
-        bits = sum(3 << (2 * axis) for g in chosen for axis in AXES[g])
-        out.append(bits - (1 << 64) if bits >> 63 else bits)
-    return out
+def _bits(axes: list[int]) -> int:
+    """The bits of the embedding that the axes take up, as a signed 64-bit number."""
+    bits = sum(3 << (2 * axis) for axis in axes)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+_COARSE = _masks(list(range(32)))
+_FINE = [[own + more for more in _masks([axis for axis in range(32) if axis not in own])] for own in _COARSE]
 
 
 def _cells(points: DataFrame) -> DataFrame:
     """One row for each fingerprint and grid: fp, grid number, cell."""
     e = F.col("_e")
-    grids = F.posexplode(F.array(*[e.bitwiseAND(F.lit(m)) for m in _masks()])).alias("grid", "cell")
+    grids = F.posexplode(F.array(*[e.bitwiseAND(F.lit(_bits(m))) for m in _COARSE])).alias("grid", "cell")
     return points.withColumn("_e", embedding(F.col("fp"))).select(*points.columns, grids)
 
 
+def _finer(rows: DataFrame) -> DataFrame:
+    """fp, grid and cell of the 20 finer grids in each row's coarse grid; finer grids are numbered after the coarse ones."""
+    masks = F.array(*[F.array(*[F.lit(_bits(m)) for m in fine]) for fine in _FINE])
+    each = rows.select("fp", F.col("grid").alias("_g"), F.posexplode(F.get(masks, F.col("grid"))).alias("_k", "_m"))
+    number = len(_COARSE) * (F.col("_g") + 1) + F.col("_k")
+    return each.select("fp", number.cast("int").alias("grid"), embedding(F.col("fp")).bitwiseAND(F.col("_m")).alias("cell"))
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def components(edges: DataFrame, nodes: DataFrame, name: str, rounds: int = 60) -> DataFrame:
+def _near(a: Column, b: Column, bits: int) -> Column:
+    """Within `bits`: Manhattan distance of the embeddings first, then Hamming distance of the fingerprints."""
+    return (_distance(embedding(a), embedding(b)) <= bits) & (_distance(a, b) <= bits)
+
+
+def components(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """fp and root: the least fp of its component. edges: a, b. Alternates large-star and small-star until edges rest.
 
     Every round is a grouping of edges by one end that keeps a minimum, written to the shared folder; no component is
-    gathered anywhere.
+    gathered anywhere. Edges come to rest after a number of rounds that grows with the logarithm of the nodes.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), f"{name}-edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node is tied to the least of the node's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -112,30 +137,37 @@ def components(edges: DataFrame, nodes: DataFrame, name: str, rounds: int = 60)
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not come to rest")
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
     return nodes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def link(points: DataFrame, bits: int = 3, name: str = "simhash") -> DataFrame:
+def _crowded(cells: DataFrame, name: str) -> DataFrame:
+    """fp, grid, cell, hub (the cell's least point) and n (its points) where a cell has more points than one."""
+    hub = cells.groupBy("grid", "cell").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    return materialise(cells.join(hub, ["grid", "cell"]).select("fp", "grid", "cell", "hub", "n"), name)
+
+
+def link(points: DataFrame, bits: int = 3, name: str = "simhash", crowd: int = CROWD) -> DataFrame:
     """fp and root for distinct fingerprints (column fp): root is equal exactly where a chain of links joins them.
 
     First every point is tied to the least point of each of its cells, where the distance allows: as many rows as
-    points and grids. The components of these ties swallow dense groups, so the cell join then returns only links
-    between different components, and no pairs within a group.
+    points and grids. The components of these ties swallow dense groups. Cells whose points are all in one component
+    need no more; in the others, points of different components are compared.
     """
     if bits > 3:
         raise ValueError("the grids hold for 3 differing bits at most")
-    cells = _cells(points.select("fp"))
-    hub = cells.groupBy("grid", "cell").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    crowded = materialise(cells.join(hub, ["grid", "cell"]).select("fp", "grid", "cell", "hub"), f"{name}-cells")
-    ties = crowded.where((F.col("fp") != F.col("hub")) & (_distance(F.col("fp"), F.col("hub")) <= bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    ties = materialise(ties.distinct(), f"{name}-ties")
+    crowded = _crowded(_cells(points.select("fp")), f"{name}-cells")
+    ties, asked = crowded, crowded
+    if not crowded.where(F.col("n") > crowd).isEmpty():
+        fine = _crowded(_finer(crowded.where(F.col("n") > crowd)), f"{name}-fine-cells")
+        ties, asked = crowded.unionByName(fine), crowded.where(F.col("n") <= crowd).unionByName(fine)
+    ties = ties.where((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     rough = materialise(components(ties, crowded.select("fp").distinct(), name), f"{name}-rough")
-    cell = crowded.select("fp", "grid", "cell").join(rough, "fp")
+    cell = asked.select("fp", "grid", "cell").join(rough, "fp")
+    split = cell.groupBy("grid", "cell").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("grid", "cell")
+    cell = materialise(cell.join(split, ["grid", "cell"]), f"{name}-split-cells")
     left, right = cell.select("grid", "cell", F.col("fp").alias("a"), F.col("root").alias("ra")), cell.select("grid", "cell", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    near = left.join(right, (left.grid == right.grid) & (left.cell == right.cell) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (_distance(F.col("a"), F.col("b")) <= bits))
+    near = left.join(right, ["grid", "cell"]).where((F.col("ra") < F.col("rb")) & _near(F.col("a"), F.col("b"), bits))
     more = near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     tops = rough.select(F.col("root").alias("fp")).distinct()
     over = components(more, tops, name).withColumnRenamed("fp", "mid").withColumnRenamed("root", "top")
@@ -163,7 +195,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
 
     Rows whose doc_id is null cannot be named as copies of anything; they stay.
     """
-    found = classes(docs, shingle, bits).where("doc_id = component_id").select("doc_id").distinct().withColumn("_tl_kept", F.lit(True))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    marked = docs.join(found, "doc_id", "left").withColumn("_tl_nth", nth)
-    return marked.where("doc_id is null or (_tl_kept and _tl_nth = 1)").select(docs.columns)
+    found = classes(docs, shingle, bits).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_tl_rows"))
+    first = docs.join(found, "doc_id")
+    # a row stands for all that repeat its id: the one with the least text
+    again = first.where("_tl_rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("_tl_row")).select("_tl_row.*")
+    parts = (docs.where("doc_id is null"), first.where("_tl_rows = 1"), again)
+    out = [part.select(docs.columns) for part in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
