@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate as d
@@ -43,10 +44,37 @@ def test_against_all_pairs(spark, corpus, monkeypatch):
     want = brute(corpus, sorted(set(items), key=str))
     assert len(want) > 10
     assert sorted(tuple(r)[:4] for r in d.contained(df, bench).collect()) == want
-    monkeypatch.setattr(d, "BLOCK_BYTES", 2000)  # several blocks of items
-    assert sorted(tuple(r)[:4] for r in d.contained(df, bench).collect()) == want
     left = {r["doc_id"] for r in d.clean(df, bench).collect()}
     assert left == set(range(len(corpus))) - {w[0] for w in want}
+    monkeypatch.setattr(d, "LISTED", 3)  # too many ids to broadcast
+    assert {r["doc_id"] for r in d.clean(df, bench).collect()} == left
+    monkeypatch.setattr(d, "_bloom", lambda signatures: (np.full(1 << 10, 2**64 - 1, np.uint64), 16))  # a filter that stops nothing
+    assert sorted(tuple(r)[:4] for r in d.contained(df, bench).collect()) == want
+
+
+def test_filter_passes_all_it_holds():
+    h = np.random.default_rng(1).integers(0, 2**63, 2000).astype(np.uint64)
+    bloom = np.zeros(1 << 14, np.uint64)
+    for at in d._spots(h[:1000], 5, 20):
+        np.bitwise_or.at(bloom, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    passed = d._maybe(bloom, 20, h, 5)
+    assert set(range(1000)) <= set(passed) and len(passed) < 1010
+
+
+def test_no_signature_is_too_short():
+    """Of any size, an item's signature is longer than the shingles that a text at the threshold can lack."""
+    for size in [*range(1, 140), 500, 1000]:
+        text = " ".join(f"w{k}" for k in range(size + 4 if size > 1 else 3)).encode()
+        _, own, h = d._signature(text, 0.8)
+        assert own == size and len(h) >= min(size, size - d.need(size, 0.8) + 1)
+
+
+def test_null_ids_and_very_long_text(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    long_ = "filler words go on " * 200_000 + passage
+    df = spark.createDataFrame([(None, passage), (1, long_), (1, long_[:50]), (2, passage[:40])], "doc_id long, text string")
+    got = d.contained(df, spark.createDataFrame([(None, passage), (5, passage + " more")], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in got) == [(0, 0), (0, 5), (1, 0), (1, 5)]
 
 
 def test_empty(spark, docs):

@@ -2,22 +2,31 @@
 
 Items are partitioned by size, and from the items of a size class come MinHash signatures: an item's k least shingle
 hashes, where k is chosen for the class so that no text can hold the threshold's share of the item and miss all k. A
-document is probed with every shingle it has, whatever its length; an item whose signature it meets is then verified by
-exact shingle containment. Nothing is missed, as the signature's length follows from the threshold.
+document is probed with every shingle it has, whatever its length; an item whose signature it meets, and for which it is
+long enough, is then verified by exact shingle containment. Nothing is missed, as the signature's length follows from
+the threshold.
+
+Items and signatures stay tables. What goes to every executor is a Bloom filter of the signatures, of a bounded number of
+bits, which lets most shingles go where they are made; what passes it is joined with the signatures.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from ._common import LOWER, ngrams, prefix_hash, range_hash, slices, words
+from ._common import LOWER, materialise, mix, ngrams, prefix_hash, range_hash, slices, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK_BYTES = 16 << 20  # test items' text in one broadcast; more items are searched for in more blocks
+BITS = 28  # the filter has 2**BITS bits (32 MB) at most, and 128 for each signature below that
+PROBES = 4
+LISTED = 1 << 20  # ids of documents to drop that are broadcast; more of them are joined by a shuffle
 
 
 def _parts(text: bytes) -> list[bytes]:
@@ -30,56 +39,89 @@ def shingles(parts: list[bytes], n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)} if n else set()
 
 
-class Index:
-    """Signatures of some test items, by the number of words in a shingle."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        self.threshold = threshold
-        self.sets = {}
-        classes: dict[tuple[int, int], list] = {}
-        for item, text in items:
-            parts = _parts(text.encode())
-            if own := shingles(parts):
-                self.sets[item] = (min(SHINGLE, len(parts)), own)
-                classes.setdefault((min(SHINGLE, len(parts)), len(own).bit_length()), []).append(item)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for (n, _), members in classes.items():
-            # of s shingles at least ceil(t * s) are shared, so that many less one can be missed, and one more is met
-            k = max(len(self.sets[i][1]) - self.need(i) + 1 for i in members)
-            for item in members:
-                h = self._hashes(sorted(self.sets[item][1]), n)
-                found.setdefault(n, []).extend((int(x), item) for x in np.sort(h)[:k])
-        self.signatures = {}
-        for n, rows in found.items():
-            rows.sort()
-            self.signatures[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], object))
-
-    def need(self, item: int) -> int:
-        return -int(-self.threshold * len(self.sets[item][1]) // 1)
-
-    @staticmethod
-    def _hashes(texts: list[bytes], n: int) -> np.ndarray:
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        offs = np.cumsum([0, *map(len, texts)])
-        s, e, doc = words(buf, offs)
-        return ngrams(range_hash(prefix_hash(buf), s, e), doc, n)[0]
-
-    def candidates(self, buf: np.ndarray, offs: np.ndarray) -> dict[int, set]:
-        """Items whose signature a text meets, by the text's number."""
-        low = LOWER[buf]
-        s, e, doc = words(low, offs)
-        h = range_hash(prefix_hash(low), s, e)
-        out: dict[int, set] = {}
-        for n, (known, item) in self.signatures.items():
-            grams, at = ngrams(h, doc, n)
-            # a bit for each value of the top 16 bits lets most shingles pass by without a search
-            seen = np.zeros(1 << 16, bool)
-            seen[(known >> np.uint64(48)).astype(np.int64)] = True
-            likely = np.flatnonzero(seen[(grams >> np.uint64(48)).astype(np.int64)])
-            lo, hi = np.searchsorted(known, grams[likely], "left"), np.searchsorted(known, grams[likely], "right")
-            for k in np.flatnonzero(hi > lo):
-                out.setdefault(int(doc[at[likely[k]]]), set()).update(item[lo[k] : hi[k]])
-        return out
+def need(size: int, threshold: float) -> int:
+    """Shingles, of `size` different ones, that make the threshold's share."""
+    return -int(-threshold * size // 1)
+
+
+def _signature(text: bytes, threshold: float) -> tuple[int, int, np.ndarray]:
+    """Words in a shingle, number of different shingles, and the k least of their hashes, k by the size class."""
+    parts = _parts(text)
+    own = sorted(shingles(parts))
+    n = min(SHINGLE, len(parts))
+    buf = np.frombuffer(b" ".join(own), np.uint8)
+    offs = np.cumsum([0, *(len(x) + 1 for x in own)])
+    offs[-1] = len(buf)
+    s, e, doc = words(buf, offs)
+    h = ngrams(range_hash(prefix_hash(buf), s, e), doc, n)[0]
+    # at least need(size) of `size` shingles are shared: size - need can be missed, and one more is met. Sizes up to the
+    # next power of two form a class; its longest signature serves all of it.
+    low, top = 1 << len(own).bit_length() - 1, (1 << len(own).bit_length()) - 1
+    k = max(size - need(size, threshold) + 1 for size in range(low, top + 1)) if top < 64 else top - need(top, threshold) + 2
+    return n, len(own), np.sort(h)[:k]
+
+
+def _spots(h: np.ndarray, n: int, bits: int) -> Iterator[np.ndarray]:
+    """Where the filter holds a hash of an n-word shingle: one array of places for each probe."""
+    h = mix(h ^ np.uint64(n))
+    for k in range(PROBES):
+        yield (mix(h + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bloom(signatures: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter's 64-bit words and number of bits: each word is put together on the executors."""
+    many = signatures.count()
+    bits = min(BITS, max(16, (128 * many).bit_length()))
+
+    def places(batches):
+        for b in batches:
+            h, n = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1))
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for k in range(1, SHINGLE + 1) for x in _spots(h[n == k], k, bits))]))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    found = signatures.select("h", "n").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def _maybe(bloom: np.ndarray, bits: int, h: np.ndarray, n: int) -> np.ndarray:
+    """Places in h that the filter lets pass."""
+    left = np.arange(len(h))
+    for spot in range(PROBES):
+        at = next(x for k, x in enumerate(_spots(h[left], n, bits)) if k == spot)
+        left = left[(bloom[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0]
+    return left
+
+
+def _candidates(docs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that may meet a signature, with their number of words and the shingles' hashes."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(signatures))
+    sizes = sorted(r["n"] for r in signatures.select("n").distinct().collect())
+
+    def run(batches):
+        table, bits = bloom.value
+        for rows, buf, offs in slices(batches, "text"):
+            low = LOWER[buf]
+            s, e, doc = words(low, offs)
+            h = range_hash(prefix_hash(low), s, e)
+            docs_, hashes, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for n in sizes:
+                grams, at = ngrams(h, doc, n)
+                left = _maybe(table, bits, grams, n)
+                docs_.append(doc[at[left]])
+                hashes.append(grams[left])
+                ns.append(np.full(len(left), n, np.int32))
+            of, g, n = np.concatenate(docs_), np.concatenate(hashes), np.concatenate(ns)
+            by = np.argsort(of, kind="stable")
+            some, many = np.unique(of, return_counts=True)
+            met = pa.StructArray.from_arrays([pa.array(n[by]), pa.array(g[by].view(np.int64))], names=["n", "h"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), met)
+            taken = rows.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.bincount(doc, minlength=rows.num_rows)[some].astype(np.int64)), lists], names=["doc_id", "text", "n_words", "met"])
+
+    schema = StructType(docs.schema.fields[:]).add("n_words", "long").add("met", ArrayType(StructType().add("n", "integer").add("h", "long")))
+    return docs.mapInArrow(run, schema)
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -87,46 +129,55 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
     Words are runs outside white space, A-Z lower-cased; shingles are five words (an item of fewer words is one shingle
     of all of them). Null or empty texts on either side meet nothing; an item_id that occurs with several texts is
-    searched for by each; repeated documents each give rows, repeated items give one. Items go out in blocks of bounded
-    bytes, and every block passes over all of docs.
+    searched for by each; repeated documents each give rows, repeated items give one; null ids stay. Other columns of
+    either table are left out.
     """
-    spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-2 * total // BLOCK_BYTES) or 1
-    schema = docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_shingles", "long").add("n_shared", "long").add("containment", "double")
-    out = None
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in some.toLocalIterator()]
-        ids = [r[0] for r in rows]
-        index = spark.sparkContext.broadcast(Index(list(enumerate(r[1] for r in rows)), threshold))
-
-        def run(batches, index=index, ids=ids):
-            ix = index.value
-            for part, buf, offs in slices(batches, "text"):
-                found = []
-                for doc, some in ix.candidates(buf, offs).items():
-                    parts = _parts(buf[offs[doc] : offs[doc + 1]].tobytes())
-                    own = {n: shingles(parts, n) for n in {ix.sets[i][0] for i in some}}
-                    for i in some:
-                        n, want = ix.sets[i]
-                        shared = len(want & own[n])
-                        if shared >= ix.need(i):
-                            found.append((doc, ids[i], len(want), shared, shared / len(want)))
-                cols = list(zip(*found)) or [()] * 5
-                doc_ids = part.column(0).take(pa.array(cols[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, t) for c, t in zip(cols[1:], pa_types))], names=schema.names)
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        pa_types = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
-        hits = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    items = materialise(items.withColumn("_item", F.monotonically_increasing_id()), "decontaminate-items")
+
+    def sign(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, size, h = _signature(text.encode(), threshold)
+                for col, val in zip(out, ([item] * len(h), [n] * len(h), [size] * len(h), h.view(np.int64).tolist())):
+                    col += val
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["_item", "n", "size", "h"])
+
+    signatures = materialise(items.select("_item", "text").mapInArrow(sign, "_item long, n int, size long, h long"), "decontaminate-signatures")
+    rows = materialise(_candidates(docs.select("doc_id", "text"), signatures), "decontaminate-documents").withColumn("_row", F.monotonically_increasing_id())
+    met = rows.select("_row", "n_words", F.explode("met").alias("x")).select("_row", "n_words", "x.n", "x.h")
+    # a document with fewer words than the shared shingles take up can't contain the item
+    long_enough = F.col("n_words") >= F.ceil(F.col("size") * threshold - 1e-6) + F.col("n") - 1
+    pairs = met.join(signatures, ["n", "h"]).where(long_enough).select("_row", "_item").distinct()
+    both = pairs.join(items.withColumnRenamed("text", "_wanted"), "_item").join(rows.select("_row", "doc_id", "text"), "_row")
+    ids = [docs.select("doc_id").schema.fields[0], items.schema["item_id"]]
+    schema = docs.select("doc_id").schema.add(ids[1]).add("n_shingles", "long").add("n_shared", "long").add("containment", "double")
+
+    def verify(batches):
+        last, parts, own = None, [], {}
+        for b in batches:
+            at, found = [], []
+            for k, (row, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_row", "text", "_wanted")))):
+                if row != last:
+                    last, parts, own = row, _parts(text.encode()), {}
+                item = _parts(wanted.encode())
+                want, n = shingles(item), min(SHINGLE, len(item))
+                if n not in own:
+                    own[n] = shingles(parts, n) if len(parts) >= n else set()
+                shared = len(want & own[n])
+                if shared >= need(len(want), threshold):
+                    at.append(k)
+                    found.append((len(want), shared, shared / len(want)))
+            cols = list(zip(*found)) or [()] * 3
+            hit = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([hit.column("doc_id"), hit.column("item_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64())))], names=schema.names)
+
+    return both.select("_row", "text", "_wanted", "doc_id", "item_id").mapInArrow(verify, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that contain a test item; rows whose doc_id is null stay, as nothing can name them."""
-    bad = contained(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = materialise(contained(docs, benchmark, threshold).where("doc_id is not null").select("doc_id").distinct(), "decontaminate-found")
+    few = bad.limit(LISTED + 1).count() <= LISTED
+    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti")
