@@ -29,12 +29,14 @@ def longest(text, at, sample):
     return max(n, 1)
 
 
-def test_phrases_by_search():
-    """The dense automata count the phrases that searching the sample for longest matches gives."""
+@pytest.mark.parametrize("block", [1, 3, 17, langid.BLOCK])
+def test_phrases_by_search(monkeypatch, block):
+    """The dense automata count the phrases that searching the sample for longest matches gives, wherever blocks are cut."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(4)
     samples = {k: sentence(rng, k, 80).encode() for k in SYLLABLES}
     parser = langid.Parser({k: langid._KEEP[np.frombuffer(v, np.uint8)].tobytes() for k, v in samples.items()})
-    texts = [sentence(rng, rng.choice(sorted(SYLLABLES)), n).encode() for n in (1, 5, 300)] + [b"", b"zzz QQ!"]
+    texts = [sentence(rng, rng.choice(sorted(SYLLABLES)), n).encode() for n in (1, 5, 300)] + [b"", b"zzz QQ!", samples["en"][:700] + b"zq" + samples["en"][100:900], samples["de"] * 2]
     buf = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.cumsum([0, *map(len, texts)])
     got = parser.phrases(buf, offs)
@@ -42,18 +44,41 @@ def test_phrases_by_search():
         plain = langid._KEEP[np.frombuffer(t, np.uint8)].tobytes()
         for j, lang in enumerate(parser.langs):
             sample = langid._KEEP[np.frombuffer(samples[lang], np.uint8)].tobytes()
-            count = 0
-            for b in range(0, len(plain), langid.BLOCK):
-                block, at = plain[b : b + langid.BLOCK], 0
-                while at < len(block):
-                    at += longest(block, at, sample)
-                    count += 1
+            count = at = 0
+            while at < len(plain):
+                at += longest(plain, at, sample)
+                count += 1
             assert got[i, j] == pytest.approx(count * np.log2(len(sample) + 1))
 
 
+def test_prediction_by_hand(spark, languages):
+    """Language and score of every text, from longest matches searched for in the samples."""
+    sample = langid.learn(languages, bytes_per_language=2000)
+    got = {r["doc_id"]: r for r in langid.identify(languages.where("doc_id between 1 and 40"), sample, ["doc_id", "text"]).collect()}
+    for r in got.values():
+        plain = langid._KEEP[np.frombuffer(r["text"].lower().encode(), np.uint8)].tobytes()
+        cost = {}
+        for k, v in sample.items():
+            at = n = 0
+            while at < len(plain):
+                at += longest(plain, at, v)
+                n += 1
+            cost[k] = n * np.log2(len(v) + 1)
+        first, second = sorted(cost, key=lambda k: (cost[k], k))[:2]
+        assert r["lang_pred"] == first and r["score"] == pytest.approx(cost[second] / (cost[first] + cost[second]))
+
+
+def test_rare_languages_are_learned(spark):
+    df = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"l{i}") for i in range(130)], "doc_id long, text string, lang string")
+    assert len(langid.learn(df)) == 130
+    assert langid._shared([b"abc", b"d" * 50, b"e" * 50], 40) == b"abc " + b"d" * 17 + b" " + b"e" * 17
+
+
 def test_language(spark, languages):
     sample = langid.learn(languages)
     assert set(sample) == set(SYLLABLES)
+    small = langid.learn(languages, bytes_in_all=900)
+    assert set(small) == set(SYLLABLES) and all(100 < len(v) <= 300 for v in small.values())
     got = langid.identify(languages, sample, ["doc_id", "lang"]).collect()
     assert len(got) == languages.count()
     assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] is not None and r["doc_id"] < 900)

@@ -2,7 +2,11 @@
 
 A suffix automaton per language, built over a bounded sample of labelled text, gives the longest match at any point of a
 text. Cutting a text greedily into longest matches needs few phrases where the language is the same and many where it
-is not; the language with the fewest phrases, times the bits that point at a place in its sample, wins.
+isn't; the language with the fewest phrases, times the bits that point at a place in its sample, wins.
+
+All texts are parsed side by side, in blocks. A block is first parsed as if a phrase began with it; then the phrase that
+runs into it from the block before is followed, until it ends where a phrase of the first parse begins: from there on
+both are the same. So phrases are the whole text's, wherever blocks are cut.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import slices
 
-BLOCK = 512  # bytes; a phrase never crosses a block, so that blocks of all texts are parsed side by side
+BLOCK = 512  # bytes of a text that are parsed beside others
 
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -22,28 +26,44 @@ _KEEP[128:] = np.arange(128, 256)
 _KEEP[65:91] = np.arange(97, 123)
 
 
-def learn(docs: DataFrame, max_languages: int = 100, texts_per_language: int = 64, bytes_per_language: int = 48_000) -> dict[str, bytes]:
+def learn(docs: DataFrame, texts_per_language: int = 64, bytes_per_language: int = 48_000, bytes_in_all: int = 1_000_000) -> dict[str, bytes]:
     """Training text per language, from labelled rows (columns doc_id, text, lang).
 
-    The bounds: the max_languages commonest labels; texts_per_language texts by hash order of doc_id, of each at most
-    its first 20,000 characters; bytes_per_language bytes. Null labels, and texts that are null or have no letter, teach
-    nothing. Without any usable row the result is empty.
+    The bounds: texts_per_language texts of each label, by hash order of doc_id, and bytes_per_language bytes, or less
+    where there are so many labels that all together would exceed bytes_in_all (a worker's tables take some 500 bytes
+    for each). A label's bytes are spread over its texts: each gives a stretch from a place that its hash chooses. Null
+    labels, and texts that are null or have no letter, teach nothing. Without any usable row the result is empty.
     """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4.0 * texts_per_language / r["count"]))])
+    share = {r["lang"]: min(1.0, 4.0 * texts_per_language / r["count"]) for r in counts}
+    most = max(1, min(bytes_per_language, bytes_in_all // len(counts)))
+    longest = 4 * -(-most // texts_per_language)  # characters of a stretch; what short texts leave is filled from longer ones
+    room = F.greatest(F.length("text") - longest + 1, F.lit(1))
     few = (
         rows.withColumn("_h", F.xxhash64("doc_id"))
-        .where((F.pmod("_h", F.lit(1_000_003)) / 1_000_003.0) < F.element_at(share, F.col("lang")))
-        .select("lang", "_h", F.lower(F.substring("text", 1, 20_000)).alias("text"))
+        .where((F.pmod("_h", F.lit(1_000_003)) / 1_000_003.0) < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")))
+        .select("lang", "_h", F.lower(F.substring("text", (1 + F.pmod(F.xxhash64("_h"), room)).cast("int"), F.lit(longest))).alias("text"))
     )
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
     got: dict[str, list[bytes]] = {}
     for r in few.withColumn("_n", nth).where(F.col("_n") <= texts_per_language).orderBy("lang", "_n").toLocalIterator():
         got.setdefault(r["lang"], []).append(_KEEP[np.frombuffer(r["text"].encode(), np.uint8)].tobytes())
-    return {k: b" ".join(v)[:bytes_per_language] for k, v in got.items()}
+    return {k: _shared(v, most) for k, v in got.items()}
+
+
+def _shared(texts: list[bytes], most: int) -> bytes:
+    """The texts' beginnings end to end, of equal length but for shorter texts, `most` bytes at most."""
+    left, out = most, []
+    for k, size in enumerate(sorted(map(len, texts))):
+        part = left // (len(texts) - k)
+        if size + 1 > part:
+            out = [t[: max(part - 1, 0)] for t in texts]
+            break
+        left -= size + 1
+    return b" ".join(out or texts)
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -107,22 +127,69 @@ class Parser:
         start = offs[doc] + nth * BLOCK
         left = np.minimum(offs[doc + 1] - start, BLOCK)
         codes = self.code[_KEEP[buf]]
-        pad, root = self.width - 1, self.width
+        pad = self.width - 1
         grid = np.full((int(left.max()), len(doc)), pad, np.int32)
         for k in range(len(grid)):
             on = left > k
             grid[k, on] = codes[start[on] + k]
+        inner = np.flatnonzero(nth > 0)  # blocks that another of the same text comes before
         for i, table in enumerate(self.tables):
-            state, count = np.full(len(doc), root, np.int32), np.zeros(len(doc), np.int64)
-            opening = table[root : 2 * root]
-            for c in grid:
+            count, state, begins = self._parse(table, grid)
+            count += self._carried(table, grid, left, begins, state, inner)
+            out[:, i] = np.bincount(doc, count, n) * self.bits[i]
+        return out
+
+    def _parse(self, table: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of blocks (columns) that begin with a phrase: phrases, the state after the last byte, and where phrases begin."""
+        pad, root = self.width - 1, self.width
+        state, count = np.full(grid.shape[1], root, np.int32), np.zeros(grid.shape[1], np.int64)
+        begins = np.zeros(grid.shape, bool)
+        opening = table[root : 2 * root]
+        for k, c in enumerate(grid):
+            on = c != pad
+            to = table[state + c]
+            new = ((to == 0) | (state == root)) & on
+            to = np.where(to == 0, opening[c], to)
+            count += new
+            begins[k] = new
+            state = np.where(on, np.where(to == 0, root, to), state)
+        return count, state, begins
+
+    def _carried(self, table: np.ndarray, grid: np.ndarray, left: np.ndarray, begins: np.ndarray, end: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """How many phrases fewer or more each block has if the one before it runs on into it; `end` is brought up to date."""
+        root = self.width
+        opening = table[root : 2 * root]
+        change, alone = np.zeros(grid.shape[1], np.int64), end.copy()
+        is_inner = np.zeros(grid.shape[1] + 1, bool)
+        is_inner[blocks] = True
+        while len(blocks):
+            at, state = blocks, end[blocks - 1]
+            change[at] = 0
+            apart: list[np.ndarray] = []
+            for k in range(len(grid)):
+                done = left[at] <= k  # still another parse at the block's end
+                if done.any():
+                    apart.append(at[done & (end[at] != state)])
+                    end[at[done]] = state[done]
+                    at, state = at[~done], state[~done]
+                if not len(at):
+                    break
+                c = grid[k, at]
                 to = table[state + c]
                 new = (to == 0) | (state == root)
+                same = new & begins[k, at]
+                change[at] += new.astype(np.int64) - begins[k, at]
+                joined = at[same]  # from here on as in the first parse
+                apart.append(joined[end[joined] != alone[joined]])
+                end[joined] = alone[joined]
                 to = np.where(to == 0, opening[c], to)
-                count += new & (c != pad)
-                state = np.where(to == 0, root, to)
-            out[:, i] = np.bincount(doc, count, n) * self.bits[i]
-        return out
+                at, state = at[~same], np.where(to == 0, root, to)[~same]
+            apart.append(at[end[at] != state])
+            end[at] = state
+            # a block after one that ends in another state than before is followed again
+            blocks = np.sort(np.concatenate(apart)) + 1
+            blocks = blocks[is_inner[blocks]]
+        return change
 
 
 _built: dict[int, Parser] = {}
