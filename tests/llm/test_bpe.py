@@ -39,3 +39,33 @@ def test_empty_and_repeats(spark, vocabulary):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     assert bpe.digests(df, vocabulary, ["doc_id"]).count() == 3
     assert bpe.digests(df.limit(0), vocabulary, ["doc_id"]).count() == 0
+
+
+def test_other_kinds_of_files_are_refused():
+    import json
+
+    whole = json.load(open(PATH, encoding="utf-8"))
+    bpe._check(whole)
+    for part, key, value in (("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "type", "Whitespace"), ("model", "end_of_word_suffix", "</w>"), ("model", "byte_fallback", True), ("decoder", "type", "WordPiece")):
+        with pytest.raises(ValueError, match=part):
+            bpe._check(whole | {part: whole[part] | {key: value}})
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe._check(whole | {"normalizer": {"type": "NFC"}})
+    with pytest.raises(ValueError, match="added_tokens"):
+        bpe._check(whole | {"added_tokens": [whole["added_tokens"][0] | {"lstrip": True}]})
+
+
+def test_cache_is_bounded_by_bytes(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 20_000)
+    codec = bpe.Codec(vocabulary)
+    for k in range(400):
+        codec.both_ways(f"word{k} and {'x' * (k % 50 * 40)}")
+        assert codec.held <= 20_000 and sum(len(p) + len(g[1]) + len(g[2]) for p, g in codec.known.items()) <= codec.held
+
+
+def test_very_long_text(spark, vocabulary):
+    text = "It is a long text, " * 150_000
+    t = Tokenizer.from_file(PATH)
+    r = bpe.digests(spark.createDataFrame([(1, text)], "doc_id long, text string"), vocabulary, ["doc_id"]).first()
+    ids = t.encode(text, add_special_tokens=False).ids
+    assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(text))

@@ -15,9 +15,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-#: The pattern that cuts text before the merges (fixed value of the public vocabulary).
+#: The pattern by which a ByteLevel pre-tokenizer with use_regex cuts text before the merges (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 200_000  # pieces whose ids a worker remembers
+CACHED = 48 << 20  # bytes of pieces, their ids and their text that a worker remembers, about
 
 
 def byte_symbols() -> dict[str, int]:
@@ -28,17 +28,38 @@ def byte_symbols() -> dict[str, int]:
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> dict:
-    """The tokenizer file at `path` (any path Spark reads, or a file of the driver), as plain tables."""
+    """The tokenizer file at `path` (any path Spark reads, or a file of the driver), as plain tables.
+
+    Files of byte-level BPE alone: anything in them that would cut, change or merge text in another way is an error.
+    """
     try:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
     except FileNotFoundError:
         whole = json.loads(spark.read.text(path, wholetext=True).first()[0])
     model = whole["model"]
+    _check(whole)
     pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return {"path": path, "vocab": model["vocab"], "merges": pairs, "added": {t["content"]: t["id"] for t in whole["added_tokens"]}}
 
 
+def _check(whole: dict) -> None:
+    model, cut = whole["model"], whole.get("pre_tokenizer") or {}
+    wrong = []
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        wrong.append("model")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if (whole.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("decoder")
+    if whole.get("normalizer"):
+        wrong.append("normalizer")
+    if any(t.get(k) for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class Codec:
     def __init__(self, tables: dict):
         symbol = byte_symbols()
@@ -52,6 +73,7 @@ class Codec:
         self.cut = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0  # bytes in known, about
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -90,9 +112,15 @@ class Codec:
 
     def _piece(self, piece: str) -> tuple[int, str, bytes]:
         ids = [self.added[piece]] if piece in self.added else self.merged(piece.encode())
-        if len(self.known) >= CACHED:
+        got = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids)))
+        size = 250 + 4 * len(piece) + len(got[1]) + len(got[2])  # with what Python adds
+        if size > CACHED // 16:
+            return got
+        if self.held + size > CACHED:
             self.known.clear()
-        got = self.known[piece] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes.__getitem__, ids)))
+            self.held = 0
+        self.known[piece] = got
+        self.held += size
         return got
 
     def both_ways(self, text: str) -> tuple[int, str, str]:
