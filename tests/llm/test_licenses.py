@@ -124,3 +124,25 @@ def test_against_all_windows(spark):
     got = scanned(spark, texts, templates=templates, more=more)
     assert got == {i: b for i, t in enumerate(texts) if (b := brute(t, templates, more))}
     assert len(got) > 30
+
+
+def test_recall_of_wrapped_commented_and_inline_notices(spark):
+    """Every template in three customary forms inside other text: at least nine of ten are found by name."""
+    rng = random.Random(12)
+    every = {**licenses.TEMPLATES, **licenses.longer()}
+    texts, wanted = [], []
+    for name, t in every.items():
+        one = " ".join(t.split())
+        wrapped = textwrap.wrap(one, 72)
+        texts += ["\n".join([filler(rng, 60), *wrapped, filler(rng, 60)]), "\n".join([f"# {x}" for x in wrapped]) + "\n\nimport os\n" + filler(rng, 80), f"{filler(rng, 80)}. {one} {filler(rng, 80)}"]
+        wanted += [name] * 3
+    got = scanned(spark, texts)
+    found = [any(k == name for k, _, _ in got.get(i, ())) for i, name in enumerate(wanted)]
+    assert sum(found) >= 0.9 * len(found), [(n, i % 3) for i, (n, ok) in enumerate(zip(wanted, found)) if not ok]
+
+
+def test_null_ids_and_repeated_rows(spark):
+    line = "Released under the MIT License."
+    df = spark.createDataFrame([(None, line), (None, line), (1, line), (1, f"some other words\n{line}\n{line}"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["n_parts"]) for r in licenses.scan(df).collect()}
+    assert got == {None: ("mit-line", 2), 1: ("mit-line", 3)}
