@@ -56,10 +56,19 @@ def i6(spark, d):
     return gi.scale_daily(x, gi.monthly(x).where("month(month) % 3 <> 0")).select(*TD, r4("relative_interest").alias("relative_interest"))
 
 
-@register("i4_project_months")
+@register(
+    "i4_project_months",
+    f"""{MONTHS.replace("with bars", "with recursive bars", 1)}, sums as (select exchange, symbol, date_trunc('month', date)::date as month, sum(relative_interest) as total from interest group by 1, 2, 3),
+l as (select exchange, symbol, list(s.month order by s.month) as m, list(total order by s.month) as t, list(value order by s.month) as v, count(*) as n from sums s left join (select * from months where month(month) % 4 <> 0) x using (exchange, symbol, month) group by 1, 2),
+r(exchange, symbol, i, v) as (select exchange, symbol, 0::bigint, v from l
+  union all select l.exchange, l.symbol, r.i + 1, list_transform(range(1, n + 1), lambda j: case when j = r.i + 1 and r.v[j] is null then t[j] * list_avg(list_transform(list_filter(range(1, n + 1), lambda k: r.v[k] is not null and t[k] > 0 and abs(m[r.i + 1] - m[k]) < 190), lambda k: r.v[k] / t[k])) else r.v[j] end)
+  from r join l on l.exchange = r.exchange and l.symbol = r.symbol and r.i < n),
+e as (select exchange, symbol, unnest(m) as month, unnest(r.v) as value, list_max(r.v) as top from r join l using (exchange, symbol) where i = n)
+select exchange, symbol, month, round(value * case when top > 100 then 100 / top else 1 end, 4) as value from e""",
+)
 def i4(spark, d):
     x = interest(spark, d)
-    return gi.project_months(x, gi.monthly(x).where("month(month) % 4 <> 0"))
+    return gi.project_months(x, gi.monthly(x).where("month(month) % 4 <> 0")).withColumn("value", r4("value"))
 
 
 @register("i7_preceding_interest", f"with {BARS_SQL}, {INTEREST_SQL}, l as (select *, list(relative_interest) over (partition by exchange, symbol order by date rows between 12 preceding and 3 preceding) as v from interest) select b.exchange, b.symbol, b.period_date as date, len(v) as n, round(list_sum(list_transform(v, lambda x: case when list_max(v) > 0 then x * 100 / list_max(v) else x end)), 4) as total from b join l on l.exchange = b.exchange and l.symbol = b.symbol and l.date = b.period_date where len(v) > 0")
@@ -148,7 +157,20 @@ def e4(spark, d):
     return ear.near_dups(raw.where("source = 'YAHOO'"), raw.where("source = 'NASDAQ'"), 50).select("symbol", "earnings_date")
 
 
-@register("e5_cluster_dates")
+def _clusters_sql(rows: str, days: int) -> str:
+    """CTEs after `with recursive`: _s, the rows in order; _r, each one's cluster; clustered, the last of each cluster."""
+    day = "(s.earnings_date - date '1970-01-01' + 719163)::double"
+    return f"""_s as (select symbol, input_date, earnings_date, row_number() over (partition by symbol order by earnings_date, input_date) as i from {rows}),
+_r(symbol, i, total, n, k) as (select symbol, i, {day}, 1, 0 from _s s where i = 1
+  union all select s.symbol, s.i, case when abs({day} - r.total / r.n) <= {days} then r.total + {day} else {day} end, case when abs({day} - r.total / r.n) <= {days} then r.n + 1 else 1 end, case when abs({day} - r.total / r.n) <= {days} then r.k else r.k + 1 end
+  from _r r join _s s on s.symbol = r.symbol and s.i = r.i + 1),
+clustered as (select symbol, input_date, earnings_date from _s join _r using (symbol, i) qualify row_number() over (partition by symbol, k order by i desc) = 1)"""
+
+
+_RECURSE = RAW.replace("with bars", "with recursive bars", 1)
+
+
+@register("e5_cluster_dates", f"{_RECURSE}, {_clusters_sql('raw', 60)} select * from clustered")
 def e5(spark, d):
     return ear.cluster_dates(_raw(spark, d), 60)
 
@@ -164,7 +186,13 @@ def e6b(spark, d):
     return _raw(spark, d).groupBy("symbol").agg(ear.avg_date(F.col("earnings_date")).alias("mean"))
 
 
-@register("e7_typical_dates")
+@register(
+    "e7_typical_dates",
+    f"""{_RECURSE}, o as (select symbol, dayofyear(earnings_date)::int as day, row_number() over (partition by symbol order by earnings_date) as i, count(*) over (partition by symbol) as n from raw),
+r(symbol, i, found) as (select symbol, i, [day] from o where i = 1
+  union all select o.symbol, o.i, case when len(found) < 12 and len(list_filter(found, lambda x: least(abs(o.day - x), 365 - abs(o.day - x)) <= 30)) = 0 then list_append(found, o.day) else found end from r join o on o.symbol = r.symbol and o.i = r.i + 1)
+select symbol, unnest(found) as day_of_year from r join o using (symbol, i) where i = n""",
+)
 def e7(spark, d):
     return ear.typical_dates(_raw(spark, d))
 
@@ -175,7 +203,18 @@ def e9(spark, d):
     return ear.condense_upcoming(up, past).select("symbol", "input_date", "earnings_date")
 
 
-@register("e10_derive_earnings")
+@register(
+    "e10_derive_earnings",
+    f"""{_RECURSE}, ok as (select * from raw where fiscal_quarter_ending is null or abs(earnings_date - fiscal_quarter_ending) < 160),
+past as (select * from ok where earnings_date < input_date), up as (select * from ok where earnings_date >= input_date),
+quarters as (select * from past where fiscal_quarter_ending is not null qualify row_number() over (partition by symbol, strftime(fiscal_quarter_ending, '%Y-%m') order by source = 'NASDAQ' desc, number_of_estimates desc nulls last, input_date desc, earnings_date) = 1),
+lone as (select * from past o where fiscal_quarter_ending is null and not exists (select 1 from quarters q where q.symbol = o.symbol and abs(q.earnings_date - o.earnings_date) <= 30)),
+{_clusters_sql('lone', 7)},
+known as (select symbol, input_date, earnings_date from quarters union all select * from clustered),
+new as (select *, lag(earnings_date) over (partition by symbol order by input_date, earnings_date) as p from up),
+every as (select * from known union all select symbol, input_date, earnings_date from new n where (p is null or p <> earnings_date) and not exists (select 1 from known k where k.symbol = n.symbol and abs(k.earnings_date - n.earnings_date) <= 30 and n.input_date >= k.earnings_date))
+select distinct x.exchange, symbol, input_date, earnings_date from every join (select symbol, min(exchange) as exchange from raw group by 1) x using (symbol)""",
+)
 def e10(spark, d):
     return ear.derive_earnings(_raw(spark, d))
 
