@@ -173,3 +173,21 @@ def test_licenses(spark):
     assert got == {i: b for i, t in enumerate(texts) if (b := brute(t))}
     assert got[2] and got[0]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_ranking_minimises_the_pairs_loss():
+    """The weights are where the stated loss, written out pair by pair, rises in every direction."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    good = x[:, 0] + rng.normal(size=60) > 0
+    model = pairwise_quality.rank(x, good, pairs=400, penalty=0.05, seed=5)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    draw = np.random.default_rng(5)
+    pairs = list(zip(draw.choice(np.flatnonzero(good), 400), draw.choice(np.flatnonzero(~good), 400)))
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in pairs) / len(pairs) + 0.05 * w @ w / 2
+
+    assert all(loss(model.weights + s * d) > loss(model.weights) for d in np.eye(3) for s in (-0.5, -0.01, 0.01, 0.5))
+    # as many of the sample lie below the threshold as there are bad labels
+    assert (model.score(x) < 0.7).sum() == (~good).sum()

@@ -44,3 +44,33 @@ def test_nulls_repeats_empty(spark):
 
 def test_schedule():
     assert sharding.schedule([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_placement_is_longest_first(spark):
+    """Every row's shard, from a schedule by hand: the next largest group or bundle goes to the least-loaded shard."""
+    import hashlib
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    texts = [rng.choice(["", None, "é" * 40]) if k % 9 == 0 else "x" * rng.randint(1, 400) + str(k % 50) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards, bundles = 5, 13
+    key = {t: hashlib.md5((t or "").encode()).hexdigest() for t in set(texts)}
+    hashed = spark.createDataFrame([(v,) for v in set(key.values())], "k string").select("k", F.pmod(F.xxhash64("k"), F.lit(bundles)).alias("b")).collect()
+    bundle = {r["k"]: f"b{r['b']}" for r in hashed}
+    group = {}
+    for t in texts:
+        group[key[t]] = group.get(key[t], 0) + len((t or "").encode()) + 1
+    heavy = {k for k, v in group.items() if v * shards * sharding.HEAVY_PARTS > sum(group.values())}
+    loads, place, sizes = [0] * shards, {}, {}
+    for k, v in group.items():
+        name = k if k in heavy else bundle[k]
+        sizes[name] = sizes.get(name, 0) + v
+    for name in sorted(sizes, key=lambda n: (-sizes[n], n)):
+        s = min(range(shards), key=lambda x: (loads[x], x))
+        place[name] = s
+        loads[s] += sizes[name]
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign(df, shards, bundles).collect()}
+    assert got == {i: place[key[t] if key[t] in heavy else bundle[key[t]]] for i, t in enumerate(texts)}
