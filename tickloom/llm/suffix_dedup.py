@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -346,12 +346,17 @@ def _with_spans(docs: DataFrame, length: int, seed: int, part: int, block: int)
     repeated = bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect())
     th = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     keyed = docs.withColumns({"_tl_id": F.col("doc_id"), "_tl_th": th, "_tl_text": F.coalesce("text", F.lit(""))})
-    found = spans(keyed.select(F.col("_tl_id").alias("_id"), F.col("_tl_th").alias("_th"), F.col("_tl_text").alias("text")), length, seed, part, block=block)
+    again = F.lit(False)
+    if repeated:  # of rows that are alike in id and text, the one with the least number is the first
+        numbered = materialise(keyed.withColumn("_tl_no", F.monotonically_increasing_id()), "suffix-rows")
+        first = numbered.groupBy(F.col("_tl_id").alias("_tl_fid"), F.col("_tl_th").alias("_tl_fth")).agg(F.min("_tl_no").alias("_tl_first"))
+        keyed = numbered.join(first, numbered["_tl_id"].eqNullSafe(first["_tl_fid"]) & (numbered["_tl_th"] == first["_tl_fth"]))
+        again = F.col("_tl_no") != F.col("_tl_first")
+    found = spans(keyed.select(F.col("_tl_id").alias("_id"), F.col("_tl_th").alias("_th"), F.col("_tl_text").alias("text")), length, seed, part, block)
     ranges = found.groupBy("_id", "_th").agg(F.collect_list(F.struct("start", "stop")).alias("_tl_ranges"))
     ranges = materialise(ranges.select(F.col("_id").alias("_tl_rid"), F.col("_th").alias("_tl_rth"), "_tl_ranges"), "suffix-spans")
     joined = keyed.join(ranges, keyed["_tl_id"].eqNullSafe(ranges["_tl_rid"]) & (keyed["_tl_th"] == ranges["_tl_rth"]), "left")
-    nth = F.row_number().over(Window.partitionBy("_tl_id", "_tl_th").orderBy(F.octet_length("_tl_text")))
-    return joined.withColumn("_tl_again", nth > 1 if repeated else F.lit(False))
+    return joined.withColumn("_tl_again", again)
 
 
 def _given(raw: bytes, ranges, again: bool, length: int) -> list[tuple[int, int]]:
