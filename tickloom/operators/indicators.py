@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TICKER
+from ..session import written
 from ..sources.bars import ordered
 
 # ---- windows
@@ -276,7 +277,7 @@ def refresh_indicators(bars: DataFrame, stored: DataFrame) -> DataFrame:
     Of an EMA that ends earlier only the later rows are made, from its last stored value on; of a windowed one, from the
     bars. Tickers with too few bars for an indicator have no rows of it.
     """
-    modes = _refresh_modes(bars, stored)
+    modes = written(_refresh_modes(bars, stored), "refresh-modes")  # some rows a ticker
     smoothed = modes.where(~F.col("indicator").isin(*WINDOWED)).select(*[F.col(c).alias(c) for c in modes.columns])
     a = {p: DEFAULTS["smoothing"] / (p + 1) for p in EMA_PERIODS}
 
