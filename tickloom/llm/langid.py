@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._common import slices
 
-BLOCK = 512  # bytes of a text that are parsed beside others
+BLOCK = 1024  # bytes of a text that are parsed beside others
 
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -133,32 +133,30 @@ class Parser:
             on = left > k
             grid[k, on] = codes[start[on] + k]
         inner = np.flatnonzero(nth > 0)  # blocks that another of the same text comes before
+        real = grid != pad
         for i, table in enumerate(self.tables):
-            count, state, begins = self._parse(table, grid)
-            count += self._carried(table, grid, left, begins, state, inner)
+            begins, state = self._parse(table, grid)
+            count = (begins & real).sum(0) + self._carried(table, grid, left, begins, state, inner)
             out[:, i] = np.bincount(doc, count, n) * self.bits[i]
         return out
 
-    def _parse(self, table: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of blocks (columns) that begin with a phrase: phrases, the state after the last byte, and where phrases begin."""
-        pad, root = self.width - 1, self.width
-        state, count = np.full(grid.shape[1], root, np.int32), np.zeros(grid.shape[1], np.int64)
-        begins = np.zeros(grid.shape, bool)
-        opening = table[root : 2 * root]
+    def _parse(self, table: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of blocks (columns) that begin with a phrase: where phrases begin, and the state after the last byte.
+
+        State 0 has no transition, so that a phrase begins after it; a byte that no sample has leads there.
+        """
+        opened = table[self.width + grid]  # the state that a phrase's first byte leads to
+        state = np.zeros(grid.shape[1], np.int32)
+        begins = np.empty(grid.shape, bool)
         for k, c in enumerate(grid):
-            on = c != pad
             to = table[state + c]
-            new = ((to == 0) | (state == root)) & on
-            to = np.where(to == 0, opening[c], to)
-            count += new
-            begins[k] = new
-            state = np.where(on, np.where(to == 0, root, to), state)
-        return count, state, begins
+            new = np.equal(to, 0, out=begins[k])
+            state = np.where(new, opened[k], to)
+        return begins, state
 
     def _carried(self, table: np.ndarray, grid: np.ndarray, left: np.ndarray, begins: np.ndarray, end: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """How many phrases fewer or more each block has if the one before it runs on into it; `end` is brought up to date."""
-        root = self.width
-        opening = table[root : 2 * root]
+        opening = table[self.width : 2 * self.width]
         change, alone = np.zeros(grid.shape[1], np.int64), end.copy()
         is_inner = np.zeros(grid.shape[1] + 1, bool)
         is_inner[blocks] = True
@@ -174,16 +172,18 @@ class Parser:
                     at, state = at[~done], state[~done]
                 if not len(at):
                     break
-                c = grid[k, at]
+                c, first = grid[k, at], begins[k, at]
                 to = table[state + c]
-                new = (to == 0) | (state == root)
-                same = new & begins[k, at]
-                change[at] += new.astype(np.int64) - begins[k, at]
-                joined = at[same]  # from here on as in the first parse
-                apart.append(joined[end[joined] != alone[joined]])
-                end[joined] = alone[joined]
-                to = np.where(to == 0, opening[c], to)
-                at, state = at[~same], np.where(to == 0, root, to)[~same]
+                new = to == 0
+                change[at] += new.astype(np.int64) - first
+                same = new & first
+                if same.any():
+                    joined = at[same]  # from here on as in the first parse
+                    apart.append(joined[end[joined] != alone[joined]])
+                    end[joined] = alone[joined]
+                    on = ~same
+                    at, c, to, new = at[on], c[on], to[on], new[on]
+                state = np.where(new, opening[c], to)
             apart.append(at[end[at] != state])
             end[at] = state
             # a block after one that ends in another state than before is followed again
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, sample: dict[str, bytes], keys: list[str]) -> Data
 
     def run(batches):
         parser = _parser(given.value)
-        for rows, buf, offs in slices(batches, "_text"):
+        for rows, buf, offs in slices(batches, "_text", 4 << 20):
             known = np.asarray(rows.column(len(keys) + 1).to_pylist(), bool) & bool(parser.langs)
             lang, score = np.full(rows.num_rows, "und", object), np.zeros(rows.num_rows)
             if parser.langs:
