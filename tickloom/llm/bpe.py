@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 #: The pattern by which a ByteLevel pre-tokenizer with use_regex cuts text before the merges (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 48 << 20  # bytes of pieces, their ids and their text that a worker remembers, about
+CACHED = 64 << 20  # bytes of pieces, their ids and their text that a worker remembers, about
 
 
 def byte_symbols() -> dict[str, int]:
