@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, pairwise_quality, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from . import bpe, decontaminate, langid, licenses, pairwise_quality, prefix_trie, quality_rules, sharding, simhash, spelling, suffix_dedup, token_counts, toxicity
 from ._common import held_out
 
 
@@ -74,6 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefixes(_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), bpe.read_vocabulary(spark, vocabulary_path()), ["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_quality_rules, op3_simhash_dedup, op4_decontamination, op5_quality_classifier, op6_suffix_dedup, op7_license_scan, op8_bpe, op9_sharding, op10_toxicity, pipeline)
+    ops = (op1_language_id, op2_quality_rules, op3_simhash_dedup, op4_decontamination, op5_quality_classifier, op6_suffix_dedup, op7_license_scan, op8_bpe, op9_sharding, op10_toxicity, op11_spelling_variants, op12_prefix_trie, op13_token_counts, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -149,5 +161,66 @@ best as (select *, max(d) over (partition by r) as top from dice)
 select doc_id, license_id, max(d) as dice, count(*) as n_parts from best where d = top and d >= {licenses.THRESHOLD} group by doc_id, license_id"""
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, four bits a step."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    # low half of each byte before its high half
+    halves = f"list_transform(range(octet_length(encode({text})) * 2), lambda i: ('0x' || substr(hex(encode({text})), (i + 2 - 2 * (i % 2))::int, 1))::int::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {halves}), lambda c, n: xor(c >> 4, ({table}::bigint[])[(xor(c, n) & 15) + 1])), 4294967295::bigint)"
+
+
+_OP11 = rf"""
+with recursive run as (
+  select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) as r from documents),
+own as (select d, r, count(*) as n from run where length(r) >= 6 group by d, r),
+hashed as (select r, n, {_crc32("d || ':' || r")} as h from own),
+changed as (select n, case when h % 199 = 0 then left(r, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word from hashed),
+words as (select word, sum(n)::bigint as n from changed where length(word) >= 6 group by word having sum(n) >= 5),
+gap as (select word, n, i, left(word, i::int - 1) || ' ' || substr(word, i::int + 1) as g from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pair as (
+  select a.word as a, b.word as b, b.n as bn from gap a join gap b using (g) where a.word <> b.word
+  union select gap.word, words.word, words.n from gap join words on words.word = replace(g, ' ', '')
+  union select words.word, gap.word, gap.n from gap join words on words.word = replace(g, ' ', '')),
+near as (select a as word, count(*) as n_near, first(b order by bn desc, b) as best, max(bn) as best_n from pair group by a),
+formed as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= 5 * n then best end as form, case when best_n >= 5 * n then best_n end as form_n
+  from words left join near using (word)),
+chain as (
+  select word, coalesce(form, word) as root, form is null as done from formed
+  union all select chain.word, coalesce(formed.form, chain.root), formed.form is null from chain join formed on formed.word = chain.root where not done)
+select formed.*, root from formed join (select word, root from chain where done) using (word)"""
+
+_OP12 = f"""
+with turns as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+    row_number() over (partition by conv_id order by turn nulls first, left(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 32), octet_length(encode(coalesce(text, '')))) as p
+  from conversations where conv_id is not null),
+conv as (select c, count(*) as n, {_crc32("c::varchar")} % 9 as h from turns group by c),
+seq as (
+  select conv.c, h, 0 as own, p, r, x from conv join turns on turns.c = conv.c - conv.c % 5 and p <= h
+  union all select conv.c, h, 1, p, r, x from conv join turns on turns.c = conv.c and p > h),
+path as (
+  select conv.c, coalesce(s, []) as s from conv
+  left join (select c, list({{'r': r, 'x': x}} order by own, p) as s from seq group by c) using (c)),
+prefix as (select c, s, unnest(range(0, len(s) + 1)) as d from path),
+member as (select c, d, len(s) as whole, s[1:d] as k, s[1:d - 1] as up from prefix),
+node as (
+  select k, d, min(c) as conv_id, count(*) as n_convs, any_value(up) as up,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (whole = d), '')) as ends_sha256
+  from member group by k, d),
+kids as (select up as k, d - 1 as d, count(*) as n_children from node where d > 0 group by up, d),
+full_node as (
+  select node.*, coalesce(n_children, 0) as n_children, case when d = 0 then 0 else (n_convs - 1) * octet_length(encode(k[d].x)) end as own
+  from node left join kids using (k, d)),
+above as (select own, n_children, k, unnest(range(0, d + 1)) as j from full_node),
+tree as (select k[1:j] as k, j as d, sum(own)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from above group by all)
+select n.conv_id, n.d::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+from full_node n join tree using (k, d) left join node p on p.k = n.up and p.d = n.d - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _OP2, "op4_decontamination": _OP4, "op7_license_scan": _op7()}
+    return {"op2_quality_rules": _OP2, "op4_decontamination": _OP4, "op7_license_scan": _op7(), "op11_spelling_variants": _OP11, "op12_prefix_trie": _OP12}
