@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import earnings as ear
 from tickloom.operators import financials as fin
@@ -21,10 +22,53 @@ def test_clusters_move_with_their_mean(spark):
     assert sorted(r["earnings_date"] for r in got.collect()) == [d("2020-02-10"), d("2020-02-20"), d("2020-05-01")]
 
 
+KNOWN = "symbol string, source string, input_date date, earnings_date date, fiscal_quarter_ending date, eps double"
+
+
+def known(*rows):
+    return [("A", source, d("2024-01-01"), d(day), d(f"{day[:4]}-{end}") if end else None, eps) for source, day, end, eps in rows]
+
+
+def typical(spark, *rows):
+    got = ear.typical_dates(spark.createDataFrame(known(*rows), KNOWN)).orderBy("quarter").collect()
+    return [(r["typical_date"], r["n"]) for r in got]
+
+
 def test_typical_dates(spark):
-    rows = [("A", d(x)) for x in ("2020-02-01", "2021-02-10", "2020-05-01", "2020-12-31", "2021-01-05")]
-    got = ear.typical_dates(spark.createDataFrame(rows, "symbol string, earnings_date date"))
-    assert sorted(r["day_of_year"] for r in got.collect()) == [32, 122, 366]
+    # the trusted rows come first, whatever their year: 50 days apart they are one quarter only if it ends on the same day
+    first = ("NASDAQ", "2019-05-01", "03-31", 1.0)
+    assert typical(spark, ("YAHOO", "2018-05-20", None, None), first, ("NASDAQ", "2020-06-20", "03-31", 1.0)) == [(d("2019-05-24"), 3)]
+    assert typical(spark, first, ("NASDAQ", "2020-06-20", "04-30", 1.0)) == [(d("2019-05-01"), 1), (d("2020-06-20"), 1)]
+    assert typical(spark, first, ("YAHOO", "2020-06-20", "03-31", 1.0)) == [(d("2019-05-01"), 1), (d("2020-06-20"), 1)]
+    # the mean goes over the turn of the year, and 29 February counts as 28
+    assert typical(spark, ("YAHOO", "2020-12-31", None, None), ("YAHOO", "2020-01-10", None, None)) == [(d("2020-01-05"), 2)]
+    assert typical(spark, ("YAHOO", "2019-02-28", None, None), ("YAHOO", "2020-02-29", None, None)) == [(d("2019-02-28"), 2)]
+    # years of five rows tell nothing
+    assert typical(spark, first, *[("YAHOO", f"2021-{m:02d}-15", None, None) for m in (1, 2, 6, 8, 10)]) == [(d("2019-05-01"), 1)]
+
+
+def test_typical_dates_without_a_place(spark):
+    # a trusted row without a quarter's end opens no quarter: left out without figures, an error with them
+    first = ("NASDAQ", "2019-05-01", "03-31", 1.0)
+    assert typical(spark, first, ("NASDAQ", "2019-08-01", None, None)) == [(d("2019-05-01"), 1)]
+    with pytest.raises(Exception, match="fits none of 1 quarters"):
+        typical(spark, first, ("NASDAQ", "2019-08-01", None, 2.0))
+    # and no more than twelve quarters: with a small tolerance the thirteenth finds none
+    rows = known(*[("YAHOO", f"{2000 + k}-{k % 12 + 1:02d}-{1 + k:02d}", None, None) for k in range(13)])
+    few = ear.typical_dates(spark.createDataFrame(rows, KNOWN), days=2)
+    assert few.count() == 12
+
+
+def test_aberrant_years(spark):
+    sure = [("NASDAQ", f"{y}-{m}", e, 1.0) for y in (2019, 2020) for m, e in (("02-01", "12-31"), ("05-01", "03-31"))]
+    unsure = [("YAHOO", day, None, None) for day in ("2020-01-20", "2020-07-01", "2020-08-01", "2021-09-09", *(f"2022-{m:02d}-10" for m in (3, 6, 9, 12)))]
+    every = spark.createDataFrame(known(*sure, *unsure), KNOWN)
+    at = ear.typical_dates(every.where("source = 'NASDAQ'"))
+    rest = every.where("source = 'YAHOO'")
+    days = lambda df: sorted(str(r["earnings_date"]) for r in df.collect())
+    # 2020 has five rows, so all years are held to 1 February and 1 May, but for 2022 with just four unsure rows
+    assert days(ear.fix_aberrant(rest, every, at)) == ["2020-01-20", "2022-03-10", "2022-06-10", "2022-09-10", "2022-12-10"]
+    assert days(ear.fix_aberrant(rest, every.where("earnings_date < '2020-08-01'"), at)) == days(rest)
 
 
 def test_projected_months(spark):
@@ -44,7 +88,8 @@ def test_derived_earnings(spark):
         ("X", "A", "YAHOO", d("2020-09-02"), d("2020-11-01"), None, None),
         ("X", "A", "YAHOO", d("2020-09-03"), d("2021-12-01"), d("2020-03-31"), 1),
     ]
-    raw = spark.createDataFrame(rows, "exchange string, symbol string, source string, input_date date, earnings_date date, fiscal_quarter_ending date, number_of_estimates int")
+    raw = spark.createDataFrame(rows, "exchange string, symbol string, source string, input_date date, earnings_date date, fiscal_quarter_ending date, number_of_estimates int").withColumn("eps", F.lit(None).cast("double"))
+    assert {r["exchange"] for r in ear.derive_earnings(raw).collect()} == {"NASDAQ", "X"}
     got = sorted(r["earnings_date"] for r in ear.derive_earnings(raw).collect())
     assert got == [d("2020-05-01"), d("2020-08-01"), d("2020-11-01")]
 

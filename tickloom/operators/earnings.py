@@ -58,17 +58,17 @@ def _clusters(dates: list[dt.date], days: int) -> list[int]:
 
 
 def cluster_dates(e: DataFrame, days: int = 7) -> DataFrame:
-    """symbol, input_date and earnings_date: the last row of each cluster of dates around a running mean.
+    """The last row of each cluster of dates around a running mean, with all columns of e.
 
     A symbol's rows (four a year and source) go through one grouped function, as each step moves the mean.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["earnings_date", "input_date"], ignore_index=True)
-        pdf["_k"] = _clusters(list(pdf["earnings_date"]), days)
-        return pdf.groupby("_k", as_index=False).last()[["symbol", "input_date", "earnings_date"]]
+        k = _clusters(list(pdf["earnings_date"]), days)
+        return pdf[[n + 1 == len(k) or k[n + 1] != k[n] for n in range(len(k))]]
 
-    return e.select("symbol", "input_date", "earnings_date").groupBy("symbol").applyInPandas(run, "symbol string, input_date date, earnings_date date")
+    return e.groupBy("symbol").applyInPandas(run, e.schema)
 
 
 def condense_upcoming(up: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,31 +80,104 @@ def condense_upcoming(up: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(k, late, "left_anti")
 
 
-def typical_dates(e: DataFrame, tolerance: int = 30) -> DataFrame:
-    """symbol and (month, day) anchors of its quarters: dates that lie further than tolerance from all before, whatever the year."""
+def _near_year(day: dt.date, other: dt.date) -> dt.date:
+    """`other` in the year (day's, or one beside it) in which it comes closest to `day`; 29 February as 28."""
+    d = 28 if (other.month, other.day) == (2, 29) else other.day
+    return min((dt.date(day.year + k, other.month, d) for k in (-1, 0, 1)), key=lambda x: abs((x - day).days))
+
+
+class _Quarter:
+    """Dates of one quarter over the years: each is moved into the year nearest to the first, where their mean is taken."""
+
+    def __init__(self, first: dt.date, ending: str | None):
+        self.first, self.ending = first, ending
+        self.total, self.n = first.toordinal(), 1
+
+    def mean(self) -> dt.date:
+        return dt.date.fromordinal(self.total // self.n)
+
+    def add(self, day: dt.date) -> None:
+        self.total += _near_year(self.first, day).toordinal()
+        self.n += 1
+
+
+def _quarters(rows: list[tuple[dt.date, str | None, bool, bool]], days: int, same_end_days: int, most: int) -> list[_Quarter]:
+    """rows: (date, month and day of the fiscal quarter's end, trusted, with figures), the trusted ones first."""
+    found: list[_Quarter] = []
+    for day, ending, trusted, figures in rows:
+
+        def fits(q: _Quarter) -> bool:
+            apart = abs((day - _near_year(day, q.mean())).days)
+            return apart < days or (trusted and ending is not None and ending == q.ending and apart < same_end_days)
+
+        if home := next((q for q in found if fits(q)), None):
+            home.add(day)
+        elif len(found) < most and (ending is not None or not trusted):
+            found.append(_Quarter(day, ending if trusted else None))
+        elif figures:
+            raise ValueError(f"{day} has figures but fits none of {len(found)} quarters")
+    return found
+
+
+def typical_dates(known: DataFrame, days: int = 30, same_end_days: int = 60, most: int = 12, per_year: int = 4, trusted: str = "NASDAQ") -> DataFrame:
+    """symbol, quarter (from 0), typical_date and n: the usual dates of a symbol's quarters, whatever the year.
+
+    known: symbol, source, earnings_date, fiscal_quarter_ending, eps. Years of more than per_year rows tell nothing. Rows of
+    the trusted source come first, then the others, both by date. A row joins the first quarter whose mean date so far lies
+    less than `days` from it, or, among trusted rows, less than same_end_days if the quarter's first row ends its fiscal
+    quarter on the same month and day. Else it opens a quarter, up to `most`; a trusted row without a quarter end opens
+    none. A row that finds no place is left out if it has no eps, and an error if it has. typical_date lies near the year
+    of the quarter's first row.
+
+    A symbol's rows (four a year) go through one grouped function, as each row moves the means.
+    """
+    year = Window.partitionBy("symbol", F.year("earnings_date"))
+    rows = known.withColumn("_n", F.count("*").over(year)).where(F.col("_n") <= per_year)
+    rows = rows.select("symbol", "input_date", "earnings_date", F.date_format("fiscal_quarter_ending", "MM-dd").alias("ending"), F.col("source").eqNullSafe(trusted).alias("trusted"), F.col("eps").isNotNull().alias("figures"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[int] = []
-        for d in sorted(pdf["earnings_date"]):
-            day = d.timetuple().tm_yday
-            if all(min(abs(day - x), 365 - abs(day - x)) > tolerance for x in found) and len(found) < 12:
-                found.append(day)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "day_of_year": found})
+        pdf = pdf.sort_values(["trusted", "earnings_date", "input_date", "ending"], ascending=[False, True, True, True])
+        ending = [x if isinstance(x, str) else None for x in pdf["ending"]]
+        found = _quarters(list(zip(pdf["earnings_date"], ending, pdf["trusted"], pdf["figures"])), days, same_end_days, most)
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "quarter": range(len(found)), "typical_date": [q.mean() for q in found], "n": [q.n for q in found]})
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, quarter int, typical_date date, n long")
 
-    return e.select("symbol", "earnings_date").groupBy("symbol").applyInPandas(run, "symbol string, day_of_year int")
+
+def fix_aberrant(unsure: DataFrame, known: DataFrame, typical: DataFrame, most: int = 4, days: int = 30) -> DataFrame:
+    """unsure (rows without a fiscal quarter, part of known) without those that lie `days` or more from all typical dates.
+
+    Only symbols with a year of more than `most` known rows are checked; there, years with just `most` unsure rows stay.
+    """
+    years = known.groupBy("symbol", F.year("earnings_date")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    aberrant = years.select(F.col("symbol").alias("_s")).distinct()
+    own = F.count("*").over(Window.partitionBy("symbol", F.year("earnings_date")))
+    rows = unsure.withColumn("_own", own).join(aberrant, F.col("symbol") == F.col("_s"), "left")
+    day = typical.select(F.col("symbol").alias("_t"), F.col("typical_date").alias("_d"))
+    near = (F.col("symbol") == F.col("_t")) & (year_free_diff(F.col("earnings_date"), F.col("_d")) < days)
+    asked = F.col("_s").isNotNull() & (F.col("_own") != most)
+    return rows.where(~asked).unionByName(rows.where(asked).join(day, near, "left_semi")).drop("_own", "_s")
 
 
-def derive_earnings(raw: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """exchange, symbol, input_date, earnings_date: one known date per quarter, and the upcoming dates as they changed."""
+#: Symbols with too many dates a year to be told apart (fixed values).
+EXCLUDED = ("AIM", "AMN", "BRTX", "CSR", "GEN", "GHI", "JEF", "RGP", "TAL", "VAL")
+
+
+def derive_earnings(raw: DataFrame, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """exchange, symbol, input_date, earnings_date: one known date per quarter, and the upcoming dates as they changed.
+
+    Known dates without a fiscal quarter that no typical date of the symbol bears out are left out in symbols with an
+    aberrant year. Rows of NASDAQ get that exchange, others keep theirs.
+    """
     rows = drop_abnormal(raw.where(~F.col("symbol").isin(*exclude)) if exclude else raw)
     past, up = split_known(rows)
     quarters = unique_fqe(past)
     rest = cluster_dates(near_dups(past.where("fiscal_quarter_ending is null"), quarters))
-    cols = ["symbol", "input_date", "earnings_date"]
-    known = quarters.select(*cols).unionByName(rest)
-    every = known.unionByName(condense_upcoming(up, known).select(*cols))
-    exchange = raw.groupBy("symbol").agg(F.min("exchange").alias("exchange"))
-    return every.join(exchange, "symbol").select(*TICKER, "input_date", "earnings_date").dropDuplicates()
+    known = quarters.unionByName(rest)
+    kept = quarters.unionByName(fix_aberrant(rest, known, typical_dates(known)))
+    every = kept.unionByName(condense_upcoming(up, known))
+    exchange = F.when(F.col("source") == "NASDAQ", "NASDAQ").otherwise(F.col("exchange")).alias("exchange")
+    return every.select(exchange, "symbol", "input_date", "earnings_date").dropDuplicates()
 
 
 def earnings_day_histogram(e: DataFrame) -> DataFrame:
@@ -113,11 +186,3 @@ def earnings_day_histogram(e: DataFrame) -> DataFrame:
     counts = e.groupBy(F.dayofyear("earnings_date").alias("day")).agg(F.count("*").alias("n"))
     return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
-
-def fix_aberrant(e: DataFrame, typical: DataFrame, most: int = 4, days: int = 30) -> DataFrame:
-    """e without rows, of years with over `most` rows, that lie more than `days` from each typical day of the symbol."""
-    rows = e.withColumn("_n", F.count("*").over(Window.partitionBy("symbol", F.year("earnings_date"))))
-    day = typical.select(F.col("symbol").alias("_s"), F.col("day_of_year").alias("_d"))
-    apart = F.abs(F.dayofyear("earnings_date") - F.col("_d"))
-    near = (F.col("symbol") == F.col("_s")) & (F.least(apart, 365 - apart) <= days)
-    return rows.where(F.col("_n") <= most).unionByName(rows.where(F.col("_n") > most).join(day, near, "left_semi")).drop("_n")

@@ -128,10 +128,11 @@ def _raw(spark, d):
     return rows.select(
         "exchange", "symbol", F.when(k % 2 == 0, "NASDAQ").otherwise("YAHOO").alias("source"), add(F.when(k % 3 == 0, -20).otherwise(15)).alias("input_date"), F.col("period_date").alias("earnings_date"),
         F.when(k % 4 != 3, add(-(F.lit(25) + (k % 5) * 40))).alias("fiscal_quarter_ending"), ((k * 5) % 7).cast("int").alias("number_of_estimates"),
+        F.when(k % 4 == 0, k / 10.0).cast("double").alias("eps"),
     )
 
 
-RAW = f"with {BARS_SQL}, raw as (select exchange, symbol, case when (rn // 12) % 2 = 0 then 'NASDAQ' else 'YAHOO' end as source, period_date + case when (rn // 12) % 3 = 0 then -20 else 15 end as input_date, period_date as earnings_date, case when (rn // 12) % 4 <> 3 then period_date - (25 + ((rn // 12) % 5) * 40)::int end as fiscal_quarter_ending, (((rn // 12) * 5) % 7)::int as number_of_estimates from b where rn % 12 = 5)"
+RAW = f"with {BARS_SQL}, raw as (select exchange, symbol, case when (rn // 12) % 2 = 0 then 'NASDAQ' else 'YAHOO' end as source, period_date + case when (rn // 12) % 3 = 0 then -20 else 15 end as input_date, period_date as earnings_date, case when (rn // 12) % 4 <> 3 then period_date - (25 + ((rn // 12) % 5) * 40)::int end as fiscal_quarter_ending, (((rn // 12) * 5) % 7)::int as number_of_estimates, case when (rn // 12) % 4 = 0 then ((rn // 12) / 10)::double end as eps from b where rn % 12 = 5)"
 UNIQUE = f"{RAW}, uniq as (select * from raw where fiscal_quarter_ending is not null qualify row_number() over (partition by symbol, strftime(fiscal_quarter_ending, '%Y-%m') order by source = 'NASDAQ' desc, number_of_estimates desc nulls last, input_date desc, earnings_date) = 1)"
 
 
@@ -160,19 +161,19 @@ def e4(spark, d):
 def _clusters_sql(rows: str, days: int) -> str:
     """CTEs after `with recursive`: _s, the rows in order; _r, each one's cluster; clustered, the last of each cluster."""
     day = "(s.earnings_date - date '1970-01-01' + 719163)::double"
-    return f"""_s as (select symbol, input_date, earnings_date, row_number() over (partition by symbol order by earnings_date, input_date) as i from {rows}),
+    return f"""_s as (select *, row_number() over (partition by symbol order by earnings_date, input_date) as i from {rows}),
 _r(symbol, i, total, n, k) as (select symbol, i, {day}, 1, 0 from _s s where i = 1
   union all select s.symbol, s.i, case when abs({day} - r.total / r.n) <= {days} then r.total + {day} else {day} end, case when abs({day} - r.total / r.n) <= {days} then r.n + 1 else 1 end, case when abs({day} - r.total / r.n) <= {days} then r.k else r.k + 1 end
   from _r r join _s s on s.symbol = r.symbol and s.i = r.i + 1),
-clustered as (select symbol, input_date, earnings_date from _s join _r using (symbol, i) qualify row_number() over (partition by symbol, k order by i desc) = 1)"""
+clustered as (select _s.* exclude (i) from _s join _r using (symbol, i) qualify row_number() over (partition by symbol, k order by i desc) = 1)"""
 
 
 _RECURSE = RAW.replace("with bars", "with recursive bars", 1)
 
 
-@register("e5_cluster_dates", f"{_RECURSE}, {_clusters_sql('raw', 60)} select * from clustered")
+@register("e5_cluster_dates", f"{_RECURSE}, {_clusters_sql('raw', 60)} select symbol, input_date, earnings_date from clustered")
 def e5(spark, d):
-    return ear.cluster_dates(_raw(spark, d), 60)
+    return ear.cluster_dates(_raw(spark, d), 60).select("symbol", "input_date", "earnings_date")
 
 
 @register("e6_year_free_diff", f"{RAW} select symbol, earnings_date, least(abs(earnings_date - make_date(year(earnings_date) - 1, month(f), d)), abs(earnings_date - make_date(year(earnings_date), month(f), d)), abs(earnings_date - make_date(year(earnings_date) + 1, month(f), d)))::int as diff from (select *, fiscal_quarter_ending as f, case when month(fiscal_quarter_ending) = 2 and day(fiscal_quarter_ending) = 29 then 28 else day(fiscal_quarter_ending) end as d from raw where fiscal_quarter_ending is not null)")
@@ -186,15 +187,59 @@ def e6b(spark, d):
     return _raw(spark, d).groupBy("symbol").agg(ear.avg_date(F.col("earnings_date")).alias("mean"))
 
 
-@register(
-    "e7_typical_dates",
-    f"""{_RECURSE}, o as (select symbol, dayofyear(earnings_date)::int as day, row_number() over (partition by symbol order by earnings_date) as i, count(*) over (partition by symbol) as n from raw),
-r(symbol, i, found) as (select symbol, i, [day] from o where i = 1
-  union all select o.symbol, o.i, case when len(found) < 12 and len(list_filter(found, lambda x: least(abs(o.day - x), 365 - abs(o.day - x)) <= 30)) = 0 then list_append(found, o.day) else found end from r join o on o.symbol = r.symbol and o.i = r.i + 1)
-select symbol, unnest(found) as day_of_year from r join o using (symbol, i) where i = n""",
-)
+def _near_year_sql(day: str, other: str) -> str:
+    """`other` in the year around `day` in which it comes closest to it."""
+    at = [f"make_date(year({day}) + {k}, month({other}), case when month({other}) = 2 and day({other}) = 29 then 28 else day({other}) end)" for k in (-1, 0, 1)]
+    far = [f"abs({a} - {day})" for a in at]
+    return f"(case when {far[0]} <= {far[1]} and {far[0]} <= {far[2]} then {at[0]} when {far[1]} <= {far[2]} then {at[1]} else {at[2]} end)"
+
+
+def _typical_sql(rows: str) -> str:
+    """CTEs after `with recursive`: typical, the quarters of each symbol, found row by row in a list."""
+    mean = "(date '1970-01-01' + (x.total // x.n)::int)"
+    fits = f"abs(t.earnings_date - {_near_year_sql('t.earnings_date', mean)}) < case when t.trusted and t.ending = x.ending then 60 else 30 end"
+    day = "t.earnings_date - date '1970-01-01'"
+    more = f"x.total + ({_near_year_sql('x.first', 't.earnings_date')} - date '1970-01-01')"
+    return f"""_few as (select *, strftime(fiscal_quarter_ending, '%m-%d') as ending, source = 'NASDAQ' as trusted from {rows} qualify count(*) over (partition by symbol, year(earnings_date)) <= 4),
+_t as (select *, row_number() over (partition by symbol order by trusted desc, earnings_date, input_date, ending nulls last) as i, count(*) over (partition by symbol) as rows_in from _few),
+_q(symbol, i, found) as (
+  select symbol, 0::bigint, []::struct(first date, total bigint, n bigint, ending varchar)[] from _t group by symbol
+  union all
+  select symbol, t.i, case
+      when home > 0 then list_transform(found, lambda x, k: case when k = home then {{'first': x.first, 'total': {more}, 'n': x.n + 1, 'ending': x.ending}} else x end)
+      when len(found) < 12 and (t.ending is not null or not t.trusted) then list_append(found, {{'first': t.earnings_date, 'total': ({day})::bigint, 'n': 1::bigint, 'ending': case when t.trusted then t.ending end}})
+      else found end
+  from (select t.*, q.found, coalesce(list_position(list_transform(q.found, lambda x: coalesce({fits}, false)), true), 0) as home from _q q join _t t on t.symbol = q.symbol and t.i = q.i + 1) t),
+typical as (
+  select symbol, (k - 1)::int as quarter, date '1970-01-01' + (found[k].total // found[k].n)::int as typical_date, found[k].n as n
+  from (select symbol, found, unnest(range(1, len(found) + 1)) as k from _q join (select symbol, max(i) as i from _t group by symbol) using (symbol, i)))"""
+
+
+def _aberrant_sql(unsure: str, known: str) -> str:
+    """CTE borne_out: the rows of `unsure` that fix_aberrant() keeps."""
+    apart = f"abs(u.earnings_date - {_near_year_sql('u.earnings_date', 't.typical_date')})"
+    return f"""_aberrant as (select distinct symbol from (select symbol from {known} group by symbol, year(earnings_date) having count(*) > 4)),
+borne_out as (select u.* exclude (own) from (select *, count(*) over (partition by symbol, year(earnings_date)) as own from {unsure}) u
+  where own = 4 or symbol not in (select symbol from _aberrant) or exists (select 1 from typical t where t.symbol = u.symbol and {apart} < 30))"""
+
+
+def _quarterly(spark, d):
+    """Rows of which most years have four at most."""
+    return _raw(spark, d).where((F.month("earnings_date") % 3 == 1) | (F.dayofmonth("earnings_date") % 6 == 1))
+
+
+_QUARTERLY = f"{_RECURSE}, quarterly as (select * from raw where month(earnings_date) % 3 = 1 or day(earnings_date) % 6 = 1)"
+
+
+@register("e7_typical_dates", f"{_QUARTERLY}, {_typical_sql('quarterly')} select symbol, quarter, typical_date, n from typical")
 def e7(spark, d):
-    return ear.typical_dates(_raw(spark, d))
+    return ear.typical_dates(_quarterly(spark, d))
+
+
+@register("e8_fix_aberrant", f"{_QUARTERLY}, {_typical_sql('quarterly')}, unsure as (select * from raw where fiscal_quarter_ending is null), {_aberrant_sql('unsure', 'raw')} select symbol, source, earnings_date from borne_out")
+def e8(spark, d):
+    raw = _raw(spark, d)
+    return ear.fix_aberrant(raw.where("fiscal_quarter_ending is null"), raw, ear.typical_dates(_quarterly(spark, d))).select("symbol", "source", "earnings_date")
 
 
 @register("e9_condense_upcoming", f"{RAW}, n as (select *, lag(earnings_date) over (partition by symbol order by input_date, earnings_date) as p from raw where earnings_date >= input_date) select symbol, input_date, earnings_date from n where (p is null or p <> earnings_date) and not exists (select 1 from raw k where k.earnings_date < k.input_date and k.symbol = n.symbol and abs(k.earnings_date - n.earnings_date) <= 30 and n.input_date >= k.earnings_date)")
@@ -210,10 +255,14 @@ past as (select * from ok where earnings_date < input_date), up as (select * fro
 quarters as (select * from past where fiscal_quarter_ending is not null qualify row_number() over (partition by symbol, strftime(fiscal_quarter_ending, '%Y-%m') order by source = 'NASDAQ' desc, number_of_estimates desc nulls last, input_date desc, earnings_date) = 1),
 lone as (select * from past o where fiscal_quarter_ending is null and not exists (select 1 from quarters q where q.symbol = o.symbol and abs(q.earnings_date - o.earnings_date) <= 30)),
 {_clusters_sql('lone', 7)},
-known as (select symbol, input_date, earnings_date from quarters union all select * from clustered),
+known as (select * from quarters union all by name select * from clustered),
+{_typical_sql('known')},
+{_aberrant_sql('clustered', 'known')},
 new as (select *, lag(earnings_date) over (partition by symbol order by input_date, earnings_date) as p from up),
-every as (select * from known union all select symbol, input_date, earnings_date from new n where (p is null or p <> earnings_date) and not exists (select 1 from known k where k.symbol = n.symbol and abs(k.earnings_date - n.earnings_date) <= 30 and n.input_date >= k.earnings_date))
-select distinct x.exchange, symbol, input_date, earnings_date from every join (select symbol, min(exchange) as exchange from raw group by 1) x using (symbol)""",
+every as (
+  select source, exchange, symbol, input_date, earnings_date from quarters union all select source, exchange, symbol, input_date, earnings_date from borne_out
+  union all select source, exchange, symbol, input_date, earnings_date from new n where (p is null or p <> earnings_date) and not exists (select 1 from known k where k.symbol = n.symbol and abs(k.earnings_date - n.earnings_date) <= 30 and n.input_date >= k.earnings_date))
+select distinct case when source = 'NASDAQ' then 'NASDAQ' else exchange end as exchange, symbol, input_date, earnings_date from every""",
 )
 def e10(spark, d):
     return ear.derive_earnings(_raw(spark, d))
