@@ -85,17 +85,60 @@ def ipo_age(ipo: Column, anchor: Column) -> Column:
     return F.datediff(anchor, ipo) / 40.0 / 365.0
 
 
-def financial_features(reports: DataFrame, inst: DataFrame, preceding: int, tags: list[str]) -> DataFrame:
-    """inst with semiseries: per quarter a presence flag, the one-hot quarter, and (present, value) of each tag; absent
-    quarters in front. reports: ticker, period_date (the anchor), period, quarter, nums."""
-    quarters = math.ceil(preceding / 90)
-    each = F.concat(F.array(F.lit(1.0)), one_hot(F.col("quarter") - 1, 4), *[F.array(F.element_at("nums", t).isNotNull().cast("double"), F.coalesce(F.element_at("nums", t), F.lit(0.0))) for t in tags])
+def sector_one_hot_or_none(sector: Column, sectors: tuple[str, ...], spare: int = 3) -> Column:
+    """Place 0 for a sector that is unknown, then the known ones, then spare places."""
+    return one_hot(F.coalesce(F.array_position(F.array(*[F.lit(x) for x in sectors]), sector), F.lit(0)), len(sectors) + 1 + spare)
+
+
+def tier_tags(tiers: list[list[str]], upto: int) -> list[str]:
+    """The tags of the first `upto` tiers, tier after tier, each once."""
+    if not 0 <= upto <= len(tiers):
+        raise ValueError(f"{upto} of {len(tiers)} tiers")
+    return list(dict.fromkeys(tag for tier in tiers[:upto] for tag in tier))
+
+
+def max_quarters(preceding: int) -> int:
+    return math.ceil(preceding / 90)
+
+
+def _month(date: Column, form: str) -> Column:
+    return one_hot(F.month(date) - 1, 12) if form == "one_hot" else F.array((F.month(date) - 1) / 12 - (0.5 if form == "scaled" else 0.0))
+
+
+def _day(date: Column, form: str) -> Column:
+    i = F.dayofmonth(date) - 1
+    return one_hot(i, 31) if form == "one_hot" else F.array(i / F.dayofmonth(F.last_day(date)) - (0.5 if form == "scaled" else 0.0))
+
+
+def financial_vector(reports: DataFrame, inst: DataFrame, preceding: int, tags: list[str], dates: bool = False, month_form: str = "one_hot", day_form: str = "one_hot") -> DataFrame:
+    """inst with _not_filed and _quarters, the arrays of its last ceil(preceding / 90) quarters, absent ones (zeros) in front.
+
+    A quarter's array: presence, the one-hot quarter, with `dates` the month of the period's end, the day and the month of
+    filing (one_hot, scaled about zero, or natural), then (present, value) of each tag; a tag without a value is present
+    with 0. _not_filed is 1 where the last bar's month is more than three after that of the last report's period.
+
+    reports: as preceding_reports() gives them (the anchor's key, period, quarter, filed, nums); inst: key and, if it has
+    it, last_day (else the anchor's date counts as the last day).
+    """
+    quarters = max_quarters(preceding)
+    told = [_month(F.col("period"), month_form), _day(F.col("filed"), day_form), _month(F.col("filed"), month_form)] if dates else []
+    values = [F.array(F.map_contains_key("nums", t).cast("double"), F.coalesce(F.element_at("nums", t).cast("double"), F.lit(0.0))) for t in tags]
+    each = F.concat(F.array(F.lit(1.0)), one_hot(F.col("quarter") - 1, 4), *told, *values)
     width = 5 + 2 * len(tags)
-    lists = reports.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("period", each.alias("x")))), lambda s: s["x"]).alias("_q"))
-    blank = F.array_repeat(F.lit(0.0), width)
+    if dates:
+        width += 2 * (12 if month_form == "one_hot" else 1) + (31 if day_form == "one_hot" else 1)
+    listed = F.sort_array(F.collect_list(F.struct("period", "filed", each.alias("x"))))
+    lists = reports.groupBy(*KEY).agg(listed.alias("_l")).select(*KEY, F.transform("_l", lambda s: s["x"]).alias("_q"), F.element_at("_l", -1)["period"].alias("_period"))
     have = F.coalesce(F.slice(F.col("_q"), F.greatest(F.size("_q") - quarters + 1, F.lit(1)), quarters), F.array().cast("array<array<double>>"))
-    padded = F.concat(F.array_repeat(blank, quarters - F.size(have)), have)
-    return inst.join(lists, KEY, "left").withColumn("semiseries", padded).drop("_q")
+    padded = F.concat(F.array_repeat(F.array_repeat(F.lit(0.0), width), quarters - F.size(have)), have)
+    last = F.col("last_day") if "last_day" in inst.columns else F.col("period_date")
+    gap = F.coalesce((F.month(last) - F.month("_period") > 3).cast("double"), F.lit(0.0))
+    return inst.join(lists, KEY, "left").withColumn("_quarters", padded).withColumn("_not_filed", gap).drop("_q", "_period")
+
+
+def financial_features(reports: DataFrame, inst: DataFrame, preceding: int, tags: list[str]) -> DataFrame:
+    """inst with semiseries: the quarters of financial_vector() without dates."""
+    return financial_vector(reports, inst, preceding, tags).withColumnRenamed("_quarters", "semiseries").drop("_not_filed")
 
 
 #: What a day of a series says by default.

@@ -10,7 +10,7 @@ from ..operators.joins import next_earnings
 from ..registry import register
 from ..sources.bars import numbered
 from .company import FILINGS, _filings
-from .fixtures import BARS_SQL, EARNINGS_SQL, bars, earnings, interest, r4, splits
+from .fixtures import BARS_SQL, EARNINGS_SQL, VIX_SQL, bars, earnings, interest, r4, splits
 
 KEY = ["exchange", "symbol", "period_date"]
 K = "exchange, symbol, period_date"
@@ -133,3 +133,110 @@ def g5c(spark, d):
     rows = next_earnings(bars(spark, d).select(*KEY), earnings(spark, d)).where("next_date is not null")
     x = rows.withColumn("x", ft.earnings_features(F.col("period_date"), F.col("next_date"))).where("x[0] = 1")
     return x.groupBy("exchange", "symbol").agg(F.count("*").alias("n"))
+
+
+def _reports(spark, d):
+    from ..operators.financials import edgar_nums, edgar_quarters, financial_reports
+
+    sub, num, tag = _filings(spark, d)
+    return financial_reports(edgar_nums(num, sub, tag), edgar_quarters(sub, num))
+
+
+_TIERS = [["Assets", "Liabilities"], ["AssetsCurrent"], ["OwnTag", "Assets"]]
+
+
+def _quarters_sql(filings: str, preceding: int, tags: list[str], anchors: str) -> str:
+    """CTEs from a common table expression list on: fin, the not-filed flag and the quarters' numbers (dates scaled) of each row of `anchors`."""
+    quarters = -(-preceding // 90)
+    month, day = "(month({0}) - 1) / 12.0::double - 0.5", "(day({0}) - 1) / day(last_day({0}))::double - 0.5"
+    value = lambda t: f"(max(value) filter (tag = '{t}') is not null)::int::double, coalesce(max(value) filter (tag = '{t}'), 0.0)::double"
+    width = 8 + 2 * len(tags)
+    return f"""{filings},
+rep as (select q.exchange, q.symbol, q.period, q.quarter, q.filed, list_concat([1.0::double], {_hot('q.quarter - 1', 4)}, [{month.format('q.period')}, {day.format('q.filed')}, {month.format('q.filed')}], [{', '.join(map(value, tags))}]) as x
+  from quarters q join num n on n.exchange = q.exchange and n.symbol = q.symbol and n.ddate = q.period where tag <> 'OwnTag' group by q.exchange, q.symbol, q.period, q.quarter, q.filed),
+had as (select a.exchange, a.symbol, a.period_date, a.last_day, rep.period, rep.filed, x from {anchors} a join rep on rep.exchange = a.exchange and rep.symbol = a.symbol and rep.filed between a.period_date - {preceding + 1} and a.period_date
+  qualify row_number() over (partition by a.exchange, a.symbol, a.period_date order by rep.period desc, rep.filed desc) <= {quarters}),
+fin as (select a.exchange, a.symbol, a.period_date, coalesce((month(a.last_day) - month(max(had.period)) > 3)::int, 0)::double as not_filed,
+    list_concat(list_resize([]::double[], ({width} * ({quarters} - count(had.period)))::int, 0.0::double), coalesce(flatten(list(x order by had.period, had.filed) filter (x is not null)), [])) as quarters
+  from {anchors} a left join had on had.exchange = a.exchange and had.symbol = a.symbol and had.period_date = a.period_date group by a.exchange, a.symbol, a.period_date, a.last_day)"""
+
+
+@register("g6_financial_vector", f"{_quarters_sql(FILINGS, 400, ft.tier_tags(_TIERS, 3), '(select exchange, symbol, period_date, period_date as last_day from b)')} select {K}, not_filed, list_transform(quarters, lambda x: floor(x * 10000 + 0.5) / 10000) as x from fin")
+def g6_vector(spark, d):
+    from ..operators.joins import preceding_reports
+
+    inst = bars(spark, d).select(*KEY)
+    out = ft.financial_vector(preceding_reports(inst, _reports(spark, d), 400), inst, 400, ft.tier_tags(_TIERS, 3), True, "scaled", "scaled")
+    return out.select(*KEY, F.col("_not_filed").alias("not_filed"), _r(F.flatten("_quarters")).alias("x"))
+
+
+#: A map with features of each kind; what is not enabled leaves no trace.
+MAP = {
+    "exchange": {"enabled": True},
+    "sector": {"enabled": True},
+    "ipoAge": {"enabled": True},
+    "etf": {"enabled": True},
+    "dayOfWeek": {"enabled": True},
+    "dayOfMonth": {"enabled": False},
+    "stockSplits": {"enabled": True},
+    "stock": {"open": {"enabled": False}, "close": {"enabled": True}, "volume": {"enabled": True}},
+    "vix": {"high": {"enabled": True}},
+    "financials": {"enabled": True, "includeDates": True, "maxTierIndex": 2, "tierTags": _TIERS},
+    "googleInterests": {"enabled": True},
+    "indicators": {"relativeStrengthIndex": {"enabled": False}, "bollingerBands": {"enabled": True}, "redGreenVolumeBars": {"enabled": True}},
+}
+_DAYS = 12
+
+
+def _map_vectors(spark, d, recurrent):
+    from ..operators import feature_map as fm
+    from ..operators.indicators import bollinger, rgvb
+    from .fixtures import vix
+
+    df = bars(spark, d)
+    info = df.select("exchange", "symbol").distinct()
+    s = F.col("symbol").cast("int")
+    info = info.withColumns({"sector": F.when(s % 4 != 3, F.concat(F.lit("S"), (s % 4).cast("string"))), "ipo": F.when(s % 3 != 0, F.lit("1985-03-02").cast("date")), "founded": F.lit(None).cast("string"), "etf": s % 2 == 0})
+    narrow = df.select(*KEY, "open", "high", "low", "close", "volume")
+    tables = {"splits": splits(spark, d), "vix": vix(spark, d), "interest": interest(spark, d), "reports": _reports(spark, d), "info": info, "indicators": rgvb(bollinger(narrow))}
+    anchors = numbered(df).where("idx >= 32").select(*KEY)
+    fmap = fm.FeatureMap(MAP, {"dayOfMonth": "scaled", "monthOfYear": "scaled"}, ("S0", "S1", "S2"))
+    return fm.vectors(anchors, df, fmap, tables, _DAYS, recurrent)
+
+
+def _map_sql() -> str:
+    r4 = "list_transform({}, lambda x: floor(x * 10000 + 0.5) / 10000)"
+    base = FILINGS.replace("with bars", "with recursive bars", 1)
+    ratio = "(case when rn % 97 = symbol::int % 97 then [1.0::double, (1 + rn % 3)::double] else [0.0::double, 0.0] end)"
+    band = "avg(b.close) over p20 {} 2 * stddev_pop(b.close) over p20"
+    windows = f"""{base}, {VIX_SQL},
+day as (select b.exchange, b.symbol, b.period_date, rn, b.close, volume, v.high as vh, {_hot('isodow(b.period_date) - 1', 5)} as dow, {ratio} as sp,
+    case when rn % 3 <> 0 then [(b.period_date < date '2004-01-01')::int::double, 0.0, 0.0, ((symbol::int * 7 + rn * 13) % 101)::double] else [(b.period_date < date '2004-01-01')::int::double, 0.0, 1.0, 0.0] end as gi,
+    [{band.format('-')}, avg(b.close) over p20, {band.format('+')}] as bb, case when b.close > pc then 1.0 else 0.0 end::double as rg
+  from b join vix v using (period_date) window p20 as (partition by b.exchange, b.symbol order by b.period_date rows between 20 preceding and 1 preceding)),
+win as (select exchange, symbol, period_date, max(period_date) over w as last_day, list(dow) over w as l_dow, list(sp) over w as l_sp, list(close) over w as l_close, list(volume) over w as l_volume, list(vh) over w as l_vix,
+    list(gi) over w as l_gi0, list(bb) over w as l_bb, list(rg) over w as l_rg, rn from day window w as (partition by exchange, symbol order by period_date rows between {_DAYS} preceding and 1 preceding)),
+late as (select * exclude (l_gi0), list_transform(l_gi0, lambda x, i: case when i > {_DAYS - 3} then [x[1], 1.0, x[3], 0.0] else x end) as l_gi from win where rn >= 32),
+"""
+    fin = _quarters_sql("@", _DAYS, ft.tier_tags(_TIERS, 2), "late").split("@,\n", 1)[1]
+    static = f"list_concat({_hot('coalesce(case when substr(exchange, 3)::int < 7 then substr(exchange, 3)::int + 1 end, 0)', 8)}, {_hot('case when symbol::int % 4 = 3 then 0 else symbol::int % 4 + 1 end', 7)}, [case when symbol::int % 3 <> 0 then (last_day - date '1985-03-02') / 40.0::double / 365.0 else 0.0 end, (symbol::int % 2 = 0)::int::double])"
+    at = lambda i: f"list_concat(l_dow[{i}], l_sp[{i}], [l_close[{i}], l_volume[{i}], l_vix[{i}]], l_gi[{i}], l_bb[{i}], [l_rg[{i}]])"
+    return windows + fin + f""",
+parts as (select *, {static} as st from late join fin using (exchange, symbol, period_date))
+select {K}, {r4.format("list_concat(st, [not_filed])")} as static, {r4.format("quarters")} as semiseries, ({_DAYS} * len({at(1)}))::bigint as n, {r4.format(at(1))} as first_day, {r4.format(at(_DAYS))} as last_day,
+  {r4.format("list_concat(st, flatten(l_dow), flatten(l_sp), l_close, l_volume, l_vix, [not_filed], quarters, flatten(l_gi), flatten(l_bb), l_rg)")} as vector from parts"""
+
+
+_MAP_SQL = _map_sql()
+
+
+@register("g11_feature_map", f"select {K}, static, semiseries, n, first_day, last_day from ({_MAP_SQL})")
+def g11_map(spark, d):
+    out = _map_vectors(spark, d, True)
+    width = 5 + 2 + 3 + 4 + 3 + 1
+    return out.select(*KEY, _r("static").alias("static"), _r("semiseries").alias("semiseries"), F.size("series").cast("long").alias("n"), _r(F.slice("series", 1, width)).alias("first_day"), _r(F.slice("series", -width, width)).alias("last_day"))
+
+
+@register("g11_flat_vector", f"select {K}, vector from ({_MAP_SQL})")
+def g11_flat(spark, d):
+    return _map_vectors(spark, d, False).select(*KEY, _r("vector").alias("vector"))
