@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.functions.scalars import is_fibonacci
 from tickloom.operators import calendar as cal
 from tickloom.operators import labels as lab
 from tickloom.operators import options as opt
@@ -62,3 +63,29 @@ def test_split_covers_each_class(spark):
     assert n["POSITIVE", "train"] == 14 and n["NEGATIVE", "train"] == 57
     sample = lab.balanced_sample(df, 30, 1 / 6)
     assert {r["cls"]: r["count"] for r in sample.groupBy("cls").count().collect()} == {"POSITIVE": 5, "NEGATIVE": 25}
+
+
+def test_fibonacci_numbers_are_exact(spark):
+    want, a, b = {0}, 1, 1
+    while a <= 10**9:
+        want.add(a)
+        a, b = b, a + b
+    near = sorted({n + k for n in want for k in (-2, -1, 0, 1, 2) if 0 <= n + k <= 10**9})
+    df = spark.createDataFrame([(n,) for n in near], "n long").where(is_fibonacci(F.col("n")))
+    assert sorted(r["n"] for r in df.collect()) == sorted(want)
+    assert spark.range(300_000).where(is_fibonacci(F.col("id"))).count() == len([n for n in want if n < 300_000])
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_slice_above_a_hundred_thousand_rows(spark, descending):
+    n = 130_000
+    keys = spark.range(n).select(F.lit("X").alias("exchange"), F.lit("A").alias("symbol"), F.date_add(F.lit("1700-01-01"), F.col("id").cast("int")).alias("period_date"), F.lit("NEGATIVE").alias("cls"), F.col("id").cast("double").alias("value"))
+    got = lab.reduce_instances(keys.drop("value"), keys.drop("cls"), top=0.0, bottom=0.0, descending=descending)
+    kept = {(r["period_date"] - dt.date(1700, 1, 1)).days for r in got.collect()}
+    fib, a, b = {0}, 1, 1
+    while a < n:
+        fib.add(a)
+        a, b = b, a + b
+    middle = n - 1  # the last row lies past the slice
+    assert kept == {(middle - 1 - f if descending else f) for f in fib if f < middle} | {n - 1}
+    assert 121_393 in fib

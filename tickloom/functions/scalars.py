@@ -66,10 +66,13 @@ def region(exchange: Column, canadian: tuple[str, ...] = ("TSX", "TSXV", "NEO",
     return F.when(exchange.isin(*canadian), "CANADA").otherwise("US")
 
 
-def fibonacci(limit: int) -> list[int]:
-    """Fibonacci numbers up to limit."""
-    out, a, b = [0], 1, 1
-    while a <= limit:
-        out.append(a)
-        a, b = b, a + b
-    return sorted(set(out))
+def is_fibonacci(n: Column) -> Column:
+    """Whether a whole number from 0 to a billion is a Fibonacci number: 5 n^2 + 4 or 5 n^2 - 4 is a square."""
+
+    def square(x: Column) -> Column:
+        root = F.round(F.sqrt(x.cast("double"))).cast("long")  # off by one at most, where a double can't hold x
+        near = [(root + k) * (root + k) == x for k in (-1, 0, 1)]
+        return (x >= 0) & (near[0] | near[1] | near[2])
+
+    five = 5 * n.cast("long") * n.cast("long")
+    return square(five + 4) | square(five - 4)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import TICKER, fibonacci
+from ..functions.scalars import TICKER, is_fibonacci
 from ..sources.bars import numbered, ordered
 
 
@@ -97,11 +97,11 @@ def ranked(df: DataFrame, group: list[str], ranges: list[str], order: list) -> D
     return rows.join(F.broadcast(starts), same).withColumn("_nth", F.col("_before") + F.col("_own")).drop("_before", "_own", *[f"{k}_of" for k in keys])
 
 
-def reduce_instances(inst: DataFrame, sims: DataFrame, top: float = 0.5, bottom: float = 0.03, method: str = "FIBONACCI", share: float = 0.5, cls: str = "NEGATIVE") -> DataFrame:
+def reduce_instances(inst: DataFrame, sims: DataFrame, top: float = 0.5, bottom: float = 0.03, method: str = "FIBONACCI", share: float = 0.5, cls: str = "NEGATIVE", descending: bool = False) -> DataFrame:
     """inst with one class thinned by similarity rank: both ends stay whole, only the middle slice loses rows.
 
-    FIBONACCI keeps the places in the slice that are Fibonacci numbers, RANDOM a share, ALL none. Tickers without
-    similarities, and other classes, stay as they are.
+    FIBONACCI keeps the places in the slice (from 0, with `descending` from its other end) that are Fibonacci numbers,
+    RANDOM a share, ALL none. Tickers without similarities, and other classes, stay as they are.
     """
     keys = [*TICKER, "period_date"]
     ranked = inst.where(F.col("cls") == cls).join(sims.select(*keys, "value"), keys)
@@ -110,7 +110,8 @@ def reduce_instances(inst: DataFrame, sims: DataFrame, top: float = 0.5, bottom:
     lo, hi = F.floor(F.col("_n") * bottom), F.col("_n") - F.ceil(F.col("_n") * top) - 1
     middle = place.where((F.col("_r") >= lo) & (F.col("_r") < hi)).withColumn("_at", F.col("_r") - lo).withColumn("_m", hi - lo)
     if method == "FIBONACCI":
-        gone = middle.where(~F.col("_at").isin(fibonacci(100_000)))
+        at = F.col("_m") - 1 - F.col("_at") if descending else F.col("_at")
+        gone = middle.where(~is_fibonacci(at))
     elif method == "RANDOM":
         shuffled = middle.withColumn("_s", F.row_number().over(w.orderBy(mixed("exchange", "symbol", "period_date"))))
         gone = shuffled.where(F.col("_s") > F.floor(F.col("_m") * share))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import TICKER
 from ..sources.bars import ordered
+from .predicates import Null, condition
 
 KEY = [*TICKER, "period_date"]
 PRICES = ("open", "high", "low", "close")
@@ -137,21 +138,51 @@ def superseded_active(info: DataFrame) -> DataFrame:
     return info.where("active").drop("delisted").join(gone, TICKER).where(F.col("delisted") > F.to_date("timestamp"))
 
 
-def symbol_universe(sources: list[DataFrame], daily: DataFrame | None = None, caps: dict[str, float] | None = None, exclude: DataFrame | None = None, active: bool | None = True) -> DataFrame:
-    """One row per ticker over all sources: its least name; with bars, of tickers that keep below the caps."""
-    every = sources[0]
-    for s in sources[1:]:
+def symbol_universe(
+    sources: list[DataFrame],
+    daily: DataFrame | None = None,
+    caps: dict[str, float] | None = None,
+    exclude: DataFrame | None = None,
+    active: bool | None = True,
+    topics: DataFrame | None = None,
+    topic=None,
+    earnings: DataFrame | None = None,
+    daily_where: dict | None = None,
+    **predicates,
+) -> DataFrame:
+    """One row per ticker over all sources: its least name.
+
+    Every other argument given narrows it. active and predicates (as condition() takes them) hold for a source's row;
+    sources without the predicate's column are asked nothing by it. caps: with bars, of tickers that keep below them.
+    daily_where: at least one bar meets all its predicates. earnings: the ticker has a row there. topic (with topics:
+    ticker, topic_id, last_checked_date): Null() for tickers without a topic, Null(False) for those with one, else what
+    the topic_id last checked has to meet. exclude: not these tickers.
+    """
+    asked = []
+    for s in sources:
+        own = condition(**{k: v for k, v in predicates.items() if k in s.columns})
+        asked.append((s.where(own) if own is not None else s).select(*TICKER, "name", "active"))
+    every = asked[0]
+    for s in asked[1:]:
         every = every.unionByName(s)
     if active is not None:
         every = every.where(F.col("active") == active)
     out = every.groupBy(*TICKER).agg(F.min("name").alias("name"))
     if exclude is not None:
         out = out.join(exclude, TICKER, "left_anti")
+    if topic is not None:
+        latest = topics.groupBy(*TICKER).agg(F.max_by("topic_id", F.struct("last_checked_date", "topic_id")).alias("topic_id"))
+        if isinstance(topic, Null):
+            out = out.join(latest, TICKER, "left_anti" if topic.null else "left_semi")
+        else:
+            out = out.join(latest.where(condition(topic_id=topic)), TICKER, "left_semi")
+    if earnings is not None:
+        out = out.join(earnings, TICKER, "left_semi")
     if daily is not None:
-        tops = daily.groupBy(*TICKER).agg(*[F.max(c).alias(f"_{c}") for c in caps or {}], F.lit(1).alias("_1"))
+        tops = daily.groupBy(*TICKER).agg(*[F.max(c).alias(f"_{c}") for c in caps or {}], F.lit(1).alias("_1"), *([F.bool_or(condition(**daily_where)).alias("_met")] if daily_where else []))
         for c, top in (caps or {}).items():
             tops = tops.where(F.col(f"_{c}") <= top)
-        out = out.join(tops, TICKER, "left_semi")
+        out = out.join(tops.where("_met") if daily_where else tops, TICKER, "left_semi")
     return out
 
 

@@ -103,6 +103,19 @@ def l9(spark, d):
     return lab.reduce_instances(inst, _sims(inst))
 
 
+@register(
+    "l9_reduce_descending",
+    LABEL + """, neg as (select exchange, symbol, period_date, row_number() over w - 1 as r, count(*) over (partition by exchange, symbol) as m from (
+    select *, (symbol::int * 31 + dayofyear(period_date) * 17) % 997 as v from l where cls = 'NEGATIVE') window w as (partition by exchange, symbol order by v, period_date)),
+mid as (select *, floor(m * 0.03) as lo, m - ceil(m * 0.2) - 1 as hi from neg),
+gone as (select * from mid where r >= lo and r < hi and (hi - 1 - r) not in (0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597))
+select exchange, symbol, period_date, cls from l where cls is not null and not exists (select 1 from gone g where g.exchange = l.exchange and g.symbol = l.symbol and g.period_date = l.period_date)""",
+)
+def l9_descending(spark, d):
+    inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls")
+    return lab.reduce_instances(inst, _sims(inst), top=0.2, descending=True)
+
+
 @register("l10_balanced_sample", f"{LABEL} select cls, least(count(*), case when cls = 'POSITIVE' then 50 else 250 end)::bigint as n from l where cls is not null group by 1")
 def l10(spark, d):
     inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls")

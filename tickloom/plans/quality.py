@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import quality as q
+from ..operators.predicates import Compare, Like, Null
 from ..registry import register
 from ..sources.bars import numbered
 from .calendar import _years, holidays_sql
-from .fixtures import BARS_SQL, INTEREST_SQL, SPLITS_SQL, VIX_SQL, bars, interest, r4, sid, splits, table, vix
+from .fixtures import BARS_SQL, EARNINGS_SQL, INTEREST_SQL, SPLITS_SQL, VIX_SQL, bars, earnings, interest, r4, sid, splits, table, vix
 
 KEY = ["exchange", "symbol", "period_date"]
 K = "exchange, symbol, period_date"
@@ -44,6 +45,37 @@ def c1(spark, d):
     return out
 
 
+_TOPICS = "topics as (select distinct on (exchange, symbol) exchange, symbol, topic_id from (select 'EX' || s_nationkey as exchange, s_suppkey::varchar as symbol, 't' || s_suppkey % 3 as topic_id, date '2020-01-01' as d from supplier where s_suppkey % 4 <> 0 union all select 'EX' || s_nationkey, s_suppkey::varchar, 't' || s_suppkey % 2, date '2021-01-01' from supplier where s_suppkey % 6 = 1) order by exchange, symbol, d desc, topic_id desc)"
+_UNIVERSE = f"with {BARS_SQL}, {INFO_SQL}, {_TOPICS}, {EARNINGS_SQL}"
+
+
+def _topics(spark, d):
+    k = F.col("s_suppkey")
+    one = lambda n, where, day: table(spark, d, "supplier").where(where).select(F.concat(F.lit("EX"), F.col("s_nationkey").cast("string")).alias("exchange"), k.cast("string").alias("symbol"), F.concat(F.lit("t"), (k % n).cast("string")).alias("topic_id"), F.lit(day).cast("date").alias("last_checked_date"))
+    return one(3, "s_suppkey % 4 <> 0", "2020-01-01").unionByName(one(2, "s_suppkey % 6 = 1", "2021-01-01"))
+
+
+@register(
+    "c1_universe_predicates",
+    f"""{_UNIVERSE}, u as (select exchange, symbol, min(name) as name from info where active and (delisted is null or delisted > date '2000-01-01') group by 1, 2)
+select 'id' as asked, * from u where (exchange, symbol) in (select exchange, symbol from topics where topic_id in ('t1', 't2')) and (exchange, symbol) in (select exchange, symbol from earnings)
+union all select 'none', * from u where (exchange, symbol) not in (select exchange, symbol from topics)
+union all select 'any', * from u where (exchange, symbol) in (select exchange, symbol from topics) and (exchange, symbol) in (select exchange, symbol from bars where volume > 80 and close < 60000)
+union all select 'delisted', exchange, symbol, min(name) from info where not active and exchange like 'O%' group by 2, 3""",
+)
+def c1_predicates(spark, d):
+    df, topics, told = bars(spark, d), _topics(spark, d), earnings(spark, d)
+    sources = list(_info(spark, d))
+    cases = {
+        "id": q.symbol_universe(sources, topics=topics, topic=["t1", "t2"], earnings=told),
+        "none": q.symbol_universe(sources, topics=topics, topic=Null()),
+        "any": q.symbol_universe(sources, df, topics=topics, topic=Null(False), daily_where={"volume": Compare(">", 80), "close": Compare("<", 60000)}),
+        "delisted": q.symbol_universe(sources, active=False, exchange=Like("O%")),
+    }
+    parts = [u.withColumn("asked", F.lit(k)) for k, u in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @register("c2_order_universe", f"with {BARS_SQL}, {INTEREST_SQL}, u as (select distinct exchange, symbol from bars), v as (select exchange, symbol, sum(volume) as v from bars where period_date between date '1998-06-20' and date '1998-06-30' group by 1, 2), g as (select exchange, symbol, sum(relative_interest) as g from interest where date between date '1998-06-20' and date '1998-06-30' group by 1, 2) select exchange, symbol, coalesce(v, 0) + coalesce(g, 0) as weight from u left join v using (exchange, symbol) left join g using (exchange, symbol)")
 def c2(spark, d):
     df = bars(spark, d)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reference_data as ref
+from ..operators.predicates import Compare
 from ..registry import register
+from ..session import scratch
 from ..sources import landed
 from ..sources.bars import numbered
+from ..sources.stored import Stored
 from .fixtures import BARS_SQL, bars, r4, sid, table
 
 KEY = ["exchange", "symbol", "period_date"]
@@ -240,3 +243,100 @@ def c23(spark, d):
 @register("c24_source_overlap", "select (select count(*) from customer where c_custkey not in (select s_suppkey from supplier)) as only_a, (select count(*) from supplier where s_suppkey not in (select c_custkey from customer)) as only_b, (select count(*) from supplier where s_suppkey in (select c_custkey from customer)) as shared")
 def c24(spark, d):
     return ref.source_overlap(table(spark, d, "customer").select(F.col("c_custkey").alias("symbol")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol")))
+
+
+def _landed_json(spark, d):
+    """Customers as landed objects: a flag that is sometimes text, a number, a text that is sometimes a number, a known key."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        F.concat(
+            F.lit('{"custKey":'), k.cast("string"), F.lit(',"isActive":'), F.when(k % 5 == 0, F.lit('"yes"')).otherwise((k % 2 == 0).cast("string")), F.lit(',"shareCount":'), (k * 10).cast("string"),
+            F.lit(',"lastCode":'), F.when(k % 3 == 0, F.lit("7.5")).otherwise(F.lit('"x"')), F.lit(',"never":null'), F.when(k % 4 == 0, F.lit(',"oneName":"n"')).otherwise(F.lit("")), F.lit("}"),
+        ).alias("json")
+    )
+
+
+@register(
+    "s14_align_landed",
+    """select s_suppkey as cust_key, false as is_active, null::double as share_count, null::double as last_code, null::varchar as never, null::varchar as one_name from supplier
+union all select c_custkey, case when c_custkey % 5 <> 0 then c_custkey % 2 = 0 end, (c_custkey * 10)::double, case when c_custkey % 3 = 0 then 7.5 end, null, case when c_custkey % 4 = 0 then 'n' end from customer""",
+)
+def s14_landed(spark, d):
+    return ref.align_landed(table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("cust_key")), _landed_json(spark, d))
+
+
+def _stored(spark, d, name):
+    """Bars of _two() as a table in folders by exchange."""
+    old, new = _two(spark, d)
+    t = Stored(spark, scratch(spark, name), old.schema, tuple(KEY), ("exchange",))
+    t.merge(old)
+    return t, new
+
+
+@register("s16_stored_merge", f"{_UP}, m as (select * from n where exchange in ('EX1', 'EX2', 'EX3')) select {K}, coalesce(m.volume, o.volume) as volume, coalesce(m.transactions, o.transactions) as transactions from o full join m using ({K})")
+def s16_stored(spark, d):
+    t, new = _stored(spark, d, "merge")
+    t.merge(new.where("exchange in ('EX1', 'EX2', 'EX3')"), "update")
+    return t.read()
+
+
+@register("b9_stored_delete", f"{_UP} select * from o where not (exchange = 'EX4' or volume > 100)")
+def b9_stored(spark, d):
+    t, _ = _stored(spark, d, "delete")
+    t.delete(exchange="EX4")
+    t.delete(volume=Compare(">", 100))
+    return t.read()
+
+
+@register("s8_load_quarters", "select o_orderkey::varchar as adsh, 'q' || o_orderkey % 3 as loaded_quarter, date '2020-03-31' as period, o_custkey::varchar as symbol, l.n as nums from orders join customer on c_custkey = o_custkey and c_custkey % 2 = 0 join (select l_orderkey, count(*) as n from lineitem group by 1) l on l_orderkey = o_orderkey where o_orderkey % 3 <> 1")
+def s8_quarters(spark, d):
+    """Orders as filings, their lines as numbers, in folders by quarter, of which one is loaded before the others come."""
+    root, out = scratch(spark, "filings"), scratch(spark, "edgar")
+    quarter = (F.col("k") % 3).cast("int")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("cik"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat_ws("-", F.lit("T"), "l_linenumber", "l_partkey", "l_suppkey").alias("tag"), F.col("l_quantity").cast("string").alias("value"))
+    us = F.lit("us-gaap/2020").alias("version")
+    for q in (0, 2):
+        sub = orders.where(quarter == q).select(F.col("k").cast("string").alias("adsh"), "cik", F.lit("Q1").alias("fp"), F.lit("20200331").alias("period"), F.lit("20200501").alias("filed"))
+        num = lines.where(quarter == q).select(F.col("k").cast("string").alias("adsh"), "tag", us, F.lit("").alias("coreg"), F.lit("20200331").alias("ddate"), F.lit("0").alias("qtrs"), F.lit("USD").alias("uom"), "value")
+        tag = spark.createDataFrame([("T", "us-gaap/2020", "0", "0")], "tag string, version string, custom string, abstract string")
+        for name, df in (("sub", sub), ("num", num), ("tag", tag)):
+            df.write.csv(f"{root}/q{q}/{name}.txt", sep="\t", header=True)
+        info = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("cik"), F.lit("EX").alias("exchange"), F.col("c_custkey").cast("string").alias("symbol"))
+        landed.load_new_quarters(spark, root, out, info)
+    landed.load_new_quarters(spark, root, out, info)  # nothing is new now
+    sub, num = spark.read.parquet(f"{out}/sub").where("symbol is not null"), spark.read.parquet(f"{out}/num")
+    return sub.join(num.groupBy("adsh").agg(F.count("*").alias("nums")), "adsh").select("adsh", "loaded_quarter", "period", "symbol", "nums")
+
+
+_CASCADE_SQL = """k as (select s_suppkey as k, s_suppkey::varchar as symbol, lower(s_name) as name from supplier),
+t as (select symbol, name, unnest(case k % 8 when 0 then ['N1=' || name] when 1 then ['N1=other'] when 2 then ['N1=other', 'N2=' || name] when 3 then ['N1=' || name, 'N2=' || name] when 4 then ['N2=' || name] when 5 then ['N2=' || name, 'OTCBB=' || name]
+  when 6 then ['N1=other', 'N1=another'] else ['ABROAD=' || name] end) as x, k from k)"""
+
+
+@register(
+    "c21_listing_cascade",
+    f"""with {_CASCADE_SQL},
+m as (select k, symbol, split_part(x, '=', 1) as ex, split_part(x, '=', 2) = name as alike from t where split_part(x, '=', 1) <> 'ABROAD'),
+c as (select k, count(m.ex) filter (ex = 'N1') as same, count(*) filter (alike) as likes, count(*) filter (alike and ex <> 'OTCBB') as first_rate, count(*) filter (alike and ex = 'N1') as shared, max(ex) filter (alike and ex <> 'OTCBB') as sake from k left join m using (k) group by k),
+s as (select k, case when k % 11 = 0 then 'source' when k = 3 then 'manual' when k = 4 then 'primary' when same = 0 and l = 0 then 'quoted' when same = 0 and l = 1 then 'name' when same = 1 and l = 0 then 'exchange'
+  when same = 1 and l = 1 and shared = 1 then 'both' when same = 1 and l > 1 and shared < 2 then 'both' when same > 1 and l = 1 and shared = 0 then 'name' else 'rejected' end as step, sake from (select *, case when likes > 1 then first_rate else likes end as l from c))
+select k::varchar as symbol, step, case step when 'source' then 'Second' when 'manual' then 'HAND' when 'primary' then 'MAIN' when 'name' then sake when 'rejected' then null else 'N1' end as exchange from s""",
+)
+def c21_cascade(spark, d):
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier")
+    sym, name = k.cast("string").alias("symbol"), F.lower("s_name")
+    symbols = s.select(sym, F.upper("s_name").alias("name"), F.lit("alias").alias("quoted"))
+    one = lambda x, n: F.struct(F.lit(x).alias("exchange"), n.alias("name"))
+    other, another = F.lit("other"), F.lit("another")
+    cases = [[one("N1", name)], [one("N1", other)], [one("N1", other), one("N2", name)], [one("N1", name), one("N2", name)], [one("N2", name)], [one("N2", name), one("OTCBB", name)], [one("N1", other), one("N1", another)]]
+    pick = F.when(F.lit(False), F.array(one("", other)))
+    for i, c in enumerate(cases):
+        pick = pick.when(k % 8 == i, F.array(*c))
+    tickers = s.select(sym, F.explode(pick.otherwise(F.array(one("ABROAD", name)))).alias("t")).select("symbol", "t.*")
+    day = lambda x: F.lit(x).cast("date").alias("delisted")
+    own = s.where("s_suppkey % 11 = 0")
+    listed = own.select(sym, F.lit("old").alias("exchange"), F.lit(False).alias("active"), day("2001-01-01")).unionByName(own.select(sym, F.lit("new").alias("exchange"), F.lit(False).alias("active"), day("2010-01-01"))).unionByName(own.select(sym, F.lit("unknown").alias("exchange"), F.lit(True).alias("active"), day(None)))
+    aliases = spark.createDataFrame([("alias", "N1"), ("old", "First"), ("new", "Second")], "alias string, standard string")
+    return ref.resolve_listing(symbols, tickers, listed, aliases, {"3": "HAND"}, {"4": ["MAIN", "N2"]}, ("N1", "N2", "OTCBB")).select("symbol", "exchange", "step")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -51,14 +51,74 @@ def read_vix_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean_vix(spark.read.text(path))
 
 
-def load_edgar(spark: SparkSession, root: str, symbol_info: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sub, tag, num) of a quarter's tab-separated files: tickers by CIK, repeated tags dropped, repeated keys of num marked."""
-    read = lambda name: spark.read.csv(f"{root}/{name}.txt", sep="\t", header=True)
+def new_quarters(spark: SparkSession, root: str, loaded: Iterable[str] = ()) -> list[str]:
+    """The folders below root, one a quarter, that are not loaded yet, the latest first; no file is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = {f.getPath().getName() for f in found if f.isDirectory()}
+    return sorted((n for n in names - set(loaded) if n[0] not in "._"), reverse=True)
+
+
+#: The columns that are read of each file, all as text (fixed names of the published data sets).
+EDGAR = {"sub": ["adsh", "cik", "fp", "period", "filed"], "tag": ["tag", "version", "custom", "abstract"], "num": ["adsh", "tag", "version", "coreg", "ddate", "qtrs", "uom", "value"]}
+
+
+def load_edgar(spark: SparkSession, root: str, symbol_info: DataFrame, loaded: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sub, tag, num) of tab-separated files: tickers by CIK, repeated tags dropped, repeated keys of num marked.
+
+    root is one quarter's folder, or, with `loaded`, the folder of all quarters: those in `loaded` are skipped before any
+    file is read, and sub and num have a column loaded_quarter. The ledger of what is loaded is the caller's to keep
+    (load_ledger()). Where nothing is new, the frames are empty.
+    """
+    if loaded is None:
+        paths = [root]
+    else:
+        paths = [f"{root}/{q}" for q in new_quarters(spark, root, loaded)]
+
+    def read(name: str) -> DataFrame:
+        if not paths:
+            return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*EDGAR[name], "loaded_quarter"]))
+        df = spark.read.csv([f"{p}/{name}.txt" for p in paths], sep="\t", header=True)
+        if loaded is None:
+            return df
+        return df.withColumn("loaded_quarter", F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{name}\.txt(/[^/]*)?$", 1))
+
     sub = attach_ticker(read("sub"), symbol_info).withColumn("filed", edgar_date(F.col("filed"))).withColumn("period", edgar_date(F.col("period")))
     num = mark_duplicates(read("num").withColumn("ddate", edgar_date(F.col("ddate"))).withColumn("value", F.col("value").cast("double")))
     return sub, read("tag").dropDuplicates(["tag", "version"]), num
 
 
+def load_ledger(spark: SparkSession, path: str) -> list[str]:
+    """The quarters that a ledger says are loaded; some dozens of names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r["quarter"] for r in spark.read.schema("quarter string").parquet(path).distinct().collect()]
+
+
+def load_new_quarters(spark: SparkSession, root: str, out: str, symbol_info: DataFrame) -> list[str]:
+    """Load what is new below root into Parquet at out (sub, tag, num and the ledger); returns the quarters loaded.
+
+    sub and num are written by quarter and replace what a lost run left of the same quarters; the ledger gets its line last,
+    so a run that was lost is made again whole and a second run reads no file. tag keeps one row of each tag and version.
+    """
+    ledger = f"{out}/ledger"
+    had = load_ledger(spark, ledger)
+    fresh = new_quarters(spark, root, had)
+    if not fresh:
+        return []
+    sub, tag, num = load_edgar(spark, root, symbol_info, had)
+    for name, df in (("sub", sub), ("num", num)):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("loaded_quarter").parquet(f"{out}/{name}")
+    tags = tag.drop("loaded_quarter")
+    if had:
+        known = spark.read.schema(tags.schema).parquet(f"{out}/tag")
+        tags = tags.join(known, ["tag", "version"], "left_anti")
+    tags.write.mode("append").parquet(f"{out}/tag")
+    spark.createDataFrame([(q,) for q in fresh], "quarter string").write.mode("append").parquet(ledger)
+    return fresh
+
+
 def attach_ticker(sub: DataFrame, symbol_info: DataFrame) -> DataFrame:
     """sub with exchange and symbol by CIK, plain or padded to ten digits."""
     side = symbol_info.select(F.lpad("cik", 10, "0").alias("_cik"), "exchange", "symbol").dropDuplicates(["_cik"])
