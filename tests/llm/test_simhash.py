@@ -72,6 +72,31 @@ def test_crowded_cells(spark, crowd):
     assert len(pairs) == len(set(least)) == len(set(roots.values())) and len(roots) == len(signed)
 
 
+@pytest.mark.parametrize("crowd", [2, simhash.CROWD])
+def test_points_of_one_embedding(spark, crowd):
+    """Every segment holds one bit, so that popcounts part nothing; near copies differ in up to three bits."""
+    rng = random.Random(4)
+    fps = {sum(rng.choice((1, 2)) << 2 * k for k in range(32)) for _ in range(700)}
+    fps |= {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for x in rng.sample(sorted(fps), 100)}
+    fps = sorted(fps, key=lambda x: x - (1 << 64) if x >> 63 else x)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    roots = {r["fp"]: r["root"] for r in simhash.link(spark.createDataFrame([(x,) for x in signed], "fp long"), crowd=crowd).collect()}
+    least = least_reachable(fps)
+    assert len({(c, roots[x]) for x, c in zip(signed, least)}) == len(set(least)) == len(set(roots.values())) < len(fps)
+
+
+def test_cuts_by_bits_miss_no_near_pair():
+    rng = random.Random(6)
+    for level, cut in enumerate(simhash._CUTS):
+        for mask, fine in rng.sample(sorted(cut.items()), min(len(cut), 20)):
+            free = [b for b in range(64) if not mask >> b & 1]
+            assert abs(len(free) - (64, 32, 16)[level]) <= level and all((f & mask) == mask for f in fine)
+            for _ in range(50):
+                flipped = sum(1 << b for b in rng.sample(free, 3))
+                assert any(not f & flipped for f in fine)
+    assert max((~f & (1 << 64) - 1).bit_count() for fine in simhash._CUTS[-1].values() for f in fine) == 9
+
+
 def test_links_of_made_fingerprints(spark):
     rng = random.Random(3)
     fps = [0, 1, 7, 15, 31, (1 << 64) - 1]

@@ -4,7 +4,8 @@ Candidates come from a segment-popcount embedding: a fingerprint becomes the vec
 segments. Manhattan distance between vectors never exceeds Hamming distance between fingerprints, so points within
 Manhattan distance 3 are all that must be looked at. The range join goes by grids: the 32 axes form 6 groups; of two
 points within distance 3 at least 3 groups agree, so the points share a cell of one of the 20 grids that 3 groups span.
-A crowded cell is cut by 20 finer grids over its other axes in the same way. Pairs of a cell are held to the Manhattan
+Points of crowded cells are cut by the fingerprints' own bits in the same way, 3 of 6 groups of bits, and cells that are
+crowded still by the bits that are left, down to cells of nine free bits at most. Pairs of a cell are held to the Manhattan
 distance first, and what passes is verified by the Hamming distance.
 """
 
@@ -23,7 +24,7 @@ from ._common import LOWER, materialise, slices, words
 GROUPS = 6
 #: Axes (two-bit segments) of each group, by segment number.
 AXES = [range(32 * g // GROUPS, 32 * (g + 1) // GROUPS) for g in range(GROUPS)]
-CROWD = 256  # points of a cell above which it is cut by finer grids
+CROWD = 256  # points of a cell above which it is cut by bits
 
 
 def fingerprints(docs: DataFrame, keys: list[str], shingle: int = 3) -> DataFrame:
@@ -89,22 +90,57 @@ def _bits(axes: list[int]) -> int:
 
 
 _COARSE = _masks(list(range(32)))
-_FINE = [[own + more for more in _masks([axis for axis in range(32) if axis not in own])] for own in _COARSE]
+
+
+def _bit_masks(free: list[int]) -> list[list[int]]:
+    """Half of 6 groups of the given bits, in all 20 ways."""
+    groups = [free[len(free) * g // GROUPS : len(free) * (g + 1) // GROUPS] for g in range(GROUPS)]
+    return [[bit for g in chosen for bit in g] for chosen in combinations(groups, GROUPS - 3)]
+
+
+def _signed(bits: list[int]) -> int:
+    mask = sum(1 << bit for bit in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _cuts() -> list[dict[int, list[int]]]:
+    """For each level of cells that are cut by bits: the masks of a cell, and those of the cells that it is cut into.
+
+    Two fingerprints that differ in 3 bits of a cell's free ones at most agree in 3 of 6 groups of these at least. Level 0
+    cuts all 64 bits, level 1 the 32 or so that are left then, level 2 the 16 or so; 9 at most are left at the end.
+    """
+    out, now = [], {0: list(range(64))}
+    for _ in range(3):
+        level, next_ = {}, {}
+        for mask, free in now.items():
+            held = [bit for bit in range(64) if bit not in set(free)]
+            level[mask] = []
+            for chosen in _bit_masks(free):
+                finer = _signed(held + chosen)
+                level[mask].append(finer)
+                next_[finer] = [bit for bit in free if bit not in set(chosen)]
+        out.append(level)
+        now = next_
+    return out
+
+
+_CUTS = _cuts()
 
 
 def _cells(points: DataFrame) -> DataFrame:
     """One row for each fingerprint and grid: fp, grid number, cell."""
     e = F.col("_e")
-    grids = F.posexplode(F.array(*[e.bitwiseAND(F.lit(_bits(m))) for m in _COARSE])).alias("grid", "cell")
-    return points.withColumn("_e", embedding(F.col("fp"))).select(*points.columns, grids)
+    grids = F.posexplode(F.array(*[e.bitwiseAND(F.lit(_bits(m))) for m in _COARSE])).alias("_k", "cell")
+    made = points.withColumn("_e", embedding(F.col("fp"))).select(*points.columns, grids)
+    return made.select(*points.columns, F.col("_k").cast("long").alias("grid"), "cell")
 
 
-def _finer(rows: DataFrame) -> DataFrame:
-    """fp, grid and cell of the 20 finer grids in each row's coarse grid; finer grids are numbered after the coarse ones."""
-    masks = F.array(*[F.array(*[F.lit(_bits(m)) for m in fine]) for fine in _FINE])
-    each = rows.select("fp", F.col("grid").alias("_g"), F.posexplode(F.get(masks, F.col("grid"))).alias("_k", "_m"))
-    number = len(_COARSE) * (F.col("_g") + 1) + F.col("_k")
-    return each.select("fp", number.cast("int").alias("grid"), embedding(F.col("fp")).bitwiseAND(F.col("_m")).alias("cell"))
+def _finer(rows: DataFrame, level: int) -> DataFrame:
+    """fp, grid and cell of the 20 cells that each row's cell is cut into by bits. A cell's grid is its mask, which no number of a coarse grid equals."""
+    table = [(mask, finer) for mask, fine in _CUTS[level].items() for finer in fine]  # 8,000 rows at most
+    cuts = rows.sparkSession.createDataFrame(pa.table({"grid": pa.array([m for m, _ in table], pa.int64()), "_finer": pa.array([f for _, f in table], pa.int64())}))
+    own = rows.select("fp", "grid").distinct()
+    return own.join(F.broadcast(cuts), "grid").select("fp", F.col("_finer").alias("grid"), F.col("fp").bitwiseAND(F.col("_finer")).alias("cell")).distinct()
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -153,14 +189,21 @@ def link(points: DataFrame, bits: int = 3, name: str = "simhash", crowd: int = C
     First every point is tied to the least point of each of its cells, where the distance allows: as many rows as
     points and grids. The components of these ties swallow dense groups. Cells whose points are all in one component
     need no more; in the others, points of different components are compared.
+
+    Of points in coarse cells with more than `crowd` of them, pairs are sought in cells cut by bits instead: 20 for each
+    point, and 20 more for each of those that is crowded too. A cell of the last cut has 512 points at most.
     """
     if bits > 3:
         raise ValueError("the grids hold for 3 differing bits at most")
     crowded = _crowded(_cells(points.select("fp")), f"{name}-cells")
-    ties, asked = crowded, crowded
-    if not crowded.where(F.col("n") > crowd).isEmpty():
-        fine = _crowded(_finer(crowded.where(F.col("n") > crowd)), f"{name}-fine-cells")
-        ties, asked = crowded.unionByName(fine), crowded.where(F.col("n") <= crowd).unionByName(fine)
+    ties, asked, dense = crowded, crowded.where(F.col("n") <= crowd), crowded.where(F.col("n") > crowd).withColumn("grid", F.lit(0).cast("long"))
+    for level in range(len(_CUTS)):
+        if dense.isEmpty():
+            break
+        fine = _crowded(_finer(dense, level), f"{name}-cells-{level}")
+        last = level + 1 == len(_CUTS)
+        ties, asked = ties.unionByName(fine), asked.unionByName(fine if last else fine.where(F.col("n") <= crowd))
+        dense = fine.where(F.col("n") > crowd)
     ties = ties.where((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     rough = materialise(components(ties, crowded.select("fp").distinct(), name), f"{name}-rough")
     cell = asked.select("fp", "grid", "cell").join(rough, "fp")
