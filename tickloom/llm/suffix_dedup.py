@@ -318,9 +318,10 @@ def spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, part: int = P
     found = materialise(dealt.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(sort, ranges), "suffix-found")
     discard(edges)
 
-    # buckets in several parts: of each string its first place in every part, at most as many as there are parts
-    several = found.where("s is not null").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("_id", "_th", "start"))).alias("at")).where("size(at) > 1")
-    later = several.select(F.explode(F.slice("at", F.lit(2), F.size("at") - 1)).alias("x")).select("x._id", "x._th", "x.start", (F.col("x.start") + length).alias("stop"))
+    # buckets in several parts: each part gives its first place of a string; all but the least of these places go
+    firsts = found.where("s is not null")
+    least = firsts.groupBy("s").agg(F.min(F.struct("_id", "_th", "start")).alias("least"))
+    later = firsts.join(least, "s").where(~F.struct("_id", "_th", "start").eqNullSafe(F.col("least"))).select("_id", "_th", "start", (F.col("start") + length).alias("stop"))
     return found.where("s is null").drop("s").unionByName(later).unionByName(sure)
 
 
