@@ -23,10 +23,16 @@ def brute(text):
     upper, lower = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
     letters = sum(c.isalpha() for c in t)
     bad = 10 * symbols > 3 * n or 10 * dup > 3 * len(lines) or chars < 2 * n or chars > 15 * n or 10 * t.count("!") > 3 * n or upper > 2 * lower + 20 or 2 * letters < chars
+    bullets = sum(bool(re.match(r"[ \t]*[-*\u2022\u25CF\u25AA][ \t]+[^ \t-\r]", x)) for x in lines)
+    broken = sum(bool(re.search(r"(\.\.\.|\u2026)[ \t\r]*\Z", x)) for x in lines)
+    bad = bad or (len(lines) > 1 and (10 * bullets > 9 * len(lines) or 10 * broken > 3 * len(lines)))
     return n, chars, symbols, dup, rep, base, not (base or bad)
 
 
 ODD = ["a b c d e " * 5, "one two three four five six seven eight nine ten eleven", "X!! " * 30, "SHOUT OUT " * 12 + "abc", "a | b | c | d | e | f | g | h", "\x1c\x1d word" * 3, "l1 l2 l3\n" * 6, "é ñ ü " * 9, "\t\n\x0b\x0c\r ", "12 34 56 78 90 11 22 33 44 55 66", "a b c d e f a b c d e g a b c d e"]
+LISTS = ["- one two three\n* four five six\n \u2022 seven eight\n\n- nine ten eleven", "- one two three four\nfive six seven eight\n- nine ten eleven", "-one two three\n-four five six\n-seven eight nine ten eleven", "one two three...\nfour five six\u2026 \r\nseven eight nine ten eleven twelve", "one two three four five six seven eight nine ten eleven...", "one two...\nthree four\nfive six\nseven eight nine\nten eleven twelve...more"]
+LISTS += ["tel 5551234567 and fax 5557654321 and more text goes here in words", "word " * 12 + "...", "word other third fourth fifth\nsixth seventh eighth ninth tenth...\n\n"]
+ODD += LISTS
 
 
 def test_against_brute_force(spark, corpus):
@@ -52,6 +58,19 @@ def test_cascade_is_the_same_each_time_and_counts_what_is_left(spark):
     assert orders == [["exclaimed", "symbols", "shadow"]] * 3
 
 
+def test_one_table_has_one_order(spark, corpus):
+    texts = (corpus + ODD) * 3 + [f"{k} plain words {k} that no rule rejects, a few of them" for k in range(300)]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    orders = {tuple(r.name for r in q.order_rules(x, rows=60)) for x in (df.coalesce(1), df.repartition(4), df.repartition(16, "doc_id"), df.orderBy(F.desc("doc_id")))}
+    assert len(orders) == 1 and len(orders.pop()) == len(q.RULES)
+
+
+def test_cost_is_what_a_rule_does_to_the_sample(spark):
+    df = spark.createDataFrame([("ab CD ef 12", 4), ("", 0)], "text string, n long")
+    rule = q.Rule("x", lambda m: F.lit(True), 2.0, 3.0, ("[a-z]+", "[0-9]+"))
+    assert [r[0] for r in df.select(rule.cost(F.col("text"), F.col("n"))).collect()] == [2.0 * 11 + 3.0 * 4 + q.RUN * 3, 0.0]
+
+
 def test_null_key_stays(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")
     assert [r["doc_id"] for r in q.judge(df, ["doc_id"]).collect()] == [None, None]

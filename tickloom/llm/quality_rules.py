@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5  # words in a window that may not repeat
+#: Lines that begin with a bullet and a blank, and lines that end in dots, with a word in them.
+BULLET = r"(?:^|(?<=\n))[\x20\x09]*[-*\u2022\u25CF\u25AA][\x20\x09]+[^\x20\x09-\x0D]"
+BROKEN_OFF = r"(?:\.\.\.|\u2026)[\x20\x09\x0D]*(?=\n|$(?!\n))"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -19,18 +22,26 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 class Rule:
     """A document fails where `rejects` is true, given the text, the MEASURES, n_lines and counts of characters by name.
 
-    The cost of a row is `chars` for each character of its text and `words` for each word, in nanoseconds: fixed values,
-    from a run of each rule alone. What a rule costs a table then follows from the table's sample.
+    What a rule costs is estimated on a sample, from what it does there: `chars` for each character of a text that it reads,
+    `words` for each word, and RUN for each match of the patterns `runs` that it takes out. The units are nanoseconds, fixed
+    values from a run of each kind of step alone, so that the estimate does not hang on what else the machine does.
     """
 
     name: str
     rejects: Callable[[Mapping[str, Column]], Column]
     chars: float
     words: float = 0.0
+    runs: tuple[str, ...] = ()
 
+    def cost(self, text: Column, n_words: Column) -> Column:
+        matches = sum((F.regexp_count(text, F.lit(p)) for p in self.runs), F.lit(0))
+        return F.lit(self.chars) * F.length(text) + F.lit(self.words) * n_words + F.lit(RUN) * matches
 
-#: The first two are the base. The limits are fixed values: symbols per word, share of repeated lines and mean word length
-#: as in published web-text filters; shouted and exclaimed words, and table bars, as shares of all words.
+
+RUN = 60.0  # to find a match and leave it out of a copy of the text
+#: The first two are the base. The limits are fixed values: symbols per word, share of repeated lines, of lines with a bullet
+#: and of lines that break off, mean word length as in published web-text filters; shouted and exclaimed words,
+#: and table bars, as shares of all words.
 BASE = (
     Rule("few_words", lambda m: m["n_words"] < 10, 0.0, 0.1),
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"], 0.0, 600.0),
@@ -40,8 +51,10 @@ RULES = (
     Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"], 4.0),
     Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]), 9.0),
     Rule("exclaimed", lambda m: 10 * m["n_exclaimed"] > 3 * m["n_words"], 1.0),
-    Rule("capitals", lambda m: m["n_capitals"] > 2 * m["n_small"] + 20, 25.0),
-    Rule("few_letters", lambda m: 2 * m["n_letters"] < m["word_chars"], 25.0),
+    Rule("capitals", lambda m: m["n_capitals"] > 2 * m["n_small"] + 20, 10.0, runs=("[A-Z]+", "[a-z]+")),
+    Rule("few_letters", lambda m: 2 * m["n_letters"] < m["word_chars"], 10.0, runs=(r"\p{L}+",)),
+    Rule("bullets", lambda m: (m["n_lines"] > 1) & (10 * m["n_bullets"] > 9 * m["n_lines"]), 6.0, runs=("\n",)),
+    Rule("broken_off", lambda m: (m["n_lines"] > 1) & (10 * m["n_broken_off"] > 3 * m["n_lines"]), 6.0, runs=("\n",)),
 )
 
 
@@ -119,6 +132,8 @@ class _Measured(Mapping):
             "n_capitals": lambda: _without(t, "[A-Z]+"),
             "n_small": lambda: _without(t, "[a-z]+"),
             "n_letters": lambda: _without(t, r"\p{L}+"),
+            "n_bullets": lambda: F.regexp_count(t, F.lit(BULLET)),
+            "n_broken_off": lambda: F.regexp_count(t, F.lit(BROKEN_OFF)),
         }
 
     def __getitem__(self, name: str) -> Column:
@@ -149,26 +164,31 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 20
     """Rules by rejections for a unit of cost, the best first, measured on a sample of about `rows` rows.
 
     A rule's rejections are those among the sampled rows that neither `after` nor the rules before it reject, and its cost
-    is what it spends on these rows. Ties go to the rule given first, so that one table always gives one order. The order
-    only decides how soon a bad document is known to be bad; the verdict is the same in any order. The sample is drawn
-    where the rows lie, without a shuffle; what comes to the driver is one row for each set of rules that reject together.
+    is what it does to these rows. Texts are chosen by their hash and stand for all rows that have them, so that a table
+    gives one order, however it lies in files and partitions; ties go to the rule given first. The order only decides how
+    soon a bad document is known to be bad; the verdict is the same in any order. Reading the texts for their hash is one
+    more scan; what comes to the driver is one row for each set of rules that reject together.
     """
     n = docs.count()
-    part = docs.sample(min(1.0, rows / n), seed=1) if n else docs
+    fine = 1 << 40
+    chosen = F.pmod(F.xxhash64("text"), F.lit(fine)) < min(fine, -(-rows * fine // n)) if n else F.lit(True)
+    part = docs.select("text").where(chosen).groupBy("text").agg(F.count("*").alias("n"))
     every = (*after, *rules)
-    measured = measure(part, [])
+    measured = measure(part, ["n"])
     names = _columns(F.col("text"))
     failed = F.array(*[r.rejects(names) for r in every]).alias("failed")
-    found = measured.select(failed, F.length("text").alias("chars"), "n_words").groupBy("failed").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("n_words").alias("words")).collect()
-    left = [(r["failed"][len(after) :], r["n"], r["chars"], r["words"]) for r in found if not any(r["failed"][: len(after)])]
+    costs = F.array(*[r.cost(F.col("text"), F.col("n_words")) for r in rules]).alias("costs")
+    summed = [F.sum(F.col("n") * F.col("costs")[i]).alias(f"c{i}") for i in range(len(rules))]
+    found = measured.select(failed, costs, "n").groupBy("failed").agg(F.sum("n").alias("n"), *summed).collect()
+    left = [(r["failed"][len(after) :], r["n"], [round(r[f"c{i}"], 3) for i in range(len(rules))]) for r in sorted(found, key=lambda r: r["failed"]) if not any(r["failed"][: len(after)])]
     waiting, out = list(range(len(rules))), []
     while waiting:
-        chars, words = sum(x[2] for x in left), sum(x[3] for x in left)
 
         def worth(i: int) -> float:
-            return sum(x[1] for x in left if x[0][i]) / (rules[i].chars * chars + rules[i].words * words + 1e-9)
+            return sum(x[1] for x in left if x[0][i]) / (sum(x[2][i] for x in left) + 1e-9)
 
-        best = max(waiting, key=lambda i: (worth(i), -rules[i].chars, -i))
+        cost = {i: sum(x[2][i] for x in left) for i in waiting}
+        best = max(waiting, key=lambda i: (worth(i), -cost[i], -i))
         out.append(rules[best])
         waiting.remove(best)
         left = [x for x in left if not x[0][best]]

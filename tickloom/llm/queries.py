@@ -113,7 +113,9 @@ repeated as (select r, count(distinct p) as n from twice group by r),
 base as (
   select doc_id, t, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(repeated.n, 0)::bigint as n_repeat_words, len(lines) as n_lines
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(repeated.n, 0)::bigint as n_repeat_words, len(lines) as n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}\x{{25CF}}\x{{25AA}}][\x20\x09]+[^\x20\x09-\x0D]'))) as n_bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09\x0D]*$'))) as n_broken_off
   from w left join repeated using (r)),
 judged as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base)
@@ -122,7 +124,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or word_chars < 2 * n_words or word_chars > 15 * n_words
     or 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
     or length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(regexp_replace(t, '[^a-z]', '', 'g')) + 20
-    or 2 * (length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g'))) < word_chars) as kept
+    or 2 * (length(t) - length(regexp_replace(t, '\p{{L}}', '', 'g'))) < word_chars
+    or n_lines > 1 and 10 * n_bullets > 9 * n_lines
+    or n_lines > 1 and 10 * n_broken_off > 3 * n_lines) as kept
 from judged"""
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
