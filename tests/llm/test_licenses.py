@@ -2,6 +2,9 @@
 
 import random
 import textwrap
+import time
+
+import numpy as np
 
 from tickloom.llm import licenses
 
@@ -146,3 +149,19 @@ def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, line), (None, line), (1, line), (1, f"some other words\n{line}\n{line}"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["license_id"], r["n_parts"]) for r in licenses.scan(df).collect()}
     assert got == {None: ("mit-line", 2), 1: ("mit-line", 3)}
+
+
+def test_very_many_notices_in_one_text():
+    """Windows are swept in order: four times the notices take about four times as long, and each of them counts."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD, licenses.longer())
+    notice = licenses.TEMPLATES["mit-line"]
+
+    def took(n):
+        buf = np.frombuffer(" and so on it goes. ".join([notice] * n).encode(), np.uint8)
+        began = time.process_time()
+        found = list(scanner.scan(buf, np.array([0, len(buf)])))
+        assert len(found) == n and {x[1] for x in found} == {"mit-line"}
+        return time.process_time() - began
+
+    took(500)
+    assert took(12_000) < 10 * took(3_000) + 0.5

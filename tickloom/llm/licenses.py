@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 from math import ceil
 from pathlib import Path
@@ -173,13 +174,33 @@ class Scanner:
                 if (d := 2 * shared / (len(own) + len(want))) >= self.threshold:
                     got.append((-shared, -d, a, b, self.wide[k][0]))
         for number, got in found.items():
-            told: list[tuple] = []
+            mine = sorted((x, y, shared) for x, y, _, shared in parts.get(number, []))
+            # lines lie apart; only the whole text covers them
+            across = [p for p in mine if len(mine) > 1 and p[0] <= mine[0][0] and p[1] >= max(y for _, y, _ in mine)] if mine else []
+            apart = [p for p in mine if p not in across]
+            starts = [x for x, _, _ in apart]
+
+            def covered(a: int, b: int, shared: int) -> bool:
+                """Whether a matching line or text with at least as many shared bigrams overlaps [a, b)."""
+                if any(x < b and a < y and n >= shared for x, y, n in across):
+                    return True
+                k = bisect_left(starts, b)
+                while k and apart[k - 1][1] > a:
+                    k -= 1
+                    if apart[k][2] >= shared:
+                        return True
+                return False
+
+            # windows that count lie apart, or are one and the same: the last that starts before b tells all
+            told: list[tuple[int, int, tuple]] = []
             for less, d, a, b, name in sorted(got):
-                if any(x < b and a < y and shared >= -less for x, y, _, shared in parts.get(number, [])):
+                key = (less, d, a, b)
+                if covered(a, b, -less):
                     continue
-                if any(x < b and a < y and (less, d, a, b) != other for x, y, other in told):
+                k = bisect_left(told, (b,))
+                if k and told[k - 1][1] > a and told[k - 1][2] != key:
                     continue
-                told.append((a, b, (less, d, a, b)))
+                told.insert(k, (a, b, key))
                 yield number, name, -d
 
     def windows(self, k: int, mine: np.ndarray, h: np.ndarray, line: np.ndarray, lo: int, hi: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
