@@ -74,10 +74,32 @@ def test_rare_languages_are_learned(spark):
     assert langid._shared([b"abc", b"d" * 50, b"e" * 50], 40) == b"abc " + b"d" * 17 + b" " + b"e" * 17
 
 
+def test_other_labels_take_nothing_from_a_language(spark):
+    texts = [(i, f"word{i % 7} and text{i % 11} " * 40, "en") for i in range(80)]
+    junk = [(1000 + i, "xyz " * 50, f"junk{i}") for i in range(120)]
+    alone = langid.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    beside = langid.learn(spark.createDataFrame(texts + junk, "doc_id long, text string, lang string"))
+    assert beside["en"] == alone["en"] and len(beside) == 121
+
+
+def test_packed_automata():
+    rng = random.Random(8)
+    texts = {"ab": bytes(rng.choice(b"ab ") for _ in range(700)), "wide": "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)).encode(), "one": b"a", "none": b""}
+    code, width = langid.alphabet(texts)
+    for text in texts.values():
+        go = langid.suffix_automaton(text)
+        packed = langid.Packed.of(go, code, width)
+        state, byte = (x.ravel() for x in np.meshgrid(np.arange(len(go) + 1), np.arange(256)))
+        want = [go[s - 1].get(b, -1) + 1 if s else 0 for s, b in zip(state.tolist(), byte.tolist())]
+        assert packed.step(state, code[byte]).tolist() == want
+        assert not packed.step(np.arange(len(go) + 1), width - 1).any()  # padding
+        assert packed.size() < 60 * len(text) + 64 * width
+
+
 def test_language(spark, languages):
     sample = langid.learn(languages)
     assert set(sample) == set(SYLLABLES)
-    small = langid.learn(languages, bytes_in_all=900)
+    small = langid.learn(languages, bytes_per_language=300)
     assert set(small) == set(SYLLABLES) and all(100 < len(v) <= 300 for v in small.values())
     got = langid.identify(languages, sample, ["doc_id", "lang"]).collect()
     assert len(got) == languages.count()

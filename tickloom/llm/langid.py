@@ -7,13 +7,19 @@ isn't; the language with the fewest phrases, times the bits that point at a plac
 All texts are parsed side by side, in blocks. A block is first parsed as if a phrase began with it; then the phrase that
 runs into it from the block before is followed, until it ends where a phrase of the first parse begins: from there on
 both are the same. So phrases are the whole text's, wherever blocks are cut.
+
+A state of an automaton has one way out or few, so its transitions are packed into one array for all states: each state
+has an offset, at which the place of a byte holds the next state and, as a check, the state that it belongs to. That takes
+some 40 bytes for each byte of a sample, whatever bytes there are.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import slices
@@ -26,20 +32,20 @@ _KEEP[128:] = np.arange(128, 256)
 _KEEP[65:91] = np.arange(97, 123)
 
 
-def learn(docs: DataFrame, texts_per_language: int = 64, bytes_per_language: int = 48_000, bytes_in_all: int = 1_000_000) -> dict[str, bytes]:
+def learn(docs: DataFrame, texts_per_language: int = 64, bytes_per_language: int = 48_000) -> dict[str, bytes]:
     """Training text per language, from labelled rows (columns doc_id, text, lang).
 
-    The bounds: texts_per_language texts of each label, by hash order of doc_id, and bytes_per_language bytes, or less
-    where there are so many labels that all together would exceed bytes_in_all (a worker's tables take some 500 bytes
-    for each). A label's bytes are spread over its texts: each gives a stretch from a place that its hash chooses. Null
-    labels, and texts that are null or have no letter, teach nothing. Without any usable row the result is empty.
+    The bounds, of each label by itself: texts_per_language texts, by hash order of doc_id, and bytes_per_language bytes,
+    which are spread over these texts: each gives a stretch from a place that its hash chooses. Null labels, and texts that
+    are null or have no letter, teach nothing. Without any usable row the result is empty. Labels are languages: what the
+    driver and a worker hold grows with their number, 48 kB of text and 2 MB of packed automaton for each.
     """
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
     share = {r["lang"]: min(1.0, 4.0 * texts_per_language / r["count"]) for r in counts}
-    most = max(1, min(bytes_per_language, bytes_in_all // len(counts)))
+    most = bytes_per_language
     longest = 4 * -(-most // texts_per_language)  # characters of a stretch; what short texts leave is filled from longer ones
     room = F.greatest(F.length("text") - longest + 1, F.lit(1))
     few = (
@@ -96,24 +102,98 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return go
 
 
+class Packed:
+    """An automaton's transitions in one array. State 0 has none, state 1 is the start."""
+
+    def __init__(self, base: np.ndarray, owner: np.ndarray, next_: np.ndarray, width: int):
+        self.base, self.owner, self.next = base, owner, next_
+        self.opening = self.step(np.full(width, 1), np.arange(width))
+
+    @classmethod
+    def of(cls, go: list[dict[int, int]], code: np.ndarray, width: int) -> Packed:
+        ways = np.fromiter(map(len, go), np.int64, len(go))
+        base = np.zeros(len(go) + 1, np.int32)
+        # states with several ways, the most first, each at an offset not far from the last where all its places are free
+        taken = bytearray(2 * width)
+        taken[:width] = b"\x01" * width  # offset 0 belongs to state 0 alone
+        near, several = width, []
+        for state in np.argsort(-ways, kind="stable")[: int((ways > 1).sum())].tolist():
+            codes = code[list(go[state])].tolist()
+            first = min(codes)
+            at = near - first
+            while any(taken[at + c] for c in codes):
+                at += 1
+                if at + width >= len(taken):
+                    taken.extend(bytes(len(taken)))
+            for c in codes:
+                taken[at + c] = 1
+            near += (at + first - near) // 8
+            several.append((state, at, codes))
+        free = np.frombuffer(taken, np.uint8) == 0
+        owner, next_ = np.full(len(free), -1, np.int32), np.zeros(len(free), np.int32)
+        for state, at, codes in several:
+            base[state + 1] = at
+            owner[np.asarray(codes) + at] = state + 1
+            next_[np.asarray(codes) + at] = np.fromiter(go[state].values(), np.int64, len(codes)) + 1
+        # states with one way take what is left, in order
+        single = np.flatnonzero(ways == 1)
+        spots = np.flatnonzero(free)
+        if len(spots) < len(single):
+            more = len(single) - len(spots)
+            spots = np.r_[spots, len(free) + np.arange(more)]
+            owner, next_ = np.r_[owner, np.full(more, -1, np.int32)], np.r_[next_, np.zeros(more, np.int32)]
+        spots = spots[: len(single)]
+        byte, to = (np.fromiter((x for s in single.tolist() for x in pick(go[s])), np.int32, len(single)) for pick in (dict.keys, dict.values))
+        base[single + 1] = spots - code[byte]
+        owner[spots], next_[spots] = single + 1, to + 1
+        used = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1
+        pad = np.full(2 * width, -1, np.int32)  # a state's places end beyond its last transition
+        return cls(base, np.r_[owner[:used], pad], np.r_[next_[:used], np.zeros(2 * width, np.int32)], width)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that the states go to with the bytes; 0 where there is no such transition."""
+        at = self.base[state] + code
+        return np.where(self.owner[at] == state, self.next[at], 0)
+
+    def size(self) -> int:
+        return self.base.nbytes + self.owner.nbytes + self.next.nbytes
+
+
+def alphabet(texts: dict[str, bytes]) -> tuple[np.ndarray, int]:
+    """A code for each byte, and their number. Code 0: a byte that no sample has; the last: padding."""
+    seen = sorted(set().union(*texts.values()))
+    code = np.zeros(256, np.int32)
+    code[seen] = np.arange(1, len(seen) + 1)
+    return code, len(seen) + 2
+
+
+def pack(spark: SparkSession, texts: dict[str, bytes]) -> dict[str, tuple[bytes, bytes, bytes]]:
+    """The packed automaton of each sample, built by a task for each language."""
+    code, width = alphabet(texts)
+
+    def build(batches):
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                made = Packed.of(suffix_automaton(text), code, width)
+                parts = [pa.array([x.tobytes()], pa.binary()) for x in (made.base, made.owner, made.next)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), *parts], names=["lang", "base", "owner", "next"])
+
+    rows = spark.createDataFrame(pa.table({"lang": pa.array(list(texts), pa.string()), "text": pa.array(list(texts.values()), pa.binary())}))
+    built = rows.repartition(max(1, len(texts)), "lang").mapInArrow(build, "lang string, base binary, owner binary, next binary")
+    return {r["lang"]: (bytes(r["base"]), bytes(r["owner"]), bytes(r["next"])) for r in built.toLocalIterator()}
+
+
 class Parser:
-    """The automata of all languages as dense tables: one numpy step moves every block of every text by one byte."""
+    """The automata of all languages: one numpy step moves every block of every text by one byte."""
 
-    def __init__(self, texts: dict[str, bytes]):
+    def __init__(self, texts: dict[str, bytes], packed: dict[str, tuple[bytes, bytes, bytes]] | None = None):
         self.langs = sorted(texts)
-        seen = sorted(set(b"".join(texts.values())))
-        self.width = len(seen) + 2  # code 0: a byte that no sample has; the last code: padding
-        self.code = np.zeros(256, np.int32)
-        self.code[seen] = np.arange(1, len(seen) + 1)
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            go = suffix_automaton(texts[lang])
-            table = np.zeros((len(go) + 1, self.width), np.int32)  # row 0: no such transition; row 1: the start
-            for state, moves in enumerate(go):
-                for c, to in moves.items():
-                    table[state + 1, self.code[c]] = (to + 1) * self.width
-            self.tables.append(table.ravel())
-            self.bits.append(np.log2(len(texts[lang]) + 1))
+        self.code, self.width = alphabet(texts)
+        if packed is None:
+            self.tables = [Packed.of(suffix_automaton(texts[lang]), self.code, self.width) for lang in self.langs]
+        else:
+            self.tables = [Packed(*(np.frombuffer(x, np.int32) for x in packed[lang]), self.width) for lang in self.langs]
+        self.bits = [np.log2(len(texts[lang]) + 1) for lang in self.langs]
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Phrases, times their bits, of each text (rows) under each language (columns)."""
@@ -140,23 +220,23 @@ class Parser:
             out[:, i] = np.bincount(doc, count, n) * self.bits[i]
         return out
 
-    def _parse(self, table: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _parse(self, table: Packed, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of blocks (columns) that begin with a phrase: where phrases begin, and the state after the last byte.
 
         State 0 has no transition, so that a phrase begins after it; a byte that no sample has leads there.
         """
-        opened = table[self.width + grid]  # the state that a phrase's first byte leads to
+        opened = table.opening[grid]  # the state that a phrase's first byte leads to
         state = np.zeros(grid.shape[1], np.int32)
         begins = np.empty(grid.shape, bool)
         for k, c in enumerate(grid):
-            to = table[state + c]
+            to = table.step(state, c)
             new = np.equal(to, 0, out=begins[k])
             state = np.where(new, opened[k], to)
         return begins, state
 
-    def _carried(self, table: np.ndarray, grid: np.ndarray, left: np.ndarray, begins: np.ndarray, end: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    def _carried(self, table: Packed, grid: np.ndarray, left: np.ndarray, begins: np.ndarray, end: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """How many phrases fewer or more each block has if the one before it runs on into it; `end` is brought up to date."""
-        opening = table[self.width : 2 * self.width]
+        opening = table.opening
         change, alone = np.zeros(grid.shape[1], np.int64), end.copy()
         is_inner = np.zeros(grid.shape[1] + 1, bool)
         is_inner[blocks] = True
@@ -173,7 +253,7 @@ class Parser:
                 if not len(at):
                     break
                 c, first = grid[k, at], begins[k, at]
-                to = table[state + c]
+                to = table.step(state, c)
                 new = to == 0
                 change[at] += new.astype(np.int64) - first
                 same = new & first
@@ -192,15 +272,15 @@ class Parser:
         return change
 
 
-_built: dict[int, Parser] = {}
+_built: dict[str, Parser] = {}
 
 
-def _parser(texts: dict[str, bytes]) -> Parser:
-    """One parser for each sample and worker process; it is built once, not once a partition."""
-    key = hash(tuple(sorted(texts.items())))
+def _parser(given) -> Parser:
+    """One parser for each sample and worker process."""
+    key, texts, packed = given.value
     if key not in _built:
         _built.clear()
-        _built[key] = Parser(texts)
+        _built[key] = Parser(texts, packed)
     return _built[key]
 
 
@@ -212,12 +292,12 @@ def identify(docs: DataFrame, sample: dict[str, bytes], keys: list[str]) -> Data
     costs go to the first language by name. Repeated rows each get their row; other columns of docs are left out.
     """
     spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(sample)
+    given = spark.sparkContext.broadcast((uuid.uuid4().hex, sample, pack(spark, sample) if sample else {}))
     asked = docs.select(*keys, F.lower("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = docs.select(*keys).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        parser = _parser(given.value)
+        parser = _parser(given)
         for rows, buf, offs in slices(batches, "_text", 4 << 20):
             known = np.asarray(rows.column(len(keys) + 1).to_pylist(), bool) & bool(parser.langs)
             lang, score = np.full(rows.num_rows, "und", object), np.zeros(rows.num_rows)
