@@ -74,3 +74,16 @@ def test_placement_is_longest_first(spark):
         loads[s] += sizes[name]
     got = {r["doc_id"]: r["shard"] for r in sharding.assign(df, shards, bundles).collect()}
     assert got == {i: place[key[t] if key[t] in heavy else bundle[key[t]]] for i, t in enumerate(texts)}
+
+
+def test_very_many_rows_alike_are_spread_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 50)
+    monkeypatch.setattr(sharding, "REPEATED", 4)
+    rows = [(1, "same")] * 900 + [(None, None)] * 700 + [(k, f"text {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sharding.assign(df, 3).collect()
+    assert len(got) == len(rows)
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert len({r["shard"] for r in got if r["doc_id"] == 1 and r["size"] == 5}) == 1
