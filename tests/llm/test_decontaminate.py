@@ -48,10 +48,24 @@ def test_against_all_pairs(spark, corpus, monkeypatch):
     assert left == set(range(len(corpus))) - {w[0] for w in want}
     monkeypatch.setattr(d, "LISTED", 3)  # too many ids to broadcast
     assert {r["doc_id"] for r in d.clean(df, bench).collect()} == left
-    monkeypatch.setattr(d, "_bloom", lambda signatures: (np.full(1 << 10, 2**64 - 1, np.uint64), 16))  # a filter that stops nothing
+    monkeypatch.setattr(d, "_bloom", lambda *_: (np.full(1 << 10, 2**64 - 1, np.uint64), 16))  # a filter that stops nothing
     assert sorted(tuple(r)[:4] for r in d.contained(df, bench).collect()) == want
 
 
+def test_several_filters(spark, docs, corpus, monkeypatch):
+    items = [(k, " ".join((t or "").split()[3:23])) for k, t in enumerate(corpus)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, d.contained(docs, bench).collect()))
+    assert len(want) > 10
+    made = []
+    one = d._bloom
+    monkeypatch.setattr(d, "_bloom", lambda signatures, many: made.append(many) or one(signatures, many))
+    monkeypatch.setattr(d, "BITS", 11)  # 2,048 bits, and 128 signatures for each filter
+    monkeypatch.setattr(d, "KNOWN", 3)
+    assert sorted(map(tuple, d.contained(docs, bench).collect())) == want
+    assert len(made) > 2
+
+
 def test_filter_passes_all_it_holds():
     h = np.random.default_rng(1).integers(0, 2**63, 2000).astype(np.uint64)
     bloom = np.zeros(1 << 14, np.uint64)

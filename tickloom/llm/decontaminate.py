@@ -7,7 +7,8 @@ long enough, is then verified by exact shingle containment. Nothing is missed, a
 the threshold.
 
 Items and signatures stay tables. What goes to every executor is a Bloom filter of the signatures, of a bounded number of
-bits, which lets most shingles go where they are made; what passes it is joined with the signatures.
+bits, which lets most shingles go where they are made; what passes it is joined with the signatures. Signatures that are
+too many for one filter are dealt by hash into several, and documents are probed with one after the other.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from ._common import LOWER, materialise, mix, ngrams, prefix_hash, range_hash, s
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BITS = 28  # the filter has 2**BITS bits (32 MB) at most, and 128 for each signature below that
+BITS = 28  # a filter has 2**BITS bits (32 MB) at most, and 128 for each signature below that
+LEAST = 16  # bits for each signature, below which there are more filters: one shingle in 400 passes then
 PROBES = 4
+KNOWN = 50_000  # shingles of items that a task remembers, about
 LISTED = 1 << 20  # ids of documents to drop that are broadcast; more of them are joined by a shuffle
 
 
@@ -68,9 +71,8 @@ def _spots(h: np.ndarray, n: int, bits: int) -> Iterator[np.ndarray]:
         yield (mix(h + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bloom(signatures: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter's 64-bit words and number of bits: each word is put together on the executors."""
-    many = signatures.count()
+def _bloom(signatures: DataFrame, many: int) -> tuple[np.ndarray, int]:
+    """The filter's 64-bit words and number of bits, for `many` signatures: each word is put together on the executors."""
     bits = min(BITS, max(16, (128 * many).bit_length()))
 
     def places(batches):
@@ -94,14 +96,14 @@ def _maybe(bloom: np.ndarray, bits: int, h: np.ndarray, n: int) -> np.ndarray:
     return left
 
 
-def _candidates(docs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) that may meet a signature, with their number of words and the shingles' hashes."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(signatures))
-    sizes = sorted(r["n"] for r in signatures.select("n").distinct().collect())
+def _candidates(docs: DataFrame, keys: list[str], signatures: DataFrame, many: int, sizes: list[int]) -> DataFrame:
+    """The columns `keys` of the rows of docs that may meet a signature, with their number of words and the shingles' hashes."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(signatures, many))
+    asked = docs.select(*keys, F.col("text").alias("_text"))
 
     def run(batches):
         table, bits = bloom.value
-        for rows, buf, offs in slices(batches, "text"):
+        for rows, buf, offs in slices(batches, "_text"):
             low = LOWER[buf]
             s, e, doc = words(low, offs)
             h = range_hash(prefix_hash(low), s, e)
@@ -118,10 +120,30 @@ def _candidates(docs: DataFrame, signatures: DataFrame) -> DataFrame:
             met = pa.StructArray.from_arrays([pa.array(n[by]), pa.array(g[by].view(np.int64))], names=["n", "h"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), met)
             taken = rows.take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.bincount(doc, minlength=rows.num_rows)[some].astype(np.int64)), lists], names=["doc_id", "text", "n_words", "met"])
-
-    schema = StructType(docs.schema.fields[:]).add("n_words", "long").add("met", ArrayType(StructType().add("n", "integer").add("h", "long")))
-    return docs.mapInArrow(run, schema)
+            n_words = pa.array(np.bincount(doc, minlength=rows.num_rows)[some].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*taken.columns[: len(keys)], n_words, lists], names=[*keys, "n_words", "met"])
+
+    schema = docs.select(*keys).schema.add("n_words", "long").add("met", ArrayType(StructType().add("n", "integer").add("h", "long")))
+    return asked.mapInArrow(run, schema)
+
+
+def _probed(docs: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_row, n_words and a shingle n, h of documents that may meet a signature; _row, doc_id and text of these documents)."""
+    counts = {r["n"]: r["count"] for r in signatures.groupBy("n").count().collect()}  # five sizes at most
+    many, sizes = sum(counts.values()), sorted(counts)
+    filters = -(-LEAST * many >> BITS) if many else 1
+    if filters <= 1:
+        rows = materialise(_candidates(docs.select("doc_id", "text"), ["doc_id", "text"], signatures, many, sizes), "decontaminate-documents").withColumn("_row", F.monotonically_increasing_id())
+        return rows.select("_row", "n_words", F.explode("met").alias("x")), rows.select("_row", "doc_id", "text")
+    rows = materialise(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "decontaminate-documents")
+    met = []
+    for k in range(filters):
+        own = signatures.where(F.pmod(F.xxhash64("h"), F.lit(filters)) == k)
+        met.append(materialise(_candidates(rows, ["_row"], own, -(-many // filters), sizes), f"decontaminate-met-{k}").select("_row", "n_words", F.explode("met").alias("x")))
+    every = met[0]
+    for m in met[1:]:
+        every = every.unionByName(m)
+    return every, rows.select("_row", "doc_id", "text")
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -145,24 +167,37 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["_item", "n", "size", "h"])
 
     signatures = materialise(items.select("_item", "text").mapInArrow(sign, "_item long, n int, size long, h long"), "decontaminate-signatures")
-    rows = materialise(_candidates(docs.select("doc_id", "text"), signatures), "decontaminate-documents").withColumn("_row", F.monotonically_increasing_id())
-    met = rows.select("_row", "n_words", F.explode("met").alias("x")).select("_row", "n_words", "x.n", "x.h")
+    met, rows = _probed(docs, signatures)
+    met = met.select("_row", "n_words", "x.n", "x.h")
     # a document with fewer words than the shared shingles take up can't contain the item
     long_enough = F.col("n_words") >= F.ceil(F.col("size") * threshold - 1e-6) + F.col("n") - 1
     pairs = met.join(signatures, ["n", "h"]).where(long_enough).select("_row", "_item").distinct()
-    both = pairs.join(items.withColumnRenamed("text", "_wanted"), "_item").join(rows.select("_row", "doc_id", "text"), "_row")
+    both = pairs.join(items.withColumnRenamed("text", "_wanted"), "_item").join(rows, "_row")
     ids = [docs.select("doc_id").schema.fields[0], items.schema["item_id"]]
     schema = docs.select("doc_id").schema.add(ids[1]).add("n_shingles", "long").add("n_shared", "long").add("containment", "double")
 
     def verify(batches):
         last, parts, own = None, [], {}
+        items: dict[str, tuple[set[bytes], int]] = {}  # parsed before
+        held = 0
+
+        def parsed(wanted: str) -> tuple[set[bytes], int]:
+            nonlocal held
+            if wanted not in items:
+                if held > KNOWN:
+                    items.clear()
+                    held = 0
+                item = _parts(wanted.encode())
+                items[wanted] = shingles(item), min(SHINGLE, len(item))
+                held += len(item)
+            return items[wanted]
+
         for b in batches:
             at, found = [], []
             for k, (row, text, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_row", "text", "_wanted")))):
                 if row != last:
                     last, parts, own = row, _parts(text.encode()), {}
-                item = _parts(wanted.encode())
-                want, n = shingles(item), min(SHINGLE, len(item))
+                want, n = parsed(wanted)
                 if n not in own:
                     own[n] = shingles(parts, n) if len(parts) >= n else set()
                 shared = len(want & own[n])
