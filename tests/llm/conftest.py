@@ -30,3 +30,15 @@ def corpus():
 @pytest.fixture()
 def docs(spark, corpus):
     return spark.createDataFrame(rows(corpus), SCHEMA)
+
+
+@pytest.fixture()
+def short_plans(spark):
+    """For queries of many small jobs: fewer tasks, and no code generated for each plan."""
+    own = {"spark.sql.shuffle.partitions": "3", "spark.sql.codegen.wholeStage": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import prefix_trie
 
+pytestmark = pytest.mark.usefixtures("short_plans")
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
@@ -57,7 +58,7 @@ def made(rng, n, turns, kinds=2, most=12):
     return [(c, k, rng.choice(["user", None]), rng.choice(["é", "long text", "", None][:kinds])) for c in rng.sample(range(-60, 3000), n) for k in range(rng.randint(1, turns))]
 
 
-@pytest.mark.parametrize("turns,kinds", [(4, 2), (9, 1), (40, 1), (20, 4)])
+@pytest.mark.parametrize("turns,kinds", [(9, 1), (30, 3)])
 def test_against_dictionary(spark, turns, kinds):
     rng = random.Random(turns + kinds)
     rows = made(rng, 120, turns, kinds)

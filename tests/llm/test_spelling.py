@@ -12,6 +12,8 @@ from tickloom.llm import spelling
 
 from .conftest import SCHEMA, rows
 
+pytestmark = pytest.mark.usefixtures("short_plans")
+
 
 def brute(docs, least_length=6, least=5, every=199, factor=5):
     n = Counter()
@@ -58,8 +60,7 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("tile", [spelling.TILE, 7])
-@pytest.mark.parametrize("every", [199, 3])
+@pytest.mark.parametrize("tile,every", [(spelling.TILE, 199), (7, 3)])
 def test_against_plain_version(spark, texts, monkeypatch, tile, every):
     monkeypatch.setattr(spelling, "FLUSH", 40)
     df = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
