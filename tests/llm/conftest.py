@@ -34,8 +34,8 @@ def docs(spark, corpus):
 
 @pytest.fixture()
 def short_plans(spark):
-    """For queries of many small jobs: fewer tasks, and no code generated for each plan."""
-    own = {"spark.sql.shuffle.partitions": "3", "spark.sql.codegen.wholeStage": "false"}
+    """For queries of many small jobs: fewer tasks."""
+    own = {"spark.sql.shuffle.partitions": "3"}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
