@@ -102,3 +102,38 @@ def test_no_anchor_and_no_table(spark):
     bars = spark.createDataFrame([], "exchange string, symbol string, period_date date, open double, high double, low double, close double, volume double")
     fmap = fm.FeatureMap({"stock": {"close": {"enabled": True}}})
     assert fm.vectors(bars.select(*ft.KEY).withColumn("x", F.lit(1)), bars, fmap, {}, 5).count() == 0
+
+
+def test_no_window_is_shuffled(spark, reports):
+    """A window is some `preceding` times as large as a bar: all joins that move rows come before it."""
+    days = [d("2020-05-01") + dt.timedelta(k) for k in range(8)]
+    bars = spark.createDataFrame([("X", "A", x, 1.0, 2.0, 0.5, 3.0, 5.0) for x in days], "exchange string, symbol string, period_date date, open double, high double, low double, close double, volume double")
+    info = spark.createDataFrame([("X", "A", True)], "exchange string, symbol string, etf boolean")
+    interest = spark.createDataFrame([("X", "A", days[2], 7.0)], "exchange string, symbol string, date date, relative_interest double")
+    anchors = spark.createDataFrame([("X", "A", days[6], c) for c in ("P", "N", "N")] + [("X", "A", d("2021-01-01"), "P")], "exchange string, symbol string, period_date date, cls string")
+    out = fm.vectors(anchors, bars, fm.FeatureMap(TREE, exchanges=("X", "Y")), {"interest": interest, "info": info, "reports": reports}, 5)
+    assert sorted(r["cls"] for r in out.collect()) == ["N", "N", "P"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    above = plan[: plan.index("collect_list(_day")]
+    assert "Exchange" not in above
+
+
+@pytest.mark.parametrize("preceding", [30, 200])
+def test_financials_as_of(spark, reports, preceding):
+    """The same quarters as by a join of each anchor with its reports; repeated anchors stay."""
+    days = [("X", s, d("2020-04-01") + dt.timedelta(9 * k)) for s in "AB" for k in range(60)] + [("X", "A", d("2020-05-10"))] * 2
+    inst = spark.createDataFrame(days, "exchange string, symbol string, period_date date")
+    rows = ft.financials_as_of(inst, reports, preceding, ["Assets", "Debt"], True, "scaled", "scaled").collect()
+    assert len(rows) == len(days)
+    for r in rows:
+        flag, quarters = plain((r["exchange"], r["symbol"], r["period_date"]), preceding, ["Assets", "Debt"], "scaled")
+        assert r["_not_filed"] == flag and [list(q) for q in r["_quarters"]] == [pytest.approx(q) for q in quarters]
+    pairs = preceding_reports(inst, reports, preceding)
+    want = sum(a[:2] == r[:2] and a[2] - dt.timedelta(preceding + 1) <= r[4] <= a[2] for a in days for r in REPORTS)
+    assert pairs.count() == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "filed" in plan and plan.index("Union") < plan.index("Join")  # bars meet no report in a join
