@@ -61,3 +61,35 @@ def test_update_where_groups_share_ids(spark):
     old, new = df.where("vec_id < 3"), df.where("vec_id = 3")
     got = sim.update_distance_sums(sim.distance_sums(old, "label", "vec_id", "v"), old, new, "label", "vec_id", "v")
     assert {(r["label"], r["vec_id"]): r["value"] for r in got.collect()} == {(1, 1): 3, (1, 2): 2, (1, 3): 3, (2, 1): 6, (2, 2): 4, (2, 3): 6}
+
+
+def test_small_groups_are_not_dealt_to_python_one_by_one(spark):
+    """Many groups of some hundred vectors: one block each, and one Python call for all of a partition."""
+    df = spark.range(3000).selectExpr("id % 100 as g", "id as vec_id", "array(id / 7.0d, 1.0d) as v")
+    out = sim.distance_sums(df, "g", "vec_id", "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan and "MapInArrow" in plan
+    got = {r["vec_id"]: r["value"] for r in out.collect()}
+    assert len(got) == 3000 and got[0] == pytest.approx(sum(k * 100 / 7 for k in range(30)))
+
+
+def test_runs_across_batches(spark):
+    """Groups that begin in one Arrow batch and end in a later one, null keys and none at all."""
+    import pyarrow as pa
+
+    from tickloom.functions.runs import each_run
+
+    df = spark.range(5000).selectExpr("nullif(id % 7, 3) as g", "cast(id % 2 as string) as h", "id as x")
+
+    def work(t):
+        x = t.column("x").to_pylist()
+        return pa.RecordBatch.from_arrays([t.column("g").slice(0, 1), t.column("h").slice(0, 1), pa.array([len(x)], pa.int64()), pa.array([x == sorted(x)])], names=["g", "h", "n", "sorted"])
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = each_run(df, ["g", "h"], ["x"], work, "g long, h string, n long, sorted boolean").collect()
+        assert each_run(df.limit(0), ["g", "h"], [], work, "g long, h string, n long, sorted boolean").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(r["g"], r["h"]): r["n"] for r in df.groupBy("g", "h").count().withColumnRenamed("count", "n").collect()}
+    assert {(r["g"], r["h"]): r["n"] for r in got} == want and len(got) == len(want) and all(r["sorted"] for r in got)

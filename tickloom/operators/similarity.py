@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runs import each_run
+
 
 def _sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -52,6 +54,8 @@ def similarity(df: DataFrame, a: str, b: str, metric: str) -> DataFrame:
 
 #: Vectors of a block at most, about; and values of one tile of differences.
 BLOCK, TILE = 2048, 1 << 21
+#: Vectors of a group at most that is done at once.
+SMALL = 1024
 
 
 def _cross(x, y):
@@ -73,8 +77,10 @@ def _cross(x, y):
 def _block_sums(rows: DataFrame, groups: list[str], block: int) -> DataFrame:
     """The group columns, i and s: sums of distances of vectors (i, v, fresh) over all pairs of a group with a fresh one.
 
-    A group has 16 blocks, and more as its count grows, so that a block stays bounded; each pair of blocks is a task's
-    work. In a pair of blocks, only fresh rows meet rows that are not.
+    A group of at most SMALL vectors is one block. A larger one has 16 blocks, and more as its count grows, so that a block
+    stays bounded and a large group spreads over many tasks; each pair of blocks is done at once. In a pair of blocks, only
+    fresh rows meet rows that are not. Pairs of blocks lie sorted in a task, which does one after the other: a call of
+    Python for each would take longer than the work where groups are small and many.
     """
     import numpy as np
     import pyarrow as pa
@@ -83,7 +89,9 @@ def _block_sums(rows: DataFrame, groups: list[str], block: int) -> DataFrame:
         of = right.withColumnsRenamed({g: f"_of_{g}" for g in groups})
         return left.join(of, [left[g].eqNullSafe(of[f"_of_{g}"]) for g in groups]).drop(*[f"_of_{g}" for g in groups])
 
-    count = rows.groupBy(*groups).agg(F.greatest(F.least(F.count("*"), F.lit(16)), F.ceil(F.count("*") / block)).cast("int").alias("m"))
+    n, small = F.count("*"), min(block, SMALL)
+    blocks = F.when(n <= small, 1).otherwise(F.greatest(F.least(n, F.lit(16)), F.ceil(n / block)))
+    count = rows.groupBy(*groups).agg(blocks.cast("int").alias("m"))
     rows = with_group(rows, count).withColumn("b", F.pmod(F.xxhash64("i"), F.col("m")).cast("int"))
     # a pair of blocks is left out if neither holds a fresh row
     some = rows.where("fresh").select(*groups, F.col("b").alias("o")).distinct().groupBy(*groups).agg(F.collect_set("o").alias("_with"))
@@ -91,11 +99,10 @@ def _block_sums(rows: DataFrame, groups: list[str], block: int) -> DataFrame:
     pair = F.explode(F.transform(other, lambda o: F.struct(F.least("b", o).alias("lo"), F.greatest("b", o).alias("hi")))).alias("p")
     dealt = with_group(rows, some).select(*groups, "i", "v", "fresh", "b", pair).select(*groups, "i", "v", "fresh", "b", "p.lo", "p.hi")
 
-    def work(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+    def work(t: pa.Table) -> pa.RecordBatch:
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         b, fresh = np.asarray(t.column("b")), np.asarray(t.column("fresh"))
-        v = np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(t), -1)
+        v = t.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
         at, sums = [], []
 
         def add(x, y, both=True):
@@ -112,10 +119,9 @@ def _block_sums(rows: DataFrame, groups: list[str], block: int) -> DataFrame:
             add(new, np.flatnonzero(b == hi))
             add(old, np.flatnonzero((b == hi) & fresh))
         rows = t.select([*groups, "i"]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *at])))
-        return rows.append_column("s", pa.array(np.concatenate([np.zeros(0), *sums])))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate([np.zeros(0), *sums]))], names=[*groups, "i", "s"])
 
-    schema = rows.select(*groups, "i").schema.add("s", "double")
-    return dealt.groupBy(*groups, "lo", "hi").applyInArrow(work, schema)
+    return each_run(dealt, [*groups, "lo", "hi"], [], work, rows.select(*groups, "i").schema.add("s", "double"))
 
 
 def _plain(vectors: DataFrame, groups: list[str], vec_id: str, vec: str, fresh: bool) -> DataFrame:
