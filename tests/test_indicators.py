@@ -70,3 +70,29 @@ def test_ema_variants():
     a = ind.ema_values(c, 5, variant="reference")
     b = ind.ema_values(c, 5, variant="textbook")
     assert a[4] == b[4] == 3 and a[5] == pytest.approx(3 + (2 - 3) / 3) and b[5] == pytest.approx(3 + (6 - 3) / 3)
+
+
+def test_bollinger_sums_in_order_of_date(spark):
+    """Mean and deviation to the last bit: sums in order, squares about the mean."""
+    import datetime as dt
+    import math
+    import random
+
+    from tickloom.operators.indicators import bollinger
+
+    rng = random.Random(5)
+    close = [round(rng.uniform(900, 2100), 2) / rng.randint(1, 50) for _ in range(300)]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(300)]
+    df = spark.createDataFrame([("X", "A", d, c) for d, c in zip(days, close)], "exchange string, symbol string, period_date date, close double")
+    got = {r["period_date"]: r for r in bollinger(df).collect()}
+    assert got[days[19]]["bb_mid"] is None
+    for i in range(20, 300):
+        total = apart = 0.0
+        for x in close[i - 20 : i]:
+            total += x
+        m = total / 20
+        for x in close[i - 20 : i]:
+            apart += (x - m) * (x - m)
+        s = math.sqrt(apart / 20)
+        r = got[days[i]]
+        assert (r["bb_low"], r["bb_mid"], r["bb_high"]) == (m - 2 * s, m, m + 2 * s)

@@ -79,7 +79,7 @@ def g2(spark, d):
     return out.select(*KEY, F.size("series").alias("n"), r4(F.col("series")[0][0]).alias("first_close"), r4(F.col("series")[4][1]).alias("last_high"))
 
 
-@register("g8_indicator_features", f"with {BARS_SQL}, i as (select *, avg(close) over w as m, stddev_pop(close) over w as s, case when close > pc then 1 else 0 end as g from b window w as (partition by exchange, symbol order by period_date rows between 20 preceding and 1 preceding)) select {K}, [floor((m - 2 * s) * 10000 + 0.5) / 10000, floor(m * 10000 + 0.5) / 10000, floor((m + 2 * s) * 10000 + 0.5) / 10000, g::double] as x from i where rn >= 20")
+@register("g8_indicator_features", f"with {BARS_SQL}, l as (select *, list(close) over (partition by exchange, symbol order by period_date rows between 20 preceding and 1 preceding) as l, case when close > pc then 1 else 0 end as g from b), a as (select *, list_reduce(l, lambda a, x: a + x) / 20 as m from l where rn >= 20), i as (select *, sqrt(list_reduce(list_transform(l, lambda x: (x - m) * (x - m)), lambda a, x: a + x) / 20) as s from a) select {K}, [floor((m - 2 * s) * 10000 + 0.5) / 10000, floor(m * 10000 + 0.5) / 10000, floor((m + 2 * s) * 10000 + 0.5) / 10000, g::double] as x from i where rn >= 20")
 def g8(spark, d):
     rows = ind.rgvb(ind.bollinger(bars(spark, d))).where("bb_mid is not null")
     return rows.select(*KEY, F.array(r4("bb_low"), r4("bb_mid"), r4("bb_high"), F.col("rgvb").cast("double")).alias("x"))
