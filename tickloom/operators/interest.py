@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runs import each_run
 from ..functions.scalars import TICKER
 
 
@@ -54,20 +56,22 @@ def project_months(daily: DataFrame, months: DataFrame, max_gap: int = 190) -> D
     sums = daily.groupBy(*TICKER, F.trunc("date", "month").alias("month")).agg(F.sum("relative_interest").alias("total"))
     rows = sums.join(months, [*TICKER, "month"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month", ignore_index=True)
-        days = pd.to_datetime(pdf["month"])
-        values = [None if v != v else v for v in pdf["value"].astype(float)]
-        for i, v in enumerate(values):
-            if v is None:
-                near = [values[j] / pdf["total"][j] for j in range(len(values)) if values[j] is not None and pdf["total"][j] > 0 and abs((days[i] - days[j]).days) < max_gap]
-                if near:
-                    values[i] = pdf["total"][i] * sum(near) / len(near)
-        top = max((v for v in values if v is not None), default=0)
-        scale = 100 / top if top > 100 else 1.0
-        return pdf[["exchange", "symbol", "month"]].assign(value=[None if v is None else v * scale for v in values])
-
-    return rows.groupBy(*TICKER).applyInPandas(run, "exchange string, symbol string, month date, value double")
+    def run(t: pa.RecordBatch) -> pa.RecordBatch:
+        days = t.column("month").cast(pa.int32()).to_numpy()
+        total, values = (t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("total", "value"))
+        known = ~np.isnan(values)
+        for i in np.flatnonzero(~known):
+            near = known & (total > 0) & (np.abs(days - days[i]) < max_gap)
+            if near.any():
+                share = values[near] / total[near]
+                values[i], known[i] = total[i] * np.add.accumulate(share)[-1] / len(share), True
+        top = max(values[known], default=0)
+        if top > 100:
+            values = values * (100 / top)
+        value = pa.array(values, mask=~known | np.isnan(values))
+        return pa.RecordBatch.from_arrays([*(t.column(c) for c in (*TICKER, "month")), value], names=[*TICKER, "month", "value"])
+
+    return each_run(rows, TICKER, ["month"], run, "exchange string, symbol string, month date, value double")
 
 
 def preceding_interest(inst: DataFrame, gi: DataFrame, preceding: int, offset: int = 2) -> DataFrame:
