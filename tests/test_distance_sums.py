@@ -1,5 +1,7 @@
 """Sums of distances: exact zeros at every size, bounded blocks, and updates without joining pairs."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -93,3 +95,20 @@ def test_runs_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {(r["g"], r["h"]): r["n"] for r in df.groupBy("g", "h").count().withColumnRenamed("count", "n").collect()}
     assert {(r["g"], r["h"]): r["n"] for r in got} == want and len(got) == len(want) and all(r["sorted"] for r in got)
+
+
+def test_pairs_of_a_large_group_are_dealt_in_blocks(spark):
+    """A group of many blocks: every pair once, smaller id first, and no task's work is the whole group."""
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(60, 3)).tolist()
+    rows = [(1, f"p{i}", p) for i, p in enumerate(points)] + [(2, "x", [1.0]), (2, "y", [3.0, 4.0]), (2, "z", None), (2, "w", [4.0]), (2, "v", [None])]
+    df = spark.createDataFrame(rows, "label int, vec_id string, v array<double>")
+    out = sim.self_pairs(df, ["label"], "vec_id", "v", block=8)
+    got = {(r["label"], r["a"], r["b"]): r["distance"] for r in out.collect()}
+    assert len(got) == 60 * 59 // 2 + 10 and all(a < b for _, a, b in got)
+    for i in range(60):
+        for j in range(60):
+            if f"p{i}" < f"p{j}":
+                assert got[1, f"p{i}", f"p{j}"] == pytest.approx(math.dist(points[i], points[j]))
+    assert {k[1:]: d for k, d in got.items() if k[0] == 2 and d is not None} == {("w", "x"): 3.0}
+    assert "_hi" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runs import each_run
+from ..functions.runs import each_run, runs
 
 
 def _sum(c: Column) -> Column:
@@ -140,14 +140,59 @@ def distance_sums(vectors: DataFrame, group: str | list[str], vec_id: str, vec:
     return parts.groupBy(*groups, "i").agg(F.sum("s").alias("value")).withColumnRenamed("i", vec_id)
 
 
-def self_pairs(vectors: DataFrame, group: list[str], vec_id: str, vec: str) -> DataFrame:
+def _matrix(lists):
+    """Vectors of an Arrow column as rows padded with zeros, their lengths, and whether one can be compared: it is not null and has no null."""
+    import numpy as np
+
+    size = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    out = np.zeros((len(lists), int(size.max(initial=0))))
+    flat, row = lists.flatten(), np.repeat(np.arange(len(lists)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    whole = np.asarray(lists.is_valid())
+    return out, size, whole & (np.bincount(row, np.asarray(flat.is_null()), len(lists)) == 0)
+
+
+def self_pairs(vectors: DataFrame, group: list[str], vec_id: str, vec: str, block: int = 512) -> DataFrame:
     """All pairs of a group's vectors, each once: the group's columns, a < b (ids) and their Euclidean distance.
 
-    As many rows as pairs: where only sums are asked for, distance_sums() makes none of them.
+    As many rows as pairs: where only sums are asked for, distance_sums() makes none of them. A group is dealt by id into
+    blocks of about `block` vectors; each pair of blocks is done at once, so that a large group spreads over as many tasks
+    as there are, and none holds more than two blocks and a part of their pairs. Vectors of different lengths, null ones
+    and those with a null have no distance.
     """
-    left = vectors.select(*group, F.col(vec_id).alias("a"), F.col(vec).alias("_va"))
-    right = vectors.select(*group, F.col(vec_id).alias("b"), F.col(vec).alias("_vb"))
-    return left.join(right, group).where("a < b").select(*group, "a", "b", euclidean(F.col("_va"), F.col("_vb")).alias("distance"))
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = vectors.select(*group, F.col(vec_id).alias("_i"), F.col(vec).cast("array<double>").alias("_v")).where(F.col("_i").isNotNull())
+    count = rows.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_m"))
+    dealt = rows.join(count, group).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_m")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o")
+    dealt = dealt.select(*group, "_i", "_v", "_b", other).select(*group, "_i", "_v", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+
+    def work(t: pa.RecordBatch) -> pa.RecordBatch:
+        lo, hi = t.column("_lo")[0].as_py(), t.column("_hi")[0].as_py()
+        b, ids = np.asarray(t.column("_b")), t.column("_i")
+        v, size, whole = _matrix(t.column("_v"))
+        place = np.asarray(pc.rank(ids, tiebreaker="dense")).astype(np.int64)
+        left, right = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        at, far, known = [], [], []
+        step = max(1, TILE // max(1, v.shape[1] * len(right)))
+        for k in range(0, len(left), step):
+            x = left[k : k + step]
+            i, j = np.nonzero(place[x, None] < place[None, right] if lo == hi else np.ones((len(x), len(right)), bool))
+            one, two = x[i], right[j]
+            far.append(np.sqrt(((v[x, None, :] - v[None, right, :]) ** 2).sum(2))[i, j])
+            known.append((size[one] == size[two]) & whole[one] & whole[two])
+            at.append(np.where(place[one] < place[two], [one, two], [two, one]))
+        a, z = np.concatenate([np.zeros((2, 0), np.int64), *at], axis=1)
+        told = [t.column(c).take(pa.array(a)) for c in group]
+        apart = pa.array(np.concatenate([np.zeros(0), *far]), mask=~np.concatenate([np.zeros(0, bool), *known]))
+        return pa.RecordBatch.from_arrays([*told, ids.take(pa.array(a)), ids.take(pa.array(z)), apart], names=[*group, "a", "b", "distance"])
+
+    schema = vectors.select(*group, F.col(vec_id).alias("a"), F.col(vec_id).alias("b")).schema.add("distance", "double")
+    together = lambda groups: pa.concat_batches([work(g) for g in groups])
+    return runs(dealt, [*group, "_lo", "_hi"], [], together, schema, 2 * block)
 
 
 def check_range(vectors: DataFrame, vec: str, low: float = 0.0, high: float = 1.25) -> DataFrame:
