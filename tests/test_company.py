@@ -115,3 +115,11 @@ def test_vix_file(spark, tmp_path):
     (tmp_path / "vix.csv").write_text("A title\nDate,Open,High,Low,Close\n1/2/2004,17.96,18.68,17.54,n/a\n")
     row = landed.read_vix_csv(spark, f"file://{tmp_path}/vix.csv").first()
     assert tuple(row) == (d("2004-01-02"), 17.96, 18.68, 17.54, 0.0, 0)
+
+
+def test_earnings_of_many_symbols_share_a_python_call(spark):
+    e = spark.range(900).selectExpr("concat('S', id % 300) as symbol", "'YAHOO' as source", "date_add(date'2020-01-01', cast(id % 40 as int)) as earnings_date", "date'2021-01-01' as input_date", "cast(null as date) as fiscal_quarter_ending", "1.0d as eps")
+    for out in (ear.cluster_dates(e), ear.typical_dates(e)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsIn" not in plan and "MapInArrow" in plan
+        assert out.select("symbol").distinct().count() == 300

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import TICKER, month_key
+from ..functions.runs import each_run
+from ..functions.scalars import month_key
+from ..session import written
 
 
 def drop_abnormal(e: DataFrame, days: int = 160) -> DataFrame:
@@ -60,15 +62,15 @@ def _clusters(dates: list[dt.date], days: int) -> list[int]:
 def cluster_dates(e: DataFrame, days: int = 7) -> DataFrame:
     """The last row of each cluster of dates around a running mean, with all columns of e.
 
-    A symbol's rows (four a year and source) go through one grouped function, as each step moves the mean.
+    A symbol's rows (four a year and source) are one group, as each step moves the mean; one Python call does all groups
+    of a partition.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["earnings_date", "input_date"], ignore_index=True)
-        k = _clusters(list(pdf["earnings_date"]), days)
-        return pdf[[n + 1 == len(k) or k[n + 1] != k[n] for n in range(len(k))]]
+    def work(t: pa.RecordBatch) -> pa.RecordBatch:
+        k = _clusters(t.column("earnings_date").to_pylist(), days)
+        return t.take(pa.array([n for n in range(len(k)) if n + 1 == len(k) or k[n + 1] != k[n]], pa.int64()))
 
-    return e.groupBy("symbol").applyInPandas(run, e.schema)
+    return each_run(e, ["symbol"], ["earnings_date", "input_date"], work, e.schema)
 
 
 def condense_upcoming(up: DataFrame, known: DataFrame) -> DataFrame:
@@ -129,19 +131,20 @@ def typical_dates(known: DataFrame, days: int = 30, same_end_days: int = 60, mos
     none. A row that finds no place is left out if it has no eps, and an error if it has. typical_date lies near the year
     of the quarter's first row.
 
-    A symbol's rows (four a year) go through one grouped function, as each row moves the means.
+    A symbol's rows (four a year) are one group, as each row moves the means; one Python call does all groups of a partition.
     """
     year = Window.partitionBy("symbol", F.year("earnings_date"))
     rows = known.withColumn("_n", F.count("*").over(year)).where(F.col("_n") <= per_year)
     rows = rows.select("symbol", "input_date", "earnings_date", F.date_format("fiscal_quarter_ending", "MM-dd").alias("ending"), F.col("source").eqNullSafe(trusted).alias("trusted"), F.col("eps").isNotNull().alias("figures"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trusted", "earnings_date", "input_date", "ending"], ascending=[False, True, True, True])
-        ending = [x if isinstance(x, str) else None for x in pdf["ending"]]
-        found = _quarters(list(zip(pdf["earnings_date"], ending, pdf["trusted"], pdf["figures"])), days, same_end_days, most)
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "quarter": range(len(found)), "typical_date": [q.mean() for q in found], "n": [q.n for q in found]})
+    def work(t: pa.RecordBatch) -> pa.RecordBatch:
+        found = _quarters(list(zip(*(t.column(c).to_pylist() for c in ("earnings_date", "ending", "trusted", "figures")))), days, same_end_days, most)
+        symbol = t.column("symbol").take(pa.array([0] * len(found), pa.int64()))
+        told = [pa.array(range(len(found)), pa.int32()), pa.array([q.mean() for q in found], pa.date32()), pa.array([q.n for q in found], pa.int64())]
+        return pa.RecordBatch.from_arrays([symbol, *told], names=["symbol", "quarter", "typical_date", "n"])
 
-    return rows.groupBy("symbol").applyInPandas(run, "symbol string, quarter int, typical_date date, n long")
+    order = [F.desc("trusted"), *[F.asc_nulls_last(c) for c in ("earnings_date", "input_date", "ending")]]
+    return each_run(rows, ["symbol"], order, work, "symbol string, quarter int, typical_date date, n long")
 
 
 def fix_aberrant(unsure: DataFrame, known: DataFrame, typical: DataFrame, most: int = 4, days: int = 30) -> DataFrame:
@@ -167,12 +170,12 @@ def derive_earnings(raw: DataFrame, exclude: tuple[str, ...] = EXCLUDED) -> Data
     """exchange, symbol, input_date, earnings_date: one known date per quarter, and the upcoming dates as they changed.
 
     Known dates without a fiscal quarter that no typical date of the symbol bears out are left out in symbols with an
-    aberrant year. Rows of NASDAQ get that exchange, others keep theirs.
+    aberrant year. Rows of NASDAQ get that exchange, others keep theirs. What several steps start from is written once.
     """
-    rows = drop_abnormal(raw.where(~F.col("symbol").isin(*exclude)) if exclude else raw)
+    rows = written(drop_abnormal(raw.where(~F.col("symbol").isin(*exclude)) if exclude else raw), "earnings")
     past, up = split_known(rows)
-    quarters = unique_fqe(past)
-    rest = cluster_dates(near_dups(past.where("fiscal_quarter_ending is null"), quarters))
+    quarters = written(unique_fqe(past), "quarters")
+    rest = written(cluster_dates(near_dups(past.where("fiscal_quarter_ending is null"), quarters)), "clusters")
     known = quarters.unionByName(rest)
     kept = quarters.unionByName(fix_aberrant(rest, known, typical_dates(known)))
     every = kept.unionByName(condense_upcoming(up, known))
