@@ -137,3 +137,23 @@ def test_financials_as_of(spark, reports, preceding):
     assert pairs.count() == want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "filed" in plan and plan.index("Union") < plan.index("Join")  # bars meet no report in a join
+
+
+def test_quarters_take_their_form_once_a_state(spark):
+    """The form of the quarters is made below the window that carries them to the anchors, and for anchors without any too."""
+    from tickloom.operators.features import financials_as_of
+
+    reports = spark.sql("select 'X' as exchange, 'A' as symbol, date'2020-03-31' as period, 1 as quarter, date'2020-05-01' as filed, map('Assets', 7.0d) as nums")
+    anchors = spark.sql("select 'X' as exchange, 'A' as symbol, explode(sequence(date'2020-04-29', date'2020-05-03')) as period_date")
+    out = financials_as_of(anchors, reports, 400, ["Assets"], form=lambda q: F.aggregate(q, F.lit(0.0), lambda a, x: a + x[6]))
+    assert [r["_quarters"] for r in out.orderBy("period_date").collect()] == [0, 0, 7, 7, 7]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert above.count("aggregate(") == 1  # of no quarters at all, for anchors before the first state
+
+
+def test_filings_are_numbered_once(spark):
+    from tickloom import registry
+
+    for name in ("g6_financial_vector", "g6_financial_features", "j9_preceding_reports"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS idx" not in plan and "l_shipdate" not in plan
