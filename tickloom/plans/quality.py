@@ -115,7 +115,7 @@ def j13(spark, d):
 
 @register("c5_damaged_tickers", f"{GAPS}, i as (select exchange, symbol, ordinal - row_number() over (partition by exchange, symbol order by ordinal) as g from gaps), r as (select exchange, symbol, count(*) as run from i group by exchange, symbol, g) select exchange, symbol, max(run) as longest from r where run > 12 group by 1, 2")
 def c5(spark, d):
-    return q.damaged_tickers(q.find_gaps(bars(spark, d), _days(spark, d)), 12)
+    return q.longest_gaps(bars(spark, d), cal.calendar(spark, *_years(spark, d)), 12)
 
 
 @register("c6_fill_stock_gaps", f"{GAPS}, filled as (select exchange, symbol, period_date, (select arg_max(x.close, x.period_date) from bars x where x.exchange = gaps.exchange and x.symbol = gaps.symbol and x.period_date < gaps.period_date) as c from gaps) select exchange, symbol, true as artificial, count(*) as n, round(sum(c), 4) as total from filled group by 1, 2 union all select exchange, symbol, false, count(*), round(sum(close), 4) from bars group by 1, 2".replace("round(sum(c), 4)", "round(avg(c), 2)").replace("round(sum(close), 4)", "round(avg(close), 2)"))
