@@ -116,3 +116,47 @@ def test_saved_sets(spark, tmp_path):
     n = {(r["set_id"], r["part"]): r["count"] for r in labels.read_sets(spark, path, "n").groupBy("set_id", "part").count().collect()}
     assert n == {(1, "train"): 4, (3, "test"): 3}
     assert labels.read_sets(spark, path, "m", 1).count() == 10 and labels.read_sets(spark, path, "m", 2).count() == 0
+
+
+def test_longest_gaps_are_those_of_the_missing_days(spark):
+    """Against the missing days themselves, with bars on weekends, repeated bars, and first and last bars on closed days."""
+    from tickloom.operators import calendar as cal
+
+    rng = random.Random(4)
+    start = dt.date(2020, 1, 1)
+    rows = [("X", f"S{k}", start + dt.timedelta(days=rng.randrange(600))) for k in range(12) for _ in range(rng.choice((2, 8, 30)))]
+    bars = spark.createDataFrame(rows + rows[:3], "exchange string, symbol string, period_date date")
+    days = cal.market_days(spark, 2020, 2021)
+    listed = {r["date"]: r["ordinal"] for r in days.collect()}
+    gaps, brute = set(), {}
+    for k in range(12):
+        own = {d for _, s, d in rows if s == f"S{k}"}
+        run = 0
+        for d in sorted(x for x in listed if min(own) <= x <= max(own)):
+            run = 0 if d in own else run + 1
+            if d not in own:
+                gaps.add((f"S{k}", d, listed[d]))
+            brute[f"S{k}"] = max(brute.get(f"S{k}", 0), run)
+    assert {tuple(r) for r in quality.find_gaps(bars, days).select("symbol", "period_date", "ordinal").collect()} == gaps
+    for out in (quality.longest_gaps(bars, cal.calendar(spark, 2020, 2021), 20), quality.damaged_tickers(quality.find_gaps(bars, days), 20)):
+        assert {r["symbol"]: r["longest"] for r in out.collect()} == {s: n for s, n in brute.items() if n > 20}
+    plan = quality.longest_gaps(bars, cal.calendar(spark, 2020, 2021), 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan.split("Window")[0] and "explode" not in plan.split("Window")[0]
+
+
+def test_weeks_of_streams_are_not_joined(spark):
+    from tickloom.operators import interest as gi
+
+    day = dt.date(2020, 1, 1)  # a Wednesday
+    rows = [("X", "A", day + dt.timedelta(days=k + 5 * s), s, float(k)) for s in (0, 1, 2) for k in range(20)]
+    out = gi.week_blocks(spark.createDataFrame(rows, "exchange string, symbol string, date date, stream int, relative_interest double"))
+    weeks = {}
+    for _, _, d, s, _ in rows:
+        weeks.setdefault((s, d + dt.timedelta(days=(5 - d.weekday()) % 7)), []).append(d)
+    keep = set()
+    for (s, end), own in weeks.items():
+        ends = [e for t, e in weeks if t == s]
+        if not (len(own) < 7 and (s > 0 and end == min(ends) or s < 2 and end == max(ends))):
+            keep |= {(s, d, end) for d in own}
+    assert {(r["stream"], r["date"], r["week_end"]) for r in out.collect()} == keep
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

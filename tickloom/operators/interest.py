@@ -15,17 +15,19 @@ def week_blocks(daily: DataFrame) -> DataFrame:
     """daily (ticker, date, stream, value) with week_end (Saturday), without a stream's partial first week if it is not
     stream 0, and without its partial last week if it is not the ticker's last stream."""
     end = F.when(F.dayofweek("date") == 7, F.col("date")).otherwise(F.next_day("date", "Sat"))
-    rows = daily.withColumn("week_end", end)
-    weeks = rows.groupBy(*TICKER, "stream", "week_end").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*TICKER, "stream")
-    marked = weeks.withColumn("_first", F.min("week_end").over(w)).withColumn("_last", F.max("week_end").over(w)).withColumn("_top", F.max("stream").over(Window.partitionBy(*TICKER)))
+    # Three windows over one order of the rows, made before them as Spark would sort for each: no join of rows with their
+    # weeks. The exchange (the keys turned round, as
+    # Spark would leave out one by a partitioning that is there) keeps what sorted the rows before out of this sort's tasks.
+    week, stream, ticker = (Window.partitionBy(*TICKER, *more) for more in (["stream", "week_end"], ["stream"], []))
+    rows = daily.withColumn("week_end", end).repartition(*reversed(TICKER)).sortWithinPartitions(*TICKER, "stream", "week_end").withColumn("_n", F.count("*").over(week))
+    marked = rows.withColumn("_first", F.min("week_end").over(stream)).withColumn("_last", F.max("week_end").over(stream)).withColumn("_top", F.max("stream").over(ticker))
     bad = (F.col("_n") < 7) & (((F.col("stream") > 0) & (F.col("week_end") == F.col("_first"))) | ((F.col("stream") < F.col("_top")) & (F.col("week_end") == F.col("_last"))))
-    return rows.join(marked.where(~bad).select(*TICKER, "stream", "week_end"), [*TICKER, "stream", "week_end"])
+    return marked.where(~bad).drop("_n", "_first", "_last", "_top")
 
 
 def merge_streams(blocks: DataFrame) -> DataFrame:
-    """One value per ticker and date: that of the lowest stream."""
-    return blocks.groupBy(*TICKER, "date").agg(F.min_by("relative_interest", "stream").alias("relative_interest"))
+    """One value per ticker and date: that of the lowest stream. The exchange keeps the groups out of the tasks that sort blocks."""
+    return blocks.repartition(*TICKER, "date").groupBy(*TICKER, "date").agg(F.min_by("relative_interest", "stream").alias("relative_interest"))
 
 
 def monthly(gi: DataFrame) -> DataFrame:
