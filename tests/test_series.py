@@ -160,3 +160,17 @@ def test_weeks_of_streams_are_not_joined(spark):
             keep |= {(s, d, end) for d in own}
     assert {(r["stream"], r["date"], r["week_end"]) for r in out.collect()} == keep
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_frame_runs_to_the_end_of_a_ticker(spark):
+    """A frame without an end costs as many rows as follow, for every row; the next real day comes from the reverse order."""
+    from tickloom import registry
+
+    for name in ("c7_fill_option_gaps", "j12_real_neighbours"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedfollowing" not in plan
+    cols = "ticker string, expiration_date date, period_date date, open double, high double, low double, close double"
+    bars = spark.createDataFrame([("O", day(20), day(k), *[float(k)] * 4) for k in (0, 4, 9)], cols)
+    gaps = spark.createDataFrame([("O", day(20), day(k)) for k in (1, 2, 7, 15)], "ticker string, expiration_date date, period_date date")
+    got = {r["period_date"]: r["high"] for r in quality.fill_option_gaps(bars, gaps).collect()}
+    assert got == pytest.approx({day(0): 0, day(1): 1, day(2): 2, day(4): 4, day(7): 7, day(9): 9, day(15): 4.5, day(21): 0})

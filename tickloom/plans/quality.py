@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators import quality as q
 from ..operators.predicates import Compare, Like, Null
 from ..registry import register
+from ..session import written
 from ..sources.bars import numbered
 from .calendar import _years, holidays_sql
 from .fixtures import BARS_SQL, EARNINGS_SQL, INTEREST_SQL, SPLITS_SQL, VIX_SQL, bars, earnings, interest, r4, sid, splits, table, vix
@@ -127,9 +129,9 @@ def c6(spark, d):
 
 def _option_bars(spark, d):
     """A contract per supplier that expires after its last bar, with every fifth of its bars missing."""
-    rows = numbered(bars(spark, d))
-    end = rows.groupBy("symbol").agg(F.date_add(F.max("period_date"), 5).alias("expiration_date"))
-    rows = rows.join(end, "symbol").withColumnRenamed("symbol", "ticker")
+    last = F.max("period_date").over(Window.partitionBy("symbol"))
+    rows = numbered(bars(spark, d).repartition("symbol")).withColumn("expiration_date", F.date_add(last, 5)).withColumnRenamed("symbol", "ticker")
+    rows = written(rows.select("ticker", "expiration_date", "period_date", "idx", "open", "high", "low", "close"), "options")
     return rows.where("idx % 5 <> 2"), rows.where("idx % 5 = 2")
 
 
