@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
@@ -69,7 +70,9 @@ def j12(spark, d):
 
     w = ordered()
     real = numbered(bars(spark, d)).withColumn("c", F.when(F.col("idx") % 4 != 0, F.col("close")))
-    before, after = F.last("c", True).over(w.rowsBetween(-(2**31), -1)), F.first("c", True).over(w.rowsBetween(1, 2**31 - 1))
+    # the next one is the last one in reverse order: a frame without an end is gone through again for every row
+    back = Window.partitionBy("exchange", "symbol").orderBy(F.desc("period_date"))
+    before, after = (F.last("c", True).over(x.rowsBetween(Window.unboundedPreceding, -1)) for x in (w, back))
     return real.select(*KEY, r4(before).alias("before"), r4(after).alias("after"))
 
 
