@@ -180,3 +180,16 @@ def test_source_comes_first(spark):
     aliases = spark.createDataFrame([("n1", "NYSE"), ("n2", "BATS")], "alias string, standard string")
     row = ref.resolve_listing(symbols, symbols.select("symbol", "name", F.lit("NYSE").alias("exchange")), listed, aliases).first()
     assert (row["exchange"], row["step"]) == ("BATS", "source")
+
+
+def test_delete_reads_a_path_once_a_file(spark, tmp_path, monkeypatch):
+    """The partition's folder is told from the path of each file, not from that of each row."""
+    t = table(spark, tmp_path)
+    t.merge(spark.range(400).selectExpr("'a b' as ex", "cast(id % 2 as int) as day", "id as k", "cast(id as double) as v", "'w' as w"))
+    asked = []
+    plain = Stored._folders
+    monkeypatch.setattr(Stored, "_folders", lambda self, df: (asked.append(df.count()), plain(self, df))[1])
+    t.delete(v=Compare("<", 10))
+    assert asked == [2] and t.read().count() == 390
+    t.delete(day=1)
+    assert {r["day"] for r in t.read().collect()} == {0} and list(files(tmp_path)) == ["ex=a b/day=0"]

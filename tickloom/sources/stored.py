@@ -58,9 +58,9 @@ class Stored:
     # ---- changes
 
     def _folders(self, rows: DataFrame) -> DataFrame:
-        """rows of the table with _folder, the part of their file's path that names the partition."""
+        """rows of files (_file, once each) with _folder, the part of the path that names the partition."""
         depth = len(self.partition_by)
-        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        path = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
         return rows.withColumn("_folder", F.regexp_extract(path, rf"((?:[^/]+=[^/]*/){{{depth}}})[^/]*$", 1))
 
     def _swap(self, pending: str) -> None:
@@ -116,7 +116,8 @@ class Stored:
         rows = self._load(self.path)
         where = condition(**predicates)
         hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-        found = self._folders(rows.select("*", "_metadata")).groupBy(*self.partition_by, "_folder").agg(F.count_if(hit).alias("gone"), F.count("*").alias("n")).where("gone > 0")
+        files = rows.select("*", F.col("_metadata.file_path").alias("_file")).groupBy(*self.partition_by, "_file").agg(F.count_if(hit).alias("gone"), F.count("*").alias("n"))
+        found = self._folders(files).groupBy(*self.partition_by, "_folder").agg(F.sum("gone").alias("gone"), F.sum("n").alias("n")).where("gone > 0")
         touched = found.collect()
         if touched:
             emptied = self.spark.createDataFrame([(r["_folder"],) for r in touched if r["gone"] == r["n"]], "folder string")
