@@ -174,3 +174,13 @@ def test_no_frame_runs_to_the_end_of_a_ticker(spark):
     gaps = spark.createDataFrame([("O", day(20), day(k)) for k in (1, 2, 7, 15)], "ticker string, expiration_date date, period_date date")
     got = {r["period_date"]: r["high"] for r in quality.fill_option_gaps(bars, gaps).collect()}
     assert got == pytest.approx({day(0): 0, day(1): 1, day(2): 2, day(4): 4, day(7): 7, day(9): 9, day(15): 4.5, day(21): 0})
+
+
+def test_reduced_instances_are_labelled_once(spark):
+    from tickloom import registry
+    from tickloom.functions.scalars import is_fibonacci
+
+    plan = registry.queries()["l9_reduce_descending"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan and "SQRT" not in plan
+    told = spark.range(-3, 1000).where(is_fibonacci(F.col("id"))).collect()
+    assert [r["id"] for r in told] == [0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987]

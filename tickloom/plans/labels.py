@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import labels as lab
 from ..operators import normalize as norm
 from ..registry import register
+from ..session import written
 from ..session import scratch
 from ..sources.bars import date_bounds, ordered, rollup_intraday, take_daily
 from .fixtures import BARS_SQL, bars, r4, table
@@ -99,7 +100,7 @@ gone as (select * from mid where r >= lo and r < hi and (r - lo) not in (0, 1, 2
 select exchange, symbol, period_date, cls from l where cls is not null and not exists (select 1 from gone g where g.exchange = l.exchange and g.symbol = l.symbol and g.period_date = l.period_date)""",
 )
 def l9(spark, d):
-    inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls")
+    inst = written(lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls"), "instances")
     return lab.reduce_instances(inst, _sims(inst))
 
 
@@ -112,7 +113,7 @@ gone as (select * from mid where r >= lo and r < hi and (hi - 1 - r) not in (0,
 select exchange, symbol, period_date, cls from l where cls is not null and not exists (select 1 from gone g where g.exchange = l.exchange and g.symbol = l.symbol and g.period_date = l.period_date)""",
 )
 def l9_descending(spark, d):
-    inst = lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls")
+    inst = written(lab.label(bars(spark, d), 10, 0.05).where("cls is not null").select(*KEY, "cls"), "instances")
     return lab.reduce_instances(inst, _sims(inst), top=0.2, descending=True)
 
 
