@@ -193,3 +193,17 @@ def test_delete_reads_a_path_once_a_file(spark, tmp_path, monkeypatch):
     assert asked == [2] and t.read().count() == 390
     t.delete(day=1)
     assert {r["day"] for r in t.read().collect()} == {0} and list(files(tmp_path)) == ["ex=a b/day=0"]
+
+
+def test_quarters_are_named_without_a_path(spark, tmp_path):
+    """Two quarters with their columns in other orders; no row's path is looked at."""
+    for q, head, line in (("q 1", "adsh\tcik\tfp\tperiod\tfiled", "a\t1\tQ1\t20200331\t20200501"), ("q2", "cik\tadsh\tfp\tperiod\tfiled", "1\tb\tQ2\t20200630\t20200801")):
+        (tmp_path / q).mkdir()
+        (tmp_path / q / "sub.txt").write_text(f"{head}\n{line}\n")
+        (tmp_path / q / "tag.txt").write_text("tag\tversion\tcustom\tabstract\nT\tv\t0\t0\n")
+        (tmp_path / q / "num.txt").write_text("adsh\ttag\tversion\tcoreg\tddate\tqtrs\tuom\tvalue\na\tT\tv\t\t20200331\t0\tUSD\t5\n")
+    info = spark.createDataFrame([("1", "X", "S")], "cik string, exchange string, symbol string")
+    sub, tag, num = landed.load_edgar(spark, f"file://{tmp_path}", info, [])
+    assert {(r["adsh"], r["cik"], r["loaded_quarter"]) for r in sub.collect()} == {("a", "1", "q 1"), ("b", "1", "q2")}
+    assert tag.count() == 1 and num.count() == 2
+    assert "_metadata" not in num._jdf.queryExecution().analyzed().toString()
