@@ -157,3 +157,16 @@ def test_filings_are_numbered_once(spark):
     for name in ("g6_financial_vector", "g6_financial_features", "j9_preceding_reports"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "AS idx" not in plan and "l_shipdate" not in plan
+
+
+def test_no_filings_are_broadcast(spark):
+    """A million filings lie in some MB of file, so that Spark would send them, unpacked, through the driver: joins of them merge."""
+    from tickloom import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["g11_flat_vector"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert sent and not [line for line in sent if "adsh" in line or "symbol" in line]
