@@ -95,6 +95,33 @@ def test_refresh(spark, bars):
     assert ind.refresh_indicators(bars, long_of(bars)).count() == 0
 
 
+def test_refresh_deals_bars_once(spark, bars):
+    """Stored rows are dealt as counts, bars once; single indicators' rows meet no join, which would move them all."""
+    stored = bars.select("exchange", "symbol", F.col("period_date").alias("date"), F.lit("rsi").alias("indicator"), F.col("close").alias("value"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = ind.refresh_indicators(bars, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Join" not in plan and "CoGroup" not in plan
+    assert plan.count("Exchange") == 3  # of counts, of lists of them, of bars with these
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_refresh_of_odd_rows(spark, bars):
+    whole = {(r["symbol"], r["date"], r["indicator"]): r["value"] for r in long_of(bars).collect()}
+    ema5 = F.col("indicator") == "ema5"
+    # A's last value of an EMA is lost, B has a row without a date, D is stored up to a day that it has no bar of; a bar has no ticker
+    a = long_of(bars.where("symbol = 'A' and k < 250")).withColumn("value", F.when(~ema5 | (F.col("date") < day(249)), F.col("value")))
+    b = long_of(bars.where("symbol = 'B'")).withColumn("date", F.when(~ema5 | (F.col("date") > day(100)), F.col("date")))
+    d = long_of(bars.where("symbol = 'D'")).withColumn("date", F.when(ema5 & (F.col("date") == day(259)), day(300)).otherwise(F.col("date")))
+    more = bars.unionByName(bars.where("symbol = 'A' and k = 7").withColumn("symbol", F.lit(None).cast("string")))
+    got = {(r["symbol"], r["date"], r["indicator"]): r["value"] for r in ind.refresh_indicators(more, a.unionByName(b).unionByName(d)).collect()}
+    goes_on = {*ind.WINDOWED, *(f"ema{p}" for p in ind.EMA_PERIODS)}
+    want = {k: v for k, v in whole.items() if k[0] in "CE" or (k[0] == "A" and (k[2] not in goes_on or k[1] >= day(250)))}
+    assert got == pytest.approx(want)
+
+
 def test_sample_that_is_short_fails(spark):
     rows = [("X", str(i), DAY, "POSITIVE" if i < 3 else "NEGATIVE") for i in range(60)]
     df = spark.createDataFrame(rows, "exchange string, symbol string, period_date date, cls string")
