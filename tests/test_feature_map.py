@@ -170,3 +170,31 @@ def test_no_filings_are_broadcast(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert sent and not [line for line in sent if "adsh" in line or "symbol" in line]
+
+
+@pytest.mark.parametrize("preceding", [2, 3, 5])
+def test_tables_come_to_the_bars_in_one_series(spark, reports, preceding):
+    """Whatever tables a map needs, bars are dealt once, and no table goes through the driver; odd keys find nothing."""
+    days = [d("2020-05-01") + dt.timedelta(k) for k in range(8)]
+    bars = spark.createDataFrame([("X", s, x, 1.0, 2.0, 0.5, 10.0 * k, 5.0) for s in ("A", None) for k, x in enumerate(days)], "exchange string, symbol string, period_date date, open double, high double, low double, close double, volume double")
+    info = spark.createDataFrame([("X", "A", True), ("X", None, True)], "exchange string, symbol string, etf boolean")
+    interest = spark.createDataFrame([("X", "A", x, 7.0 + k) for k, x in enumerate(days)], "exchange string, symbol string, date date, relative_interest double")
+    splits = spark.createDataFrame([("X", "A", days[5], 1.0, 2.0), ("X", "A", days[5], 1.0, 3.0)], "exchange string, symbol string, date date, split_from double, split_to double")
+    anchors = spark.createDataFrame([("X", "A", days[7]), ("X", None, days[7]), ("X", "A", None)], "exchange string, symbol string, period_date date")
+    fmap = fm.FeatureMap(TREE | {"stockSplits": {"enabled": True}}, exchanges=("X", "Y"))
+    tables = {"interest": interest, "info": info, "reports": reports, "splits": splits}
+    out = fm.vectors(anchors, bars, fmap, tables, preceding)
+    (row,) = out.collect()
+    each = [[10.0 * k, 0.0, float(i >= preceding - 3), 0.0, 0.0 if i >= preceding - 3 else 7.0 + k, float(k == 5), 2.0 * (k == 5)] for i, k in enumerate(range(7 - preceding, 7))]
+    assert row["series"] == [v for x in each for v in x] and row["static"] == [0.0, 1.0, 0.0, 0.0, 1.0]
+    (flat,) = fm.vectors(anchors, bars, fmap, tables, preceding, recurrent=False).collect()
+    at = [[0], [1, 2, 3, 4]]
+    assert flat["vector"] == [0.0, 1.0, 0.0, *(x[k] for ks in at for x in each for k in ks), 0.0, *row["semiseries"], 1.0, *(v for x in each for v in x[5:])]
+    (twice,) = fm.vectors(anchors, bars, fmap, tables, preceding, form=lambda x: F.transform(x, lambda v: 2 * v)).collect()
+    assert all(twice[c] == [2 * v for v in row[c]] for c in ("static", "semiseries", "series"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("REPARTITION_BY_COL") == 1
